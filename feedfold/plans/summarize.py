@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
+from ..columns import Instant, instant
 from ..functions.fields import non_blank
 from ..functions.prompts import email_prompt, item_prompt
 from ..functions.text import strip_code_blocks
@@ -35,7 +36,7 @@ def generate_misses(misses: DataFrame, models: Mapping[str, Loader],
 
 
 def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
-                     as_of, chosen: str | None = None, batch_id: int | None = None) -> DataFrame:
+                     as_of: Instant, chosen: str | None = None, tag: str | None = None) -> DataFrame:
     """Serve requests (``seq, email_id, subject, sender, email_date, body``).
 
     Stored summaries are returned as they are.  Each missing mail is summarised
@@ -46,8 +47,6 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     Generated rows are written to the shared folder before they are used twice, so
     the models are not called again, also when executors are lost in between.
     """
-    from ..columns import instant
-
     checked = check_requests(requests, "email_summary")
     looked_up = cache_lookup(checked.where(F.col("error").isNull()), store.read())
     # The look-up is used for hits and misses, and the store changes in between.
@@ -60,7 +59,7 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     made = written(generate_misses(first.unionByName(unkeyed), models, chosen), "summaries")
 
     good = made.where(F.col("error").isNull())
-    store.upsert(good.withColumn("created_at", instant(as_of)), batch_id)
+    store.upsert(good.withColumn("created_at", instant(as_of)), tag)
 
     refused = checked.where(F.col("error").isNotNull()).select(
         "seq", "email_id", F.lit(None).cast("string").alias("summary"),
@@ -95,7 +94,3 @@ def summarize_items(requests: DataFrame, models: Mapping[str, Loader],
         "summary": F.lit(None).cast("string"), "model_used": F.lit(None).cast("string"),
     })
     return made.unionByName(bad)
-
-
-def open_store(spark: SparkSession, path: str) -> SummaryStore:
-    return SummaryStore(spark, path)

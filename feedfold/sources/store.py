@@ -78,9 +78,8 @@ class SummaryStore:
         ops.check_insert(self.read(), new)
         self._write(ops.number_new(new, self.last_id()), "delta")
 
-    def upsert(self, new: DataFrame, batch_id: int | None = None) -> None:
-        """Insert or replace.  With ``batch_id`` a repeated call does nothing."""
-        tag = None if batch_id is None else f"batch{batch_id}"
+    def upsert(self, new: DataFrame, tag: str | None = None) -> None:
+        """Insert or replace.  A call repeated with the same ``tag`` does nothing."""
         if tag and any(v[2] == tag for v in self._versions()):
             return
         self._write(ops.number_new(ops.latest_new(new), self.last_id()), "delta", tag)

@@ -6,6 +6,7 @@ read once instead of on every poll.  State is bounded by watermarks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -125,8 +126,10 @@ def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[s
     A batch that is repeated after a failure finds its summaries in the store and
     its own version there, so nothing is generated or stored twice.
     """
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+
     def serve(rows: DataFrame, batch_id: int) -> None:
-        out = summarize_emails(rows, store, models, as_of(), batch_id=batch_id)
+        out = summarize_emails(rows, store, models, as_of(), tag=f"{stream}b{batch_id}")
         if results:
             out.write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
