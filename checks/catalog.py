@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 
 import feedfold
 
-from . import digests, feeds, stored, texts
+from . import digests, exports, feeds, stored, streams, texts
 
 # Functions sent to Python workers travel by value: the package need not be
 # installed there.
@@ -17,6 +17,6 @@ cloudpickle.register_pickle_by_value(sys.modules["checks"])
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (feeds, texts, digests, stored):
+for module in (feeds, texts, digests, stored, exports, streams):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

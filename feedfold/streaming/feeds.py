@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..columns import By, Instant, by_columns, instant
 from ..functions.fields import thread_key, thread_title
@@ -104,8 +105,8 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
 
 
 def latest_complete(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest result of a ``complete`` mode ``write_latest``."""
-    rows = spark.read.schema(schema).parquet(path)
+    """The newest result of a ``complete`` mode ``write_latest`` with this schema."""
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
     # ``batch`` is a partition column: only the newest folder is read.
     newest = rows.agg(F.max("batch").alias("b")).scalar()
     return rows.where(F.col("batch") == newest).drop("batch")
