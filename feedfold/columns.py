@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 By = Sequence[str]
 Instant = int | str | datetime
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used.
+
+    Inside one projection Spark would otherwise evaluate it again in every branch
+    of a ``case``; on long texts that is most of the time.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -54,7 +63,3 @@ def window_by(by: By) -> Window:
 
 def by_columns(by: By) -> list[Column]:
     return [quoted(c) for c in by]
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from ..columns import as_column, quoted
+from ..columns import as_column, let, quoted
 from .fields import absent_default, first_truthy, is_truthy, iso_text
 from .text import strip
 
@@ -15,11 +15,11 @@ def email_line(sender: Column | str | None = None, subject: Column | str = "subj
     """``- From: F, Subject: S - BODY...`` with the body's first characters on one line."""
     sender = quoted("from") if sender is None else as_column(sender)
     start = F.substring(F.coalesce(as_column(body), F.lit("")), 1, fixed.EMAIL_LINE_BODY)
-    start = strip(F.replace(start, F.lit("\n"), F.lit(" ")))
     return F.concat(
         F.lit("- From: "), absent_default(sender, fixed.UNKNOWN),
         F.lit(", Subject: "), absent_default(subject, fixed.NO_SUBJECT),
-        F.when(start != "", F.concat(F.lit(" - "), start, F.lit("..."))).otherwise(""),
+        let(strip(F.replace(start, F.lit("\n"), F.lit(" "))), lambda text: F.when(
+            text != "", F.concat(F.lit(" - "), text, F.lit("..."))).otherwise("")),
     )
 
 

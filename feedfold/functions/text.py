@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from ..columns import as_column
+from ..columns import as_column, let
 
 FENCE_MARK = "```"
 # White space inside a pattern: what (?U)\s lacks are the four separators 1c-1f.
@@ -13,8 +13,8 @@ _SPACE = r"[\s\x1c-\x1f]"
 # Browsers end a line at these four characters only.
 _LINE_END = r"\n\r\u2028\u2029"
 _LINE = rf"[^{_LINE_END}]"
-_BOL = rf"(?<!{_LINE})"
-_EOL = rf"(?!{_LINE})"
+# ^ also matches after \x85, which is no line end in a browser.
+_BOL = r"(?m)^(?<!\x85)"
 _BROWSER_SPACE = (
     r"[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
@@ -36,36 +36,60 @@ def _is_fence(line: Column) -> Column:
     return (line == "") | line.rlike(r"^(?:`{3,}|-{3,}|_{3,}|~{3,})$")
 
 
+def _without_tail(text: Column) -> Column:
+    """The text up to its last line that is neither blank nor a ruler."""
+    def cut(lines: Column) -> Column:
+        last = F.array_max(
+            F.transform(lines, lambda line, i: F.when(_is_fence(line), 0).otherwise(i + 1))
+        )
+        return strip(F.array_join(F.slice(lines, F.lit(1), last), "\n"))
+
+    return let(F.split(text, "\n"), cut)
+
+
 def clean_response(text: Column | str) -> Column:
     """Strip a model's output and drop trailing blank lines and rulers.
 
-    The lines are looked at once, from an array; a single pattern with nested
-    repetition would backtrack on long runs of blank lines.
+    Lines are only looked at one by one where the last one is a ruler.  A single
+    pattern with nested repetition would backtrack on long runs of blank lines.
     """
-    lines = F.split(F.regexp_replace(strip(text), fixed.LINE_BREAKS, "\n"), "\n")
-    last = F.array_max(F.transform(lines, lambda line, i: F.when(_is_fence(line), 0).otherwise(i + 1)))
-    return strip(F.array_join(F.slice(lines, F.lit(1), last), "\n"))
+    return let(
+        F.regexp_replace(strip(text), fixed.LINE_BREAKS, "\n"),
+        lambda t: F.when(_is_fence(F.substring_index(t, "\n", -1)), _without_tail(t)).otherwise(t),
+    )
 
 
-def clean_chat_response(text: Column | str) -> Column:
-    """``clean_response`` plus: no fences, no labels, one line, four distinct sentences."""
-    text = as_column(text)
-    base = clean_response(text)
+def _flatten(text: Column) -> Column:
+    """One line without code marks and answer labels."""
     labels = "|".join(fixed.ANSWER_LABELS)
-    flat = F.replace(F.replace(base, F.lit(FENCE_MARK), F.lit(" ")), F.lit("`"), F.lit(""))
-    flat = F.regexp_replace(flat, rf"(?iU)\b(?:{labels}){_SPACE}*:{_SPACE}*", "")
-    flat = strip(F.regexp_replace(flat, rf"(?U){_SPACE}+", " "))
+    text = F.replace(F.replace(text, F.lit(FENCE_MARK), F.lit(" ")), F.lit("`"), F.lit(""))
+    text = F.regexp_replace(text, rf"(?iU)\b(?:{labels}){_SPACE}*:{_SPACE}*", "")
+    return strip(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
 
-    sentences = F.filter(F.split(flat, r"(?<=[.!?]) +"), lambda s: s != "")
-    short = F.array_join(F.slice(F.array_distinct(sentences), 1, fixed.ANSWER_SENTENCES), " ")
+
+def _shorten(text: Column) -> Column:
+    """Up to a repeated question, or the first distinct sentences."""
+    def before(mark: str) -> Column:
+        return F.rtrim(F.substring_index(text, mark, 1))
+
+    sentences = F.filter(F.split(text, r"(?<=[.!?]) +"), lambda s: s != "")
+    brief = let(sentences, lambda found: F.when(
+        F.size(found) > 1,
+        F.array_join(F.slice(F.array_distinct(found), 1, fixed.ANSWER_SENTENCES), " "),
+    ).otherwise(text))
     return (
-        F.when((text == "") | (base == ""), F.lit(""))
-        .when(F.contains(flat, F.lit("User Question:")),
-              F.rtrim(F.substring_index(flat, "User Question:", 1)))
-        .when(F.contains(flat, F.lit("Question:")) & F.contains(flat, F.lit("Answer:")),
-              F.rtrim(F.substring_index(flat, "Question:", 1)))
-        .when(F.size(sentences) > 1, short)
-        .otherwise(flat)
+        F.when(F.contains(text, F.lit("User Question:")), before("User Question:"))
+        .when(F.contains(text, F.lit("Question:")) & F.contains(text, F.lit("Answer:")),
+              before("Question:"))
+        .otherwise(brief)
+    )
+
+
+def clean_chat_response(text: Column | str) -> Column:
+    """``clean_response`` plus: no fences, no labels, one line, four distinct sentences."""
+    return let(
+        clean_response(text),
+        lambda base: F.when(base == "", base).otherwise(let(_flatten(base), _shorten)),
     )
 
 
@@ -92,11 +116,11 @@ def markdown_to_html(text: Column | str) -> Column:
     """
     html = escape_html(text)
     html = F.regexp_replace(html, rf"\*\*({_LINE}+?)\*\*", "<strong>$1</strong>")
-    html = F.regexp_replace(html, rf"{_BOL}### ({_LINE}+){_EOL}", "<h4>$1</h4>")
-    html = F.regexp_replace(html, rf"{_BOL}## ({_LINE}+){_EOL}", "<h3>$1</h3>")
-    html = F.regexp_replace(html, rf"{_BOL}- ({_LINE}+){_EOL}", "<li>$1</li>")
+    html = F.regexp_replace(html, rf"{_BOL}### ({_LINE}+)", "<h4>$1</h4>")
+    html = F.regexp_replace(html, rf"{_BOL}## ({_LINE}+)", "<h3>$1</h3>")
+    html = F.regexp_replace(html, rf"{_BOL}- ({_LINE}+)", "<li>$1</li>")
     html = F.regexp_replace(html, rf"((?:<li>{_LINE}*</li>\n?)++)", "<ul>$1</ul>")
-    html = F.regexp_replace(html, rf"{_BOL}[0-9]+\. ({_LINE}+){_EOL}", "<li>$1</li>")
+    html = F.regexp_replace(html, rf"{_BOL}[0-9]+\. ({_LINE}+)", "<li>$1</li>")
     html = F.replace(html, F.lit("\n\n"), F.lit("</p><p>"))
     html = F.concat(F.lit("<p>"), html, F.lit("</p>"))
     return F.regexp_replace(html, rf"<p>{_BROWSER_SPACE}*</p>", "")
