@@ -1,0 +1,183 @@
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from feedfold.entities import SUMMARY
+from feedfold.sources import exports, frames, reports
+
+
+def put(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w", encoding="utf8", newline="") as handle:
+        handle.write(text)
+    return str(folder)
+
+
+def mails(spark, folder, **options):
+    df = exports.read_mail_export(spark, str(folder), **options).orderBy("file", "seq")
+    return [{k: v for k, v in r.asDict().items() if v is not None and k not in ("file", "seq")} for r in df.collect()]
+
+
+def record(**fields):
+    return "{" + ",".join(f'"{k}":"{v}"' for k, v in fields.items()) + "}"
+
+
+def test_mail_quirks(spark, tmp_path):
+    put(tmp_path, "a.txt", "[" + ",".join([
+        record(id="1", date="d", subject="plain", body="two\nlines"),
+        record(id="2", body='cut "here", not there'),
+        record(id="3", body="brace } ends the record") ,
+        record(id="4", subject='quote " inside', body="x"),
+        record(other="no key"), "{}",
+        record(id="5", body='"} quote before brace'),
+        record(**{"from": "", "body": ""}),
+    ]) + "]\n")
+    assert mails(spark, tmp_path) == [
+        {"id": "1", "date": "d", "subject": "plain", "body": "two\nlines"},
+        {"id": "2", "body": 'cut "here'},
+        {"id": "3"},
+        {"id": "4", "subject": "quote ", "body": "x"},
+        {"id": "5", "body": ""},
+        {"from": "", "body": ""},
+    ]
+
+
+def test_mail_empty_files_and_unfinished_records(spark, tmp_path):
+    put(tmp_path, "empty.txt", "")
+    put(tmp_path, "none.txt", "[]\n")
+    put(tmp_path, "cut.txt", "[" + record(id="1") + ',{"id":"2"')
+    put(tmp_path, "whole.txt", record(id="3") + record(id="4"))
+    assert sorted(m["id"] for m in mails(spark, tmp_path)) == ["1", "3", "4"]
+    assert sorted(m["id"] for m in mails(spark, tmp_path, check_tail=False)) == ["1", "2", "3", "4"]
+
+
+def test_mail_file_is_read_in_parts(spark, tmp_path):
+    put(tmp_path, "big.txt", "[" + ",".join(record(id=i, body="é\n" * 40) for i in range(3000)) + "]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = exports.read_mail_export(spark, str(tmp_path))
+        assert df.select(F.spark_partition_id()).distinct().count() > 5
+        assert [r.id for r in df.orderBy("file", "seq").select("id").collect()] == [str(i) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_array_exports_are_all_or_nothing(spark, tmp_path):
+    put(tmp_path, "good.json", json.dumps([{"id": "1", "start_ts": "5", "end_ts": ""}, {"id": "2", "start_ts": "x"}]))
+    put(tmp_path, "none.json", "[]")
+    put(tmp_path, "object.json", '{"id": "3"}')
+    put(tmp_path, "broken.json", '[{"id": "4"}, {"id": ')
+    put(tmp_path, "raw.json", '[{"id": "5", "title": "a\x01b"}]')
+    put(tmp_path, "empty.json", "")
+    got = exports.read_calendar_export(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.id, r.start_ts, r.end_ts, r.seq) for r in got] == [("1", 5, 0, 0), ("2", 0, 0, 1)]
+
+
+def test_reminder_and_message_times(spark, tmp_path):
+    put(tmp_path, "r.json", json.dumps([{"id": "1", "due_ts": "", "due": "2024-02-03 01:02:03"}, {"id": "2", "due_ts": "7"}, {"id": "3"}]))
+    got = exports.read_reminder_export(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.due_ts for r in got] == [1706922123, 7, 0]
+    put(tmp_path, "r.json", json.dumps([{"text": "é\n", "timestamp": "2024-02-03 01:02:03"}, {"date": "9"}]))
+    got = exports.read_message_export(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.timestamp, r.text) for r in got] == [(1706922123, "é\n"), (9, None)]
+
+
+def report_inputs(rows):
+    mails = rows("id string, date string, `from` string, subject string, body string",
+                 ("1", "2024-01-01 02:03:04", "ann", "Hi/é\U0001F600!", "body\nline"), ("2", None, "", None, ""))
+    mails = mails.withColumn("date", F.to_timestamp("date"))
+    stored = rows(SUMMARY, (1, "1", None, None, None, None, "short", "m", None))
+    turns = rows("conv_id string, turn bigint, role string, content string", ("1", 0, "User", "q?"), ("1", 1, "Assistant", "a."), ("9", 0, "x", "y"))
+    return mails, stored, turns
+
+
+TEXT_1 = """=== EMAIL EXPORT ===
+
+Date: 2024-01-01 02:03:04
+From: ann
+Subject: Hi/é\U0001F600!
+
+--- ORIGINAL EMAIL ---
+
+body
+line
+
+--- AI SUMMARY ---
+
+short
+
+--- CHAT CONVERSATION ---
+
+User: q?
+
+Assistant: a.
+
+
+=== END OF EXPORT ===
+Exported on: 2024-01-31 00:00:00
+Model used: Default
+"""
+TEXT_2 = """=== EMAIL EXPORT ===
+
+Date: Unknown date
+From: Unknown
+Subject: No Subject
+
+--- ORIGINAL EMAIL ---
+
+No content
+=== END OF EXPORT ===
+Exported on: 2024-01-31 00:00:00
+Model used: big
+"""
+
+
+def assembled(df, key):
+    found = df.where(F.col("id") == key).orderBy("section", "turn").collect()
+    return "".join(r.text + "\n" for r in found)
+
+
+def test_email_reports(spark, rows, tmp_path):
+    mails, stored, turns = report_inputs(rows)
+    full = reports.email_report(mails, stored, 1706659200, turns=turns)
+    assert assembled(full, "1") == TEXT_1
+    assert full.where("id = '9'").count() == 0
+    assert assembled(reports.email_report(mails, stored, 1706659200, "big"), "2") == TEXT_2
+    out = str(tmp_path / "out")
+    reports.write_reports(full, out)
+    folder = os.path.join(out, "file_name=email_2024-01-31_Hi_____.txt", "id=1")
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part"))
+    assert "".join(open(os.path.join(folder, p), encoding="utf8").read() for p in parts) == TEXT_1
+
+
+def test_file_names_and_digest_report(value):
+    name = reports.email_file_name(1706659200, "s")
+    assert value(name, s="") == "email_2024-01-31_email.txt"
+    assert value(name, s="a" * 60) == "email_2024-01-31_" + "a" * 50 + ".txt"
+    assert value(name, s="\U0001F600" * 30) == "email_2024-01-31_" + "_" * 50 + ".txt"
+    assert value(reports.digest_file_name("2024-01-31 23:00:00")) == "daily_digest_2024-01-31.txt"
+    ruler = "=" * 50
+    assert value(reports.digest_report("d", 1706659200, F.lit("")), d="text") == (
+        f"=== DAILY DIGEST ===\nGenerated: 2024-01-31 00:00:00\nModel: Default\n\n{ruler}\n\ntext\n\n{ruler}\n=== END OF DIGEST ===\n")
+
+
+def test_frames(spark, rows, tmp_path):
+    df = rows("k int, summary string, model_used string, cached boolean, error string",
+              (1, "x" * 121, "m", False, None), (2, "s" * 200, None, True, None), (3, None, None, False, "bad"))
+    out = frames.summary_frames(df, ["k"])
+    got = {}
+    for r in out.orderBy("k", "frame_no").collect():
+        got.setdefault(r.k, []).append(json.loads(r.frame))
+    done = {"type": "done"}
+    assert got[1] == [{"type": "chunk", "content": "x" * 120}, {"type": "chunk", "content": "x"}, {"type": "model", "content": "m"}, done]
+    assert got[2] == [{"type": "chunk", "content": "s" * 200}, {"type": "cached", "value": True}, done]
+    assert got[3] == [{"type": "error", "content": "bad"}]
+    path = str(tmp_path / "frames")
+    frames.write_frames(out, path, ["k"])
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert sorted((x["k"], x["frame_no"]) for x in lines) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (3, 0)]
+    answers = rows("k int, answer string", (1, ""), (2, None), (3, "hi"))
+    got = [json.loads(r.frame)["type"] for r in frames.answer_frames(answers, ["k"]).orderBy("k", "frame_no").collect()]
+    assert got == ["done", "done", "chunk", "done"]
