@@ -55,7 +55,7 @@ _NEW = f"""
            from f_emails where date_ts > {AS_OF} - 240 * 3600),
     n1 as (select * from n0 union all select * replace (seq + 1000000 as seq, summary || ' again' as summary) from n0 where (seq + 1000000) % 3 = 0),
     n2 as (select * from n1 where email_id is null or (email_id, seq) in (select (email_id, max(seq)) from n1 group by email_id)),
-    fresh as (select (select max(id) from f_summaries) + 1 + seq - (select min(seq) from n2) as id, email_id, subject, sender, email_date,
+    fresh as (select (select max(id) from f_summaries) + 1 + seq - (select min(seq) from n1) as id, email_id, subject, sender, email_date,
               body, summary, 'm2' as model_used, {AS_OF} as created_ts from n2)"""
 
 

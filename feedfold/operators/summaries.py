@@ -52,14 +52,8 @@ def insert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = Non
     return store.select(*STORED).unionByName(number_new(new, base))
 
 
-def latest_new(new: DataFrame) -> DataFrame:
-    """Of several new rows with one key the last counts; rows without key all stay."""
-    keyed = keep_first(new.where(F.col("email_id").isNotNull()), ["email_id"], [F.desc("seq")])
-    return keyed.unionByName(new.where(F.col("email_id").isNull()))
-
-
 def latest_per_email(rows: DataFrame) -> DataFrame:
-    """Of several stored rows with one key the one with the highest id counts."""
+    """Of several rows with one key the one with the highest id counts; rows without key all stay."""
     keyed = keep_first(rows.where(F.col("email_id").isNotNull()), ["email_id"], [F.desc("id")])
     return keyed.unionByName(rows.where(F.col("email_id").isNull()))
 
@@ -68,7 +62,8 @@ def upsert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = Non
     """The table after insert-or-replace: a replaced row has the new id and time."""
     base = highest_id(store) if last_id is None else last_id
     kept = store.select(*STORED).join(new.select("email_id"), "email_id", "left_anti")
-    return kept.select(*STORED).unionByName(number_new(latest_new(new), base))
+    # Numbered before repeats go: also a row that is replaced at once uses up an id.
+    return kept.select(*STORED).unionByName(latest_per_email(number_new(new, base)))
 
 
 def delete_summaries(store: DataFrame, ids: DataFrame) -> DataFrame:

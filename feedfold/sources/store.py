@@ -82,7 +82,8 @@ class SummaryStore:
         """Insert or replace.  A call repeated with the same ``tag`` does nothing."""
         if tag and any(v[2] == tag for v in self._versions()):
             return
-        self._write(ops.number_new(ops.latest_new(new), self.last_id()), "delta", tag)
+        numbered = ops.number_new(new, self.last_id())
+        self._write(ops.latest_per_email(numbered), "delta", tag)
 
     def delete(self, ids: DataFrame) -> None:
         self._write(ops.delete_summaries(self.read(), ids), "full")
