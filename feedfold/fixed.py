@@ -147,7 +147,8 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAKS = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+OTHER_BREAKS = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+RULER_MARKS = "`-_~"
 
 # Labels a model may put in front of its answer.
 ANSWER_LABELS = ("assistant", "final answer", "your response", "response", "answer")

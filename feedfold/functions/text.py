@@ -37,24 +37,37 @@ def _is_fence(line: Column) -> Column:
 
 
 def _without_tail(text: Column) -> Column:
-    """The text up to its last line that is neither blank nor a ruler."""
-    def cut(lines: Column) -> Column:
-        last = F.array_max(
-            F.transform(lines, lambda line, i: F.when(_is_fence(line), 0).otherwise(i + 1))
-        )
-        return strip(F.array_join(F.slice(lines, F.lit(1), last), "\n"))
+    """The text up to its last line that is neither blank nor a ruler.
 
-    return let(F.split(text, "\n"), cut)
+    All that follows the last character rulers are not made of is short; only its
+    lines are looked at one by one.
+    """
+    def cut(body: Column) -> Column:
+        tail = F.split(F.substr(text, F.length(body) + 1), "\n")
+        # The first piece ends the line that ``body`` ends in.
+        own_line = body == ""
+        last = F.array_max(F.transform(tail, lambda line, i: F.when(
+            ((i > 0) | own_line) & _is_fence(line), 0).otherwise(i + 1)))
+        return strip(F.concat(body, F.array_join(F.slice(tail, F.lit(1), last), "\n")))
+
+    return let(F.rtrim(text, F.lit(fixed.WHITE_SPACE + fixed.RULER_MARKS)), cut)
+
+
+def _one_line_break(text: Column) -> Column:
+    """Every kind of line break as a line feed."""
+    return F.when(
+        text.rlike(fixed.OTHER_BREAKS), F.regexp_replace(text, "\r\n|" + fixed.OTHER_BREAKS, "\n")
+    ).otherwise(text)
 
 
 def clean_response(text: Column | str) -> Column:
     """Strip a model's output and drop trailing blank lines and rulers.
 
-    Lines are only looked at one by one where the last one is a ruler.  A single
-    pattern with nested repetition would backtrack on long runs of blank lines.
+    A single pattern with nested repetition would backtrack on long runs of blank
+    lines.
     """
     return let(
-        F.regexp_replace(strip(text), fixed.LINE_BREAKS, "\n"),
+        let(strip(text), _one_line_break),
         lambda t: F.when(_is_fence(F.substring_index(t, "\n", -1)), _without_tail(t)).otherwise(t),
     )
 
