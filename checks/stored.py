@@ -47,13 +47,13 @@ def _new(spark, sf):
         "date_format(date, 'yyyy-MM-dd HH:mm:ss') as email_date", "body",
         "concat('new ', seq) as summary", "'m2' as model_used", f"timestamp_seconds({AS_OF}) as created_at")
     again = rows.withColumns({"seq": F.col("seq") + 1_000_000, "summary": F.concat("summary", F.lit(" again"))})
-    return rows.unionByName(again.where("seq % 3 = 0"))
+    return rows.unionByName(again.where("subject is not null"))
 
 
 _NEW = f"""
     n0 as (select seq, id as email_id, subject, "from" as sender, date_text as email_date, body, 'new ' || seq as summary
            from f_emails where date_ts > {AS_OF} - 240 * 3600),
-    n1 as (select * from n0 union all select * replace (seq + 1000000 as seq, summary || ' again' as summary) from n0 where (seq + 1000000) % 3 = 0),
+    n1 as (select * from n0 union all select * replace (seq + 1000000 as seq, summary || ' again' as summary) from n0 where subject is not null),
     n2 as (select * from n1 where email_id is null or (email_id, seq) in (select (email_id, max(seq)) from n1 group by email_id)),
     fresh as (select (select max(id) from f_summaries) + 1 + seq - (select min(seq) from n1) as id, email_id, subject, sender, email_date,
               body, summary, 'm2' as model_used, {AS_OF} as created_ts from n2)"""

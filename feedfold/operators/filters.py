@@ -48,6 +48,20 @@ def raw_cutoff(as_of: Instant, hours_back: int, nanos: Column) -> Column:
     return seconds * F.when(nanos, F.lit(fixed.NANOS_PER_SECOND).cast("bigint")).otherwise(1)
 
 
+def possibly_recent(as_of: Instant, hours_back: int, column: str = "date") -> Column:
+    """A test by constants for rows that may be recent in either unit.
+
+    A date above the threshold proves nanoseconds.  The scan can use this before
+    the unit is known; ``recent_raw`` decides.
+    """
+    date, threshold = quoted(column), F.lit(fixed.NANOS_THRESHOLD).cast("bigint")
+    fine = raw_cutoff(as_of, hours_back, F.lit(True))
+    coarse = raw_cutoff(as_of, hours_back, F.lit(False))
+    return ((date > threshold) & (date >= fine)) | (
+        (date <= threshold) & (date >= F.least(fine, coarse))
+    )
+
+
 def recent_raw(df: DataFrame, cutoff: Column, column: str = "date") -> DataFrame:
     """Rows at or after the cut-off in the source's own unit; future rows stay."""
     return df.where(quoted(column) >= cutoff)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import By, by_columns
+from ..functions.text import strip
 from .ranking import keep_first
 
 STORED = ("id", "email_id", "subject", "sender", "email_date", "body", "summary",
@@ -115,18 +116,18 @@ def priority_union(lists: list[DataFrame], current: DataFrame | None = None,
     Blank entries go.  ``current`` is put in front of everything if no list has
     it.  The result's order is (``priority``, ``seq``).
     """
-    from ..functions.text import strip
-
-    columns = [*by, "value"]
-    tagged = None
-    for priority, entries in enumerate(lists):
-        part = entries.select(
-            *by_columns(by), F.lit(priority).alias("priority"), "seq", strip("value").alias("value")
+    def tagged(entries: DataFrame, priority: int, value: Column) -> DataFrame:
+        return entries.select(
+            *by_columns(by), F.lit(priority).alias("priority"), "seq", value.alias("value")
         )
-        tagged = part if tagged is None else tagged.unionByName(part)
-    tagged = tagged.where("value <> ''")
+
+    parts = [tagged(entries, i, strip(F.col("value"))) for i, entries in enumerate(lists)]
     if current is not None:
-        front = current.select(*by_columns(by), F.lit(-1).alias("priority"), "seq", "value")
-        front = front.where("value <> ''").join(tagged.select(*columns), columns, "left_anti")
-        tagged = tagged.unionByName(front.select(*tagged.columns))
-    return keep_first(tagged, columns, ["priority", "seq"])
+        # Last in line: it is only left if no list has the same value.
+        parts.append(tagged(current, len(lists), F.col("value")))
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    kept = keep_first(stacked.where("value <> ''"), [*by, "value"], ["priority", "seq"])
+    in_front = F.when(F.col("priority") == len(lists), -1).otherwise(F.col("priority"))
+    return kept.withColumn("priority", in_front)

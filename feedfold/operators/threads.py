@@ -11,8 +11,9 @@ from .ranking import as_arrival_order, first_n
 
 
 def join_message_tables(message: DataFrame, handle: DataFrame, chat_message_join: DataFrame,
-                        chat: DataFrame, by: By = ()) -> DataFrame:
-    """message, its handle and its chats by three left joins.
+                        chat: DataFrame, by: By = (), keep: By = ()) -> DataFrame:
+    """message, its handle and its chats by three left joins; ``keep`` names more
+    columns of message.
 
     A message in k chats gives k rows.  No hints: Catalyst broadcasts what is
     small and AQE splits partitions that a busy handle or chat makes large.
@@ -21,7 +22,7 @@ def join_message_tables(message: DataFrame, handle: DataFrame, chat_message_join
         return df.select(*by_columns(by), *[quoted(old).alias(new) for new, old in names.items()])
 
     left = keyed(message, message_id="rowid", date="date", text="text",
-                 is_from_me="is_from_me", handle_rowid="handle_id")
+                 is_from_me="is_from_me", handle_rowid="handle_id", **{c: c for c in keep})
     handles = keyed(handle, handle_rowid="rowid", handle_id="id")
     links = keyed(chat_message_join, message_id="message_id", chat_rowid="chat_id")
     chats = keyed(chat, chat_rowid="rowid", chat_identifier="chat_identifier",

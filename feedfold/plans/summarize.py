@@ -14,7 +14,7 @@ from ..functions.text import strip_code_blocks
 from ..operators.filters import check_requests
 from ..operators.generation import Loader, generate_with_fallback
 from ..operators.ranking import keep_first
-from ..operators.summaries import cache_lookup
+from ..operators.summaries import cache_misses
 from ..session import scratch_path
 from ..sources.store import SummaryStore
 
@@ -31,7 +31,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def generate_misses(misses: DataFrame, models: Mapping[str, Loader],
                     chosen: str | None = None) -> DataFrame:
     """Summaries for requests that have none; a failed row keeps its error."""
-    asked = misses.drop("summary", "cached", "error").withColumn("prompt", email_prompt())
+    asked = misses.drop("error").withColumn("prompt", email_prompt())
     return generate_with_fallback(asked, models, chosen=chosen, output="summary").drop("prompt")
 
 
@@ -41,43 +41,47 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
 
     Stored summaries are returned as they are.  Each missing mail is summarised
     once, written to the store and then returned; a later request for the same
-    mail in the batch finds it there.  Results (columns ``RESULT``) are in ``seq``
-    order when sorted by it.
+    mail in the batch finds it there.  Results have the columns ``RESULT``.
 
-    Generated rows are written to the shared folder before they are used twice, so
-    the models are not called again, also when executors are lost in between.
+    Two passes: the first makes what is missing and writes it to the shared folder,
+    so the models are not called again, also when executors are lost later.  The
+    second joins keys, without bodies, to what was stored or made.
     """
+    # The version of the store as it is now; what is added below is not part of it.
+    stored = store.read()
     checked = check_requests(requests, "email_summary")
-    looked_up = cache_lookup(checked.where(F.col("error").isNull()), store.read())
-    # The look-up is used for hits and misses, and the store changes in between.
-    looked_up = written(looked_up, "lookup")
-    misses = looked_up.where(~F.col("cached"))
-
-    keyed = misses.where(F.col("email_id").isNotNull())
-    first = keep_first(keyed, ["email_id"], ["seq"])
-    unkeyed = misses.where(F.col("email_id").isNull())
-    made = written(generate_misses(first.unionByName(unkeyed), models, chosen), "summaries")
+    valid = checked.where(F.col("error").isNull())
 
+    misses = cache_misses(valid, stored)
+    first = keep_first(misses.where(F.col("email_id").isNotNull()), ["email_id"], ["seq"])
+    unkeyed = misses.where(F.col("email_id").isNull()).select(*first.columns)
+    made = written(generate_misses(first.unionByName(unkeyed), models, chosen), "summaries")
     good = made.where(F.col("error").isNull())
     store.upsert(good.withColumn("created_at", instant(as_of)), tag)
 
-    refused = checked.where(F.col("error").isNotNull()).select(
-        "seq", "email_id", F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("string").alias("model_used"), F.lit(False).alias("cached"), "error",
-    )
-    hits = looked_up.where(F.col("cached")).select(
-        "seq", "email_id", "summary", F.lit(None).cast("string").alias("model_used"),
-        "cached", F.lit(None).cast("string").alias("error"),
+    # A key is in the store or was made, never both.
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    known = stored.select(
+        "email_id", "summary", no_text.alias("model_used"), no_text.alias("failure"), no_number.alias("maker")
+    ).unionByName(made.select(
+        "email_id", "summary", "model_used", F.col("error").alias("failure"), F.col("seq").alias("maker")
+    )).where(F.col("email_id").isNotNull())
+    keys = checked.select("seq", "email_id", "error")
+    own = F.coalesce(F.col("maker") == F.col("seq"), F.lit(False))
+    usable = F.col("error").isNull()
+    served = keys.where(F.col("email_id").isNotNull() | F.col("error").isNotNull()).join(
+        known, "email_id", "left"
+    ).select(
+        "seq", "email_id",
+        F.when(usable, F.col("summary")).alias("summary"),
+        F.when(usable & own, F.col("model_used")).alias("model_used"),
+        (usable & ~own & F.col("summary").isNotNull()).alias("cached"),
+        F.coalesce("error", "failure").alias("error"),
     )
-    fresh = made.select("seq", "email_id", "summary", "model_used", F.lit(False).alias("cached"), "error")
-    # Repeated requests: served from the row their first request made.
-    repeats = (
-        keyed.join(made.select("seq"), "seq", "left_anti").select("seq", "email_id")
-        .join(made.where(F.col("email_id").isNotNull()).select("email_id", "summary", "error"), "email_id")
-        .select("seq", "email_id", "summary", F.lit(None).cast("string").alias("model_used"),
-                F.col("summary").isNotNull().alias("cached"), "error")
+    without_key = made.where(F.col("email_id").isNull()).select(
+        "seq", "email_id", "summary", "model_used", F.lit(False).alias("cached"), "error"
     )
-    return refused.unionByName(hits).unionByName(fresh).unionByName(repeats)
+    return served.unionByName(without_key)
 
 
 def summarize_items(requests: DataFrame, models: Mapping[str, Loader],

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..columns import By, Instant, by_columns
 from ..functions.fields import epoch_from_2001, first_truthy, iso_text
-from ..operators.filters import non_empty_text, raw_cutoff, recent_raw
+from ..operators.filters import non_empty_text, possibly_recent, raw_cutoff, recent_raw
 from ..operators.ranking import as_arrival_order, first_n
 from ..operators.threads import join_message_tables
 
@@ -29,19 +29,17 @@ def message_projection(joined: DataFrame, nanos: Column, by: By = (), seq: str =
     )
 
 
-def _with_unit(message: DataFrame, as_of: Instant, hours: int, by: By) -> tuple[DataFrame, Column]:
-    """Messages inside the window, and whether their dates count nanoseconds."""
+def _recent_with_unit(message: DataFrame, as_of: Instant, hours: int, by: By) -> DataFrame:
+    """Messages inside the window with ``_nanos``: whether their dates count nanoseconds."""
     is_nanos = F.coalesce(F.max("date") > F.lit(fixed.NANOS_THRESHOLD).cast("bigint"), F.lit(False))
+    candidates = message.where(possibly_recent(as_of, hours))
     if by:
         # Each account may come from a different store, so each has its own unit.
         units = message.groupBy(*by_columns(by)).agg(is_nanos.alias("_nanos"))
-        known = message.join(units, list(by))
-        nanos = F.col("_nanos")
-        return recent_raw(known, raw_cutoff(as_of, hours, nanos)), nanos
-    # The subquery yields the cut-off itself, so the scan can use its value as a filter.
-    cutoff = message.agg(raw_cutoff(as_of, hours, is_nanos).alias("cutoff")).scalar()
-    nanos = message.agg(is_nanos.alias("nanos")).scalar()
-    return recent_raw(message, cutoff), nanos
+        known = candidates.join(units, list(by))
+    else:
+        known = candidates.withColumn("_nanos", message.agg(is_nanos.alias("nanos")).scalar())
+    return recent_raw(known, raw_cutoff(as_of, hours, F.col("_nanos")))
 
 
 def read_message_tables(message: DataFrame, handle: DataFrame, chat_message_join: DataFrame,
@@ -53,16 +51,12 @@ def read_message_tables(message: DataFrame, handle: DataFrame, chat_message_join
     ``count`` messages are enough to fill it: they are picked *before* the joins,
     which then handle a few rows instead of the whole table.
     """
-    windowed, nanos = _with_unit(message, as_of, hours, by)
-    wanted = non_empty_text(windowed).where(F.col("date").isNotNull())
+    wanted = non_empty_text(_recent_with_unit(message, as_of, hours, by))
     newest = first_n(wanted, count, [F.desc("date"), "rowid"], by).drop("rank")
-    joined = join_message_tables(newest, handle, chat_message_join, chat, by)
-    if by:
-        units = newest.select(*by_columns(by), "_nanos").distinct()
-        joined = joined.join(units, list(by))
+    joined = join_message_tables(newest, handle, chat_message_join, chat, by, keep=["_nanos"])
     order = [F.desc("date"), "message_id", F.asc_nulls_first("chat_rowid")]
     capped = as_arrival_order(first_n(joined, count, order, by))
-    return message_projection(capped, nanos, by)
+    return message_projection(capped, F.col("_nanos"), by)
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, by: By = (),
