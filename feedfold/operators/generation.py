@@ -77,6 +77,17 @@ def _budget(prompt: Column, max_tokens: int | None) -> Column:
     return token_budget(prompt) if max_tokens is None else F.lit(max_tokens).cast("bigint")
 
 
+def spread_calls(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Rows in even shares for the model calls to come.
+
+    After a selective join AQE may leave few partitions: right for a cheap step,
+    wrong where each row costs seconds.  A number given by hand is not merged.
+    ``keys`` should be unique together; hashing them is repeatable after a failure.
+    """
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *keys)
+
+
 def generate(df: DataFrame, load: Loader, max_tokens: int | None = None,
              prompt: str = "prompt", output: str = "answer") -> DataFrame:
     """Adds the model's cleaned answer; NULL where it failed or was empty."""

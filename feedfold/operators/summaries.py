@@ -1,8 +1,9 @@
 """Changes to the summary table and look-ups in it.
 
 Join keys are e-mail ids.  Rows without an id never match anything; where such
-rows are many, AQE's skew handling splits the partition they share, which is why
-the look-ups are left joins (an existence join cannot be split).
+rows, or requests for one mail, are many, AQE splits the partition they share.
+That is why look-ups are left, semi or anti joins (an existence join cannot be
+split) and why the store's side is always shuffled for them (see ``joins``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import By, by_columns
 from ..functions.text import strip
+from .joins import fresh_key
 from .ranking import keep_first
 
 STORED = ("id", "email_id", "subject", "sender", "email_date", "body", "summary",
@@ -77,31 +79,27 @@ def clear_summaries(store: DataFrame) -> DataFrame:
     return store.limit(0)
 
 
-def _stored_keys(store: DataFrame) -> DataFrame:
-    return store.select("email_id").where(F.col("email_id").isNotNull()).distinct()
+def _stored(store: DataFrame, *columns: str) -> DataFrame:
+    """Keyed rows of the store for a look-up; their keys are unique."""
+    keyed = store.where(F.col("email_id").isNotNull())
+    return keyed.select(fresh_key("email_id").alias("_key"), *columns, F.lit(True).alias("_hit"))
 
 
 def with_has_summary(emails: DataFrame, store: DataFrame) -> DataFrame:
     """Adds ``has_summary``; a mail without id is looked up as the empty id."""
-    keys = _stored_keys(store).select(F.col("email_id").alias("_key"), F.lit(True).alias("_hit"))
-    found = emails.join(keys, F.coalesce(F.col("id"), F.lit("")) == F.col("_key"), "left")
+    wanted = F.coalesce(F.col("id"), F.lit(""))
+    found = emails.join(_stored(store), wanted == F.col("_key"), "left")
     return found.withColumn("has_summary", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
 
 
 def cache_lookup(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """Adds the stored ``summary`` and ``cached`` to requests with an ``email_id``.
-
-    Keys are unique in the store, so no request is doubled.
-    """
-    stored = store.where(F.col("email_id").isNotNull()).select(
-        F.col("email_id").alias("_key"), "summary", F.lit(True).alias("_hit")
-    )
-    found = requests.join(stored, F.col("email_id") == F.col("_key"), "left")
+    """Adds the stored ``summary`` and ``cached`` to requests with an ``email_id``."""
+    found = requests.join(_stored(store, "summary"), F.col("email_id") == F.col("_key"), "left")
     return found.withColumn("cached", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
 
 
 def cache_misses(requests: DataFrame, store: DataFrame) -> DataFrame:
-    return requests.join(store.select("email_id"), "email_id", "left_anti")
+    return requests.join(_stored(store), F.col("email_id") == F.col("_key"), "left_anti")
 
 
 def select_by_id(rows: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from ..functions.fields import non_blank
 from ..functions.prompts import email_prompt, item_prompt
 from ..functions.text import strip_code_blocks
 from ..operators.filters import check_requests
-from ..operators.generation import Loader, generate_with_fallback
+from ..operators.generation import Loader, generate_with_fallback, spread_calls
+from ..operators.joins import fresh_key
 from ..operators.ranking import keep_first
 from ..operators.summaries import cache_misses
 from ..session import scratch_path
@@ -31,7 +32,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def generate_misses(misses: DataFrame, models: Mapping[str, Loader],
                     chosen: str | None = None) -> DataFrame:
     """Summaries for requests that have none; a failed row keeps its error."""
-    asked = misses.drop("error").withColumn("prompt", email_prompt())
+    asked = spread_calls(misses.drop("error"), "seq").withColumn("prompt", email_prompt())
     return generate_with_fallback(asked, models, chosen=chosen, output="summary").drop("prompt")
 
 
@@ -65,7 +66,7 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
         "email_id", "summary", no_text.alias("model_used"), no_text.alias("failure"), no_number.alias("maker")
     ).unionByName(made.select(
         "email_id", "summary", "model_used", F.col("error").alias("failure"), F.col("seq").alias("maker")
-    )).where(F.col("email_id").isNotNull())
+    )).where(F.col("email_id").isNotNull()).withColumn("email_id", fresh_key("email_id"))
     keys = checked.select("seq", "email_id", "error")
     own = F.coalesce(F.col("maker") == F.col("seq"), F.lit(False))
     usable = F.col("error").isNull()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..columns import Instant, as_column, instant, quoted
 from ..functions.fields import date_label, first_truthy, is_truthy, iso_text
+from ..operators.joins import fresh_key
 
 
 def email_file_name(as_of: Instant, subject: Column | str = "subject") -> Column:
@@ -37,18 +38,21 @@ def email_report(emails: DataFrame, summaries: DataFrame, as_of: Instant, model:
     never gathered into one value.
     """
     stored = summaries.where(F.col("email_id").isNotNull()).select(
-        F.col("email_id").alias("_key"), "summary"
-    )
-    mails = emails.withColumn("file_name", email_file_name(as_of)).join(
-        stored, F.col("id") == F.col("_key"), "left"
+        fresh_key("email_id").alias("_key"), "summary"
     )
+    named = emails.withColumn("file_name", email_file_name(as_of))
+    keyed = named.where(F.col("id").isNotNull()).join(stored, F.col("id") == F.col("_key"), "left")
     if turns is None:
-        mails = mails.withColumn("_chat", F.lit(False))
+        keyed = keyed.withColumn("_chat", F.lit(False))
     else:
         talked = turns.select(F.col("conv_id").alias("_conv"), F.lit(True).alias("_has")).distinct()
-        mails = mails.join(talked, F.col("id") == F.col("_conv"), "left").withColumn(
+        keyed = keyed.join(talked, F.col("id") == F.col("_conv"), "left").withColumn(
             "_chat", F.coalesce("_has", F.lit(False))
         )
+    # Mails without id have neither and need not meet in one partition of the joins.
+    without_id = named.where(F.col("id").isNull()).withColumns({
+        "summary": F.lit(None).cast("string"), "_chat": F.lit(False)})
+    mails = keyed.select(*without_id.columns).unionByName(without_id)
     head = F.concat(
         F.lit("=== EMAIL EXPORT ===\n\nDate: "), date_label("date"),
         F.lit("\nFrom: "), first_truthy(quoted("from"), F.lit(fixed.UNKNOWN)),
@@ -71,8 +75,8 @@ def email_report(emails: DataFrame, summaries: DataFrame, as_of: Instant, model:
     rows = mails.select("id", "file_name", F.inline(ends))
     if turns is None:
         return rows
-    named = emails.select(F.col("id").alias("conv_id"), email_file_name(as_of).alias("file_name"))
-    talk = turns.join(named, "conv_id").select(
+    owners = named.select(F.col("id").alias("conv_id"), "file_name")
+    talk = turns.join(owners, "conv_id").select(
         F.col("conv_id").alias("id"), "file_name", F.lit(1).alias("section"),
         F.col("turn").cast("bigint").alias("turn"),
         F.concat("role", F.lit(": "), "content", F.lit("\n")).alias("text"),

@@ -53,21 +53,36 @@ class SummaryStore:
         name = f"v={number:08d}-{kind}" + (f"-{tag}" if tag else "")
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
+    def _load(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(SUMMARY).parquet(*folders)
+
     def read(self) -> DataFrame:
-        """The current table."""
+        """The current table.
+
+        Only the deltas are searched for the latest row of a key.  The full
+        snapshot just loses the keys they replace, by an anti join that is a
+        broadcast as long as the deltas are small.
+        """
         live = self._live()
         if not live:
             return self.spark.createDataFrame([], SUMMARY)
-        rows = self.spark.read.schema(SUMMARY).parquet(*[v[3] for v in live])
-        return rows if len(live) == 1 else ops.latest_per_email(rows)
+        full = [v[3] for v in live if v[1] == "full"]
+        deltas = [v[3] for v in live if v[1] == "delta"]
+        if not deltas:
+            return self._load(full)
+        changes = ops.latest_per_email(self._load(deltas))
+        if not full:
+            return changes
+        replaced = self._load(deltas).select("email_id")
+        kept = self._load(full).join(replaced, "email_id", "left_anti")
+        return kept.select(*ops.STORED).unionByName(changes.select(*ops.STORED))
 
     def last_id(self) -> int:
         """Highest id ever given out, also by rows deleted since: ids are not used twice."""
         folders = [v[3] for v in self._versions()]
         if not folders:
             return 0
-        ids = self.spark.read.schema(SUMMARY).parquet(*folders)
-        return ids.agg(F.max("id")).first()[0] or 0
+        return self._load(folders).agg(F.max("id")).first()[0] or 0
 
     def write(self, rows: DataFrame) -> None:
         """Replace the whole table."""
