@@ -8,7 +8,6 @@ from feedfold import fixed
 from feedfold.columns import quoted
 from feedfold.functions import fields
 from feedfold.operators import filters, ranking, threads
-from feedfold.operators.ranking import as_arrival_order
 from feedfold.plans import mail, message_threads as mt
 from feedfold.sources import message_tables as tables
 

@@ -1,9 +1,11 @@
 import random
 import re
+from itertools import dropwhile
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedfold import fixed
 from feedfold.functions import prompts, text
 
 
@@ -27,23 +29,22 @@ def test_clean_chat_response(value, given, clean):
     assert value(text.clean_chat_response("v"), v=given) == clean
 
 
+RULER = re.compile("(`{3,}|-{3,}|_{3,}|~{3,})?")
+LABEL = re.compile(rf"\b({'|'.join(fixed.ANSWER_LABELS)})\s*:\s*", re.I)
+
+
 def expected_answer(given):
     """The rules once more, in plain Python over one text."""
-    lines = given.strip().splitlines()
-    while lines and re.fullmatch(r"(`{3,}|-{3,}|_{3,}|~{3,})?", lines[-1].strip()):
-        del lines[-1]
-    base = "\n".join(lines).strip()
-    flat = base.replace("```", " ").replace("`", "")
-    flat = re.sub(r"\b(assistant|final answer|your response|response|answer)\s*:\s*", "", flat, flags=re.I)
-    flat = " ".join(flat.split())
-    if "User Question:" in flat:
-        short = flat.partition("User Question:")[0].rstrip()
-    elif "Question:" in flat and "Answer:" in flat:
-        short = flat.partition("Question:")[0].rstrip()
-    else:
-        found = [s for s in re.split(r"(?<=[.!?])\s+", flat) if s]
-        short = " ".join(list(dict.fromkeys(found))[:4]) if len(found) > 1 else flat
-    return base, short
+    backwards = dropwhile(lambda line: RULER.fullmatch(line.strip()), reversed(given.strip().splitlines()))
+    base = "\n".join(list(backwards)[::-1]).strip()
+    flat = " ".join(LABEL.sub("", base.replace("```", " ").replace("`", "")).split())
+    head, repeated, _ = flat.partition("User Question:")
+    if not repeated and "Answer:" in flat:
+        head, repeated, _ = flat.partition("Question:")
+    if repeated:
+        return base, head.rstrip()
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", flat) if s]
+    return base, " ".join(list(dict.fromkeys(sentences))[:4]) if len(sentences) > 1 else flat
 
 
 def test_cleaning_random_texts(spark):
@@ -100,7 +101,5 @@ def test_prompts(value):
 
 
 def test_white_space_is_what_python_strips(spark):
-    from feedfold import fixed
-
     assert set(fixed.WHITE_SPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
     assert spark.range(1).select(text.strip(F.lit(fixed.WHITE_SPACE))).first()[0] == ""
