@@ -53,7 +53,7 @@ def _(spark, sf):
     events = a.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for _ in range(2):
         events.write.mode("append").parquet(landing)
-    stream = streams.refresh_stream(spark, landing, events.schema, files_per_trigger=1)
+    stream = streams.refresh_stream(spark, landing, events.schema)
     once = streams.stream_dedup(stream, ["event_id"], delay="60 days")
     return _through(once, spark).select("event_id", "user_id", "event_type")
 
