@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from feedfold.operators.threads import thread_rollup
@@ -17,8 +19,24 @@ from .stored import _SUMMARIZED
 QUERIES, ORACLES = {}, {}
 
 
+def state_partitions(function):
+    """On one machine, as many state partitions as cores; a cluster keeps its setting."""
+    @wraps(function)
+    def run(spark, sf):
+        key, context = "spark.sql.shuffle.partitions", spark.sparkContext
+        before = spark.conf.get(key)
+        if context.master.startswith("local"):
+            spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
+        try:
+            return function(spark, sf)
+        finally:
+            spark.conf.set(key, before)
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def add(function):
+        function = state_partitions(function)
         QUERIES[name] = function
         if sql is not None:
             ORACLES[name] = sql
@@ -106,6 +124,20 @@ def _(spark, sf):
         F.unix_timestamp("window_start").alias("window_start"), "thread_id", "message_count")
 
 
+# The window moves on every four hours here.
+@query("stream_rolling_threads", f"""
+    with m as ({_CHATS}), mark as (select (max(timestamp) - 3600) // 14400 * 14400 as mark from m),
+      x as (select *, (timestamp // 14400 - unnest(range(0, 12))) * 14400 as window_start from m)
+    select window_start, thread_id, arg_min(title, seq) as title, count(*) as message_count,
+      arg_max(text, row(timestamp, seq)) as last_value, max(timestamp) as last_ts, min(seq) as first_seq
+    from x, mark where window_start + 48 * 3600 <= mark group by window_start, thread_id""")
+def _(spark, sf):
+    rolled = streams.stream_rolling_threads(_chats(_events(spark, sf)), step="4 hours")
+    return _through(rolled, spark).select(
+        F.unix_timestamp("window_start").alias("window_start"), "thread_id", "title", "message_count",
+        F.col("last_message").cast("double").alias("last_value"), "last_ts", "first_seq")
+
+
 @query("late_and_future", "select event_id, event_type from events where ts <= timestamp '2024-01-20 00:00:00'")
 def _(spark, sf):
     kept = streams.drop_late_and_future(_events(spark, sf), as_of="2024-01-20 00:00:00")

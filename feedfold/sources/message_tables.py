@@ -64,9 +64,13 @@ def read_message_tables(message: DataFrame, handle: DataFrame, chat_message_join
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, by: By = (),
-                  enabled: bool = True) -> DataFrame:
-    """The primary rows, or the secondary rows where there are no primary ones."""
-    if not enabled:
+                  enabled: bool = True, failed: bool = False) -> DataFrame:
+    """The primary rows, or the secondary rows where there are no primary ones.
+
+    ``enabled`` switches this off for a primary source that is merely empty; one that
+    ``failed`` is always replaced.
+    """
+    if not enabled and not failed:
         return primary
     if by:
         have = primary.select(*by_columns(by)).distinct()

@@ -65,7 +65,7 @@ def stream_threads(messages: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
-def stream_rolling_counts(stream: DataFrame, key: Column, ts: str = "ts", delay: str = STEP,
+def stream_rolling_counts(stream: DataFrame, key: Column, ts: str = "ts", delay: str = "1 hour",
                           window: str = WINDOW, step: str = STEP, by: By = ()) -> DataFrame:
     """Rows per thread in the last 48 hours, hour by hour, in ``append`` mode.
 
@@ -87,6 +87,36 @@ def stream_rolling_counts(stream: DataFrame, key: Column, ts: str = "ts", delay:
     )
 
 
+def stream_rolling_threads(messages: DataFrame, ts: str = "ts", delay: str = "1 hour",
+                           window: str = WINDOW, step: str = STEP, by: By = ()) -> DataFrame:
+    """Thread roll-up over the last 48 hours, step by step, in ``append`` mode: rows
+    leave as the window moves on.
+
+    Steps are rolled up first; count, latest and first message of the window follow
+    from those of its steps.  The window must be a whole number of steps.
+    """
+    hourly = (
+        messages.withWatermark(ts, delay)
+        .groupBy(F.window(ts, step).alias("_step"), *by_columns(by), thread_key().alias("thread_id"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max(F.struct("timestamp", "seq", "text")).alias("_last"),
+            F.min(F.struct(F.col("seq"), thread_title().alias("title"))).alias("_first"),
+        )
+        .select(F.window_time("_step").alias("_time"), *by_columns(by), "thread_id", "n", "_last", "_first")
+    )
+    return (
+        hourly.groupBy(F.window("_time", window, step).alias("_window"), *by_columns(by), "thread_id")
+        .agg(F.sum("n").alias("message_count"), F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+        .select(
+            F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"),
+            *by_columns(by), "thread_id", F.col("_first.title").alias("title"), "message_count",
+            F.col("_last.text").alias("last_message"), F.col("_last.timestamp").alias("last_ts"),
+            F.col("_first.seq").alias("first_seq"),
+        )
+    )
+
+
 def append_to_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint

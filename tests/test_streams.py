@@ -96,6 +96,19 @@ def test_rolling_counts_add_up_hours(spark, rows, landing):
         ("10 01", "a"): 2, ("10 02", "a"): 3, ("10 03", "a"): 3, ("10 04", "a"): 1}
 
 
+def test_rolling_threads_let_messages_leave(spark, rows, landing):
+    data = [(1, "c", "Old", "10:10", "one"), (2, "c", "New", "10:50", "two"), (3, "c", "New", "11:10", "three"), (9, "z", "z", "23:00", "z")]
+    df = rows("seq bigint, chat_id string, chat_name string, at string, text string", *data).selectExpr(
+        "seq", "chat_id", "chat_name", "'' as sender", "text", "to_timestamp(concat('2024-01-10 ', at)) as ts",
+        "unix_timestamp(to_timestamp(concat('2024-01-10 ', at))) as timestamp")
+    landing.deliver(df)
+    step(streams.append_to_table(streams.stream_rolling_threads(
+        landing.stream(df.schema), window="2 hours"), landing.out, landing.state, available_now=True))
+    got = {r.window_end.strftime("%H"): (r.title, r.message_count, r.last_message, r.first_seq)
+           for r in spark.read.parquet(landing.out).where("thread_id = 'c'").collect()}
+    assert got == {"11": ("Old", 2, "two", 1), "12": ("Old", 3, "three", 1), "13": ("New", 1, "three", 3)}
+
+
 def test_summaries_of_a_repeated_batch_are_not_made_twice(spark, rows, landing, tmp_path):
     marks = tmp_path / "marks"
     marks.mkdir()

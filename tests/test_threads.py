@@ -142,4 +142,5 @@ def test_fallback(rows):
     assert some(mtab.with_fallback(primary.where("a > 5"), secondary)) == [(1, "s"), (2, "s")]
     assert some(mtab.with_fallback(primary, secondary, ["a"])) == [(1, "p"), (2, "s")]
     assert some(mtab.with_fallback(primary.where("a > 5"), secondary, enabled=False)) == []
+    assert some(mtab.with_fallback(primary.where("a > 5"), secondary, enabled=False, failed=True)) == [(1, "s"), (2, "s")]
     assert [mtab.fallback_enabled(s) for s in (None, "1", "TRUE", "Yes", "0", "")] == [True, True, True, True, False, False]
