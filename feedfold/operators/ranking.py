@@ -17,9 +17,20 @@ from ..columns import By, as_column, by_columns, quoted, window_by
 Order = Sequence[Column | str]
 
 
-def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str = "rank") -> DataFrame:
-    """First n rows per account in ``order``, numbered from 1 in ``rank``."""
+def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str = "rank",
+            shares: int | None = None) -> DataFrame:
+    """First n rows per account in ``order``, numbered from 1 in ``rank``.
+
+    Each task sends n rows of an account to the task that merges them.  Where an
+    account is found in very many tasks (say 100,000) that is too much for one:
+    ``shares`` (about the square root of the number of tasks) merges the tasks'
+    rows in so many groups first.
+    """
     order = [as_column(o) for o in order]
+    if n is not None and shares:
+        df = df.withColumn("_share", F.spark_partition_id() % shares)
+        nth = F.row_number().over(window_by([*by, "_share"]).orderBy(*order))
+        df = df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_share", "_nth")
     if n is not None and not by:
         # At most n rows are left before they are numbered.
         df = df.orderBy(*order).limit(n)
@@ -29,9 +40,10 @@ def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str =
     return numbered if n is None else numbered.where(F.col(rank) <= n)
 
 
-def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq") -> DataFrame:
+def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq",
+                   shares: int | None = None) -> DataFrame:
     """The n rows that came first."""
-    return first_n(df, n, [seq], by)
+    return first_n(df, n, [seq], by, shares=shares)
 
 
 def cap_then_sort(df: DataFrame, n: int, by: By = (), sort: str = "due_ts", seq: str = "seq") -> DataFrame:
@@ -54,8 +66,9 @@ def cap_across_groups(df: DataFrame, n: int, by: By = (), group_order: str = "ch
     return first_n(df, n, [group_order, F.desc(ts), seq], by)
 
 
-def newest_n(df: DataFrame, n: int, by: By = (), ts: str = "date", seq: str = "seq") -> DataFrame:
-    return first_n(df, n, [F.desc(ts), seq], by)
+def newest_n(df: DataFrame, n: int, by: By = (), ts: str = "date", seq: str = "seq",
+             shares: int | None = None) -> DataFrame:
+    return first_n(df, n, [F.desc(ts), seq], by, shares=shares)
 
 
 def as_arrival_order(capped: DataFrame, rank: str = "rank", seq: str = "seq") -> DataFrame:

@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", app: str = "feedfold", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

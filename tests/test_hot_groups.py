@@ -38,6 +38,15 @@ def test_caps_and_rollup(messages):
     assert {(r.account, r.thread_id): r.message_count for r in got} == dict(want)
 
 
+def test_caps_merged_in_shares_are_the_same(messages):
+    for by in ([], ["account"]):
+        plain = ranking.newest_n(messages, 50, by, ts="timestamp").collect()
+        shared = ranking.newest_n(messages, 50, by, ts="timestamp", shares=3)
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == (4 if by else 2)
+        assert sorted(shared.collect()) == sorted(plain)
+
+
 def test_uncapped_rollup_is_whole(messages):
     got = {r.thread_id: r.message_count for r in threads.thread_rollup(messages).collect()}
     assert got == dict(Counter(chat for _, _, chat, _ in python_rows()))
