@@ -25,6 +25,14 @@ def strip(text: Column | str) -> Column:
     return F.btrim(as_column(text), F.lit(fixed.WHITE_SPACE))
 
 
+def _strip_long(text: Column) -> Column:
+    """``strip`` for long texts (bound by ``let``): most need none, and looking at
+    both ends costs far less than a trim, which takes stock of every character."""
+    space = F.lit(fixed.WHITE_SPACE)
+    ends = F.contains(space, F.substring(text, 1, 1)) | F.contains(space, F.substring(text, -1, 1))
+    return F.when(ends, strip(text)).otherwise(text)
+
+
 def strip_code_blocks(text: Column | str) -> Column:
     """The text before the first code fence, stripped; empty and missing stay."""
     text = as_column(text)
@@ -48,7 +56,7 @@ def _without_tail(text: Column) -> Column:
         own_line = body == ""
         last = F.array_max(F.transform(tail, lambda line, i: F.when(
             ((i > 0) | own_line) & _is_fence(line), 0).otherwise(i + 1)))
-        return strip(F.concat(body, F.array_join(F.slice(tail, F.lit(1), last), "\n")))
+        return let(F.concat(body, F.array_join(F.slice(tail, F.lit(1), last), "\n")), _strip_long)
 
     return let(F.rtrim(text, F.lit(fixed.WHITE_SPACE + fixed.RULER_MARKS)), cut)
 
@@ -67,7 +75,7 @@ def clean_response(text: Column | str) -> Column:
     lines.
     """
     return let(
-        let(strip(text), _one_line_break),
+        let(let(as_column(text), _strip_long), _one_line_break),
         lambda t: F.when(_is_fence(F.substring_index(t, "\n", -1)), _without_tail(t)).otherwise(t),
     )
 
@@ -77,7 +85,7 @@ def _flatten(text: Column) -> Column:
     labels = "|".join(fixed.ANSWER_LABELS)
     text = F.replace(F.replace(text, F.lit(FENCE_MARK), F.lit(" ")), F.lit("`"), F.lit(""))
     text = F.regexp_replace(text, rf"(?iU)\b(?:{labels}){_SPACE}*:{_SPACE}*", "")
-    return strip(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
+    return let(F.regexp_replace(text, rf"(?U){_SPACE}+", " "), _strip_long)
 
 
 def _shorten(text: Column) -> Column:
