@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +58,24 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for j, factor in enumerate(odd_numbers(n, n)):
         out += h[j : j + m] * factor
     return mixed(out)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows that come in order of ``keys`` (long or int columns)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+        starts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != v for k, v in zip(keys, values[:, 0])):
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *starts.tolist(), batch.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            if s:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)

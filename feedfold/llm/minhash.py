@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mixed, odd_numbers, run_hashes, word_hashes, words_of, written
+from .common import fresh, groups, mixed, odd_numbers, run_hashes, word_hashes, words_of, written
 from .components import components
 
 BANDS, ROWS, BITS = 32, 5, 4  # 160 minima of 4 bits: ten longs
@@ -79,52 +79,92 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - 6 * math.sqrt(p * (1 - p) / n) / (1 - chance)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
-    """Of each tile (rows in order of key, i, j): pairs of different components whose signatures look alike."""
-    mask = np.uint64(0x1111111111111111)
-
-    def pairs(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        sig, node, comp, own = rows["sig"], rows["node"], rows["comp"], rows["own"]
-        left = np.flatnonzero(own == rows["i"][0])
-        right = np.flatnonzero(own == rows["j"][0])
-        z = sig[left][:, None, :] ^ sig[right][None, :, :]
-        for shift in (1, 2):
-            z |= z >> np.uint64(shift)
-        off = np.bitwise_count(z & mask).sum(axis=2)
-        chance = 2.0**-BITS
+def _tied(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The groups that a matrix of links makes, as (first, other) of each: fewer pairs than members."""
+    out, free = [], links.any(axis=1)
+    for first in np.flatnonzero(free):
+        if not free[first]:
+            continue
+        rows = np.zeros(len(left), bool)
+        rows[first] = True
+        while True:
+            columns = links[rows].any(axis=0)
+            wider = rows | links[:, columns].any(axis=1)
+            if (wider == rows).all():
+                break
+            rows = wider
+        free &= ~rows
+        members = np.unique(np.concatenate([left[rows], right[columns]]))
+        out += [(int(members[0]), int(x)) for x in members[1:]]
+    return out
+
+
+def _sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    own = tile["own"].to_numpy()
+    return np.flatnonzero(own == tile["i"][0].as_py()), np.flatnonzero(own == tile["j"][0].as_py())
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _alike_in_tiles(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[pa.RecordBatch]:
+    """Groups of documents of a tile that signatures tie together across components."""
+    mask, chance = np.uint64(0x1111111111111111), 2.0**-BITS
+    for tile in groups(batches, ["key", "i", "j"]):
+        left, right = _sides(tile)
+        sig = np.concatenate([c.flatten().to_numpy() for c in tile["sig"].chunks]).view(np.uint64).reshape(tile.num_rows, -1)
+        comp, node = tile["comp"].to_numpy(), tile["node"].to_numpy()
+        off = np.zeros((len(left), len(right)), np.int64)
+        for part in sig.T:
+            z = part[left][:, None] ^ part[right][None, :]
+            for shift in (1, 2):
+                z |= z >> np.uint64(shift)
+            off += np.bitwise_count(z & mask)
         likely = ((1 - off / (BANDS * ROWS)) - chance) / (1 - chance) >= cut
         likely &= comp[left][:, None] != comp[right][None, :]
-        x, y = np.nonzero(likely)
-        a, b = node[left[x]], node[right[y]]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    held: dict | None = None
-
-    def done(rows):
-        starts = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-        edges = [0, *starts, len(rows["key"])]
-        return [{k: v[s:e] for k, v in rows.items()} for s, e in zip(edges, edges[1:])]
+        yield _pairs(_tied(likely, node[left], node[right]))
+
+
+def _linked_in_tiles(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Groups of documents of a tile that full sets link across components."""
+    for tile in groups(batches, ["key", "i", "j"]):
+        left, right = _sides(tile)
+        comp, node = tile["comp"].to_numpy(), tile["node"].to_numpy()
+        sets = [shingle_set(text.as_py(), words) for text in tile["text"]]
+        sizes = np.array(list(map(len, sets)))
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[place] > 1  # a shingle of one document alone is in no intersection
+        column = (np.cumsum(times > 1) - 1)[place[shared]]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[shared][order]
+        both = np.zeros((len(left), len(right)))
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            s, e = np.searchsorted(column, [at, at + 2048])
+            has = np.zeros((len(sets), 2048), np.float32)
+            has[owner[s:e], column[s:e] - at] = 1
+            both += has[left] @ has[right].T
+        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        linked &= comp[left][:, None] != comp[right][None, :]
+        yield _pairs(_tied(linked, node[left], node[right]))
+
+
+def _tiled(members: DataFrame, sizes: DataFrame, carried: str) -> DataFrame:
+    """Members (key, node, comp) in chunks of their group, each chunk with each: in order of the tile."""
+    chunks = F.ceil(F.col("m") / TILE).cast("int")
+    placed = members.join(sizes.select(fresh("key").alias("key"), chunks.alias("c")), "key").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("c").cast("long")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
+    placed = placed.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "comp",
+                           "own", carried)
+    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def table(groups):
-        found = [pairs(g) for g in groups if len(g["key"]) > 1]
-        if not found:
-            return None
-        a, b = (np.concatenate(x) for x in zip(*found))
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = {k: batch.column(k).to_numpy() for k in ("key", "i", "j", "node", "comp", "own")}
-        rows["sig"] = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        if held is not None:
-            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-        *whole, held = done(rows)
-        if (out := table(whole)) is not None:
-            yield out
-    if held is not None and (out := table([held])) is not None:
-        yield out
+def _sizes_of_mixed(members: DataFrame) -> DataFrame:
+    return members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where(
+        "lo <> hi")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -155,8 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     Two documents are linked if 100 * intersection >= percent * union of their sets of
     ``words``-word shingles; all links are confirmed on full sets.  Equal sets are linked to
     their least id without comparing.  Band buckets give candidates: first each member with the
-    bucket's least one; where that leaves several components in a bucket, all pairs between
-    components, in tiles.  Packed signatures thin candidates six standard errors below the
+    bucket's least one; where that leaves several components in a bucket, its members are compared in
+    tiles by signature, and the groups that this ties together in tiles by full sets.  Packed signatures thin candidates six standard errors below the
     similarity, so a link is missed by chance alone (below 1 in 100,000 at the threshold).
 
     Null and empty texts have an empty set and are linked with nothing. Rows with one id are
@@ -182,24 +222,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     tested = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     likely = tested.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").where(
         _alike("sig_a", "sig_b") >= cut).select("a", "b")
-    tested = written(likely, "minhash-pairs")
-    near = written(_verified(tested, docs, words, percent), "minhash-links")
-
-    label = components(near)
-    named = shared.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed_up = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.count("*").alias("m")).where("lo <> hi")
-    chunks = F.ceil(F.col("m") / TILE).cast("int")
-    tiled = named.join(mixed_up.select(fresh("key").alias("key"), chunks.alias("c")), "key").withColumn(
-        "own", F.pmod(F.xxhash64("id"), F.col("c").cast("long")).cast("int")).join(sigs, "id")
-    tiled = tiled.select("key", "id", "comp", "own", "sig", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    tiled = tiled.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"),
-                         F.col("id").alias("node"), "comp", "own", "sig")
-    more = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        lambda it: _tiles(it, cut), "a long, b long").distinct()
-    more = more.join(tested, ["a", "b"], "left_anti")
-    late = _verified(written(more, "minhash-pairs"), docs, words, percent)
+    near = written(_verified(written(likely, "minhash-pairs"), docs, words, percent), "minhash-links")
+
+    label = components(near).toDF("node", "component")
+    comp = F.coalesce("component", "node").alias("comp")
+    named = shared.select("key", F.col("id").alias("node")).join(label, "node", "left").select("key", "node", comp)
+    tiles = _tiled(named.join(sigs.toDF("node", "sig"), "node"), _sizes_of_mixed(named), "sig")
+    alike = components(tiles.mapInArrow(lambda it: _alike_in_tiles(it, cut), "a long, b long"))
+    named = written(alike.select(F.col("component").alias("key"), "node").join(label, "node", "left").select(
+        "key", "node", comp), "minhash-groups")
+    texts = docs.select(F.col("id").alias("node"), "text")
+    tiles = _tiled(named.join(texts, "node"), _sizes_of_mixed(named), "text")
+    late = written(tiles.mapInArrow(lambda it: _linked_in_tiles(it, words, percent), "a long, b long"), "minhash-links")
 
     label = components(copies.unionByName(near).unionByName(late))
     out = signed.select("id", "n").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
