@@ -138,14 +138,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     one row of one block.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     ranks = load_ranks(path)
     others = [c for c in docs.columns if c != text_col]
     docs = docs.select(F.struct(*others).alias("rest"), F.col(text_col).cast("string").alias("text"))
     rest = docs.schema["rest"].dataType
-    block_type = (StructType().add("block", "long").add("words", "array<string>").add("rest", ArrayType(rest))
-                  .add("lengths", "array<int>").add("codes", "binary"))
+    block_type = (StructType().add("block", "long").add("words", ArrayType(StringType())).add("rest", ArrayType(rest))
+                  .add("lengths", ArrayType(IntegerType())).add("codes", "binary"))
     block_schema = to_arrow_schema(block_type)
     blocks = written(docs.mapInArrow(lambda it: _blocks(it, pattern, block_schema), block_type), "bpe-blocks")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
