@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, odd_numbers, run_hashes, word_hashes, words_of, written
+from .common import mixed, odd_numbers, run_hashes, slices, word_hashes, words_of, written
 
 GRAM = 8
 SAMPLE = 2_000  # documents that are looked at for grams that very many documents share
@@ -68,7 +68,7 @@ def _batch(names: str, **columns) -> pa.RecordBatch:
 
 def _route(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments of the documents.  Of a hot anchor's equal segments only a task's first goes on; the others are decided."""
-    for batch in batches:
+    for batch in slices(batches):
         found, best = [], {}
         for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
             if (s := segments(text.as_py(), window, hot)) is not None:
@@ -216,31 +216,45 @@ def _match(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         yield _batch("id long, th int, start int, n int", id=ids, th=th, start=start, n=n)
 
 
+def _spans(column: pa.ListArray, *fields: str) -> Iterator[list[np.ndarray]]:
+    """For each row, the fields of its list of structs; null is an empty list."""
+    flat = column.flatten()
+    values = [flat.field(f).to_numpy() for f in fields]
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    for s, e in zip([0, *ends.tolist()], ends.tolist()):
+        yield [v[s:e] for v in values]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Segments to match, as words, of the documents that have some."""
-    for batch in batches:
-        found = []
-        for doc, th, text, spans in zip(*(batch.column(k).to_pylist() for k in ("id", "th", "text", "firsts"))):
-            words = words_of(text)
-            found += [(s["key"], doc, th, s["start"], b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]))
-                      for s in spans]
-        keys, ids, th, start, words = zip(*found) if found else ((),) * 5
-        yield _batch("key long, id long, th int, start int, words binary", key=keys, id=ids, th=th, start=start, words=words)
+    names = "key long, id long, th int, start int, words binary"
+    for batch in slices(batches):
+        keys, rows, starts, cut = [], [], [], []
+        for row, (text, (key, start, n)) in enumerate(zip(batch.column("text"), _spans(batch.column("firsts"), "key", "start", "n"))):
+            words = words_of(text.as_py())
+            keys.append(key), starts.append(start), rows.append(np.full(len(key), row))
+            cut += [b" ".join(words[s : s + k + window - 1]) for s, k in zip(start.tolist(), n.tolist())]
+        rows = np.concatenate([np.empty(0, np.int64), *rows])
+        yield _batch(names, key=np.concatenate([np.empty(0, np.int64), *keys]), id=batch.column("id").to_numpy()[rows],
+                     th=batch.column("th").to_numpy()[rows], start=np.concatenate([np.empty(0, np.int32), *starts]), words=cut)
 
 
 def _drop(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         total, gone, kept = [], [], []
-        for text, *lists in zip(*(batch.column(k).to_pylist() for k in ("text", "copies", "matched"))):
-            words = words_of(text)
-            keep = np.ones(len(words), bool)
-            for span in [s for spans in lists for s in spans or ()]:
-                keep[span["start"] : span["start"] + span["n"] + window - 1] = False
+        lists = (_spans(batch.column(k), "start", "n") for k in ("copies", "matched"))
+        for text, *both in zip(batch.column("text"), *lists):
+            words = words_of(text.as_py())
+            edges = np.zeros(len(words) + 1, np.int64)  # where spans begin and end
+            for start, n in both:
+                np.add.at(edges, start, 1)
+                np.add.at(edges, start + n + window - 1, -1)
+            keep = np.cumsum(edges[:-1]) == 0
             total.append(len(words))
             gone.append(int(len(words) - keep.sum()))
-            kept.append(b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)]))
+            kept.append(b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)]).decode("utf-8", "replace"))
         columns = [batch.column("rest"), batch.column("text"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                   pa.array(kept, pa.binary()).cast(pa.string())]
+                   pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["rest", "text", "n_words", "n_removed", "kept"])
 
 
