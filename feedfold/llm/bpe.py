@@ -17,8 +17,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import written
+from .common import fresh, written
 
 BLOCK_CHARS = 16_000_000
 UNKNOWN = "�".encode()
@@ -137,9 +139,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     repeated rows are encoded alike; an empty table gives no rows.  A text of any length is
     one row of one block.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
-
     ranks = load_ranks(path)
     others = [c for c in docs.columns if c != text_col]
     docs = docs.select(F.struct(*others).alias("rest"), F.col(text_col).cast("string").alias("text"))
@@ -151,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     encoded = written(words.select("word").distinct().mapInArrow(
         lambda it: _encode_words(it, ranks), "word string, ids binary"), "bpe-words")
-    pieces = words.join(encoded, "word").select("block", "at", "ids")
+    pieces = words.join(encoded, "word").select(fresh("block").alias("block"), "at", "ids")
     out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType()))
     out_schema = to_arrow_schema(out_type)
     places = blocks.select("block", "rest", "lengths", "codes")
@@ -188,4 +187,4 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = coded.columns.index(ids_col)
     columns = [c for c in coded.columns if c != "decoded"]
     coded, at = coded.select(columns), columns.index(ids_col)
-    return coded.mapInArrow(lambda it: _decode(it, at, blob, starts, sizes), coded.schema.add("decoded", "binary"))
+    return coded.mapInArrow(lambda it: _decode(it, at, blob, starts, sizes), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
