@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, minhash, substrings
+from . import bpe, minhash, substrings, toxicity
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -60,3 +60,11 @@ def op2_byte_bpe(spark, sf_dir):
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     decoded = bpe.decode(coded.select("rest.doc_id", "ids"), path)
     return decoded.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    return scored.select("rest.doc_id", toxicity.held_out("rest.doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
