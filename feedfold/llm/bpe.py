@@ -2,8 +2,9 @@
 
 Documents are cut into blocks.  A block keeps its distinct words and, for every place,
 the number of the word that stands there.  The words of all blocks are shuffled, each
-distinct one is encoded once and joined back, and a block is put together again from the
-ids of its own words.  What moves is one row for a word and block, never one for a place.
+distinct one is encoded once, its ids join all its rows, and a block is put together again
+from the ids of its own words.  What moves is one row for a word and block, never one for
+a place; the blocks themselves stay in their buckets.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import fresh, written
+from .common import bucketed
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 UNKNOWN = "�".encode()
 
 
@@ -78,7 +79,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema)
     rests, codes, size = [], [], 0
 
     def row():
-        flat = np.concatenate([np.empty(0, np.int64), *codes]).astype(np.uint32)
+        flat = np.concatenate(codes)
         order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")  # frequent words get small numbers
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
@@ -95,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema)
         for at, text in enumerate(batch.column(1)):
             words = split(text.as_py() or "")
             number = known.setdefault
-            codes.append(np.fromiter((number(w, len(known)) for w in words), np.int64, len(words)))
+            codes.append(np.fromiter((number(w, len(known)) for w in words), np.uint32, len(words)))
             size += len(text.as_py() or "") + 1
             if size >= BLOCK_CHARS:
                 rests.append(batch.column(0).slice(taken, at + 1 - taken))
@@ -108,18 +109,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema)
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their word: each distinct word is encoded once, and its ids join all its rows."""
+    last, ids = None, b""
     for batch in batches:
-        ids = [np.array(encode_word(w.encode(), ranks), np.uint32).tobytes() for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+        out = []
+        for word in batch.column("word").to_pylist():
+            if word != last:
+                last, ids = word, np.array(encode_word(word.encode(), ranks), np.uint32).tobytes()
+            out.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())],
+                                         ["block", "at", "ids"])
 
 
 def _assemble(block: pa.Table, pieces: pa.Table, schema: pa.Schema) -> pa.Table:
     if not block.num_rows:
         return schema.empty_table()
     pieces = pieces.take(np.argsort(pieces["at"].to_numpy()))
-    blobs = pieces["ids"].combine_chunks()
-    sizes = np.array([len(b) // 4 for b in blobs.to_pylist()], np.int64)
-    ids = np.frombuffer(b"".join(blobs.to_pylist()), np.uint32)
+    blobs = pieces["ids"].to_pylist()
+    sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+    ids = np.frombuffer(b"".join(blobs), np.uint32)
     starts = np.cumsum(sizes) - sizes
     lengths = np.array(block["lengths"][0].values).astype(np.int64)
     total = int(lengths.sum())
@@ -146,11 +154,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     block_type = (StructType().add("block", "long").add("words", ArrayType(StringType())).add("rest", ArrayType(rest))
                   .add("lengths", ArrayType(IntegerType())).add("codes", "binary"))
     block_schema = to_arrow_schema(block_type)
-    blocks = written(docs.mapInArrow(lambda it: _blocks(it, pattern, block_schema), block_type), "bpe-blocks")
+    blocks = bucketed(docs.mapInArrow(lambda it: _blocks(it, pattern, block_schema), block_type), "block", "bpe-blocks")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    encoded = written(words.select("word").distinct().mapInArrow(
-        lambda it: _encode_words(it, ranks), "word string, ids binary"), "bpe-words")
-    pieces = words.join(encoded, "word").select(fresh("block").alias("block"), "at", "ids")
+    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(
+        lambda it: _encode_words(it, ranks), "block long, at int, ids binary")
     out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType()))
     out_schema = to_arrow_schema(out_type)
     places = blocks.select("block", "rest", "lengths", "codes")

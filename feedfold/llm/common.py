@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,21 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """``written``, in buckets of ``key``: a join or grouping on it does not move these rows again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    name = os.path.basename(path).replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
+     .saveAsTable(name))
+    return spark.table(name)
+
+
 def fresh(column: str) -> Column:
     """A long key as a new expression, so that a join on it makes an exchange of its own that AQE can split."""
     return F.col(column) + F.lit(0).cast("long")
