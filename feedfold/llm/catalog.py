@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, minhash, substrings, toxicity
+from . import bpe, decontaminate, minhash, substrings, toxicity
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -68,3 +68,10 @@ def op8_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
     return scored.select("rest.doc_id", toxicity.held_out("rest.doc_id").alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("rest.doc_id", "item_id", "score", "question_overlap", "answer_overlap")
