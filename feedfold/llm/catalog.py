@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, decontaminate, minhash, substrings, toxicity
+from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -75,3 +75,8 @@ def op5_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
     return found.select("rest.doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
+@query
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -98,3 +98,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def tied(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The groups that a matrix of links makes, as (first, other) of each: fewer pairs than members."""
+    out, free = [], links.any(axis=1)
+    for first in np.flatnonzero(free):
+        if not free[first]:
+            continue
+        rows = np.zeros(len(left), bool)
+        rows[first] = True
+        while True:
+            columns = links[rows].any(axis=0)
+            wider = rows | links[:, columns].any(axis=1)
+            if (wider == rows).all():
+                break
+            rows = wider
+        free &= ~rows
+        members = np.unique(np.concatenate([left[rows], right[columns]]))
+        out += [(int(members[0]), int(x)) for x in members[1:]]
+    return out

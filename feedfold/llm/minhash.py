@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, mixed, odd_numbers, run_hashes, word_hashes, words_of, written
+from .common import fresh, groups, mixed, odd_numbers, run_hashes, tied, word_hashes, words_of, written
 from .components import components
 
 BANDS, ROWS, BITS = 32, 5, 4  # 160 minima of 4 bits: ten longs
@@ -79,26 +79,6 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - 6 * math.sqrt(p * (1 - p) / n) / (1 - chance)
 
 
-def _tied(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """The groups that a matrix of links makes, as (first, other) of each: fewer pairs than members."""
-    out, free = [], links.any(axis=1)
-    for first in np.flatnonzero(free):
-        if not free[first]:
-            continue
-        rows = np.zeros(len(left), bool)
-        rows[first] = True
-        while True:
-            columns = links[rows].any(axis=0)
-            wider = rows | links[:, columns].any(axis=1)
-            if (wider == rows).all():
-                break
-            rows = wider
-        free &= ~rows
-        members = np.unique(np.concatenate([left[rows], right[columns]]))
-        out += [(int(members[0]), int(x)) for x in members[1:]]
-    return out
-
-
 def _sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     own = tile["own"].to_numpy()
     return np.flatnonzero(own == tile["i"][0].as_py()), np.flatnonzero(own == tile["j"][0].as_py())
@@ -124,7 +104,7 @@ def _alike_in_tiles(batches: Iterator[pa.RecordBatch], cut: float) -> Iterator[p
             off += np.bitwise_count(z & mask)
         likely = ((1 - off / (BANDS * ROWS)) - chance) / (1 - chance) >= cut
         likely &= comp[left][:, None] != comp[right][None, :]
-        yield _pairs(_tied(likely, node[left], node[right]))
+        yield _pairs(tied(likely, node[left], node[right]))
 
 
 def _linked_in_tiles(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -148,7 +128,7 @@ def _linked_in_tiles(batches: Iterator[pa.RecordBatch], words: int, percent: int
             both += has[left] @ has[right].T
         linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
         linked &= comp[left][:, None] != comp[right][None, :]
-        yield _pairs(_tied(linked, node[left], node[right]))
+        yield _pairs(tied(linked, node[left], node[right]))
 
 
 def _tiled(members: DataFrame, sizes: DataFrame, carried: str) -> DataFrame:
