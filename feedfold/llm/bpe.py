@@ -1,10 +1,10 @@
 """Byte-level BPE: each distinct word is encoded once for the whole corpus, its ids go back to where it stood.
 
 Documents are cut into blocks.  A block keeps its distinct words and, for every place,
-the number of the word that stands there.  The words of all blocks are shuffled, each
-distinct one is encoded once, its ids join all its rows, and a block is put together again
-from the ids of its own words.  What moves is one row for a word and block, never one for
-a place; the blocks themselves stay in their buckets.
+the number of the word that stands there.  The distinct words of all blocks are shuffled by
+their hash, packed in one row for each block and share of the hashes.  Whoever gets a share
+encodes each of its words once and sends ids back in the same order, and a block
+is put together again from the ids of its own words; the blocks themselves stay in their buckets.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import bucketed
 
 BLOCK_CHARS = 8_000_000
+MOST_KNOWN = 2_000_000  # words that a task remembers at once
 UNKNOWN = "�".encode()
 
 
@@ -70,7 +72,30 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.uint32(len(numbers)).tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob[:4], np.uint32)[0])
+    raw = pa.decompress(blob[4:], n * 4, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _packed(words: list[bytes]) -> dict:
+    data = b"".join(words)
+    return {"sizes": _squeezed(np.fromiter(map(len, words), np.uint32, len(words))), "length": len(data),
+            "data": pa.compress(data, "zstd", asbytes=True)}
+
+
+def _unpacked(sizes: bytes, length: int, data: bytes) -> list[bytes]:
+    raw, ends = pa.decompress(data, length, "zstd", asbytes=True), np.cumsum(_spread(sizes), dtype=np.int64).tolist()
+    return [raw[s:e] for s, e in zip([0, *ends], ends)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, shares: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     split = regex.compile(pattern).findall
@@ -83,12 +108,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema)
         order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")  # frequent words get small numbers
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
-        planes = number[flat].view(np.uint8).reshape(-1, 4).T
-        words = pa.array(list(known), pa.string()).take(pa.array(order))
+        raw = [w.encode() for w in known]
+        words = [raw[i] for i in order.tolist()]
+        share = np.fromiter((xxhash.xxh3_64_intdigest(w) % shares for w in words), np.int64, len(words))
+        sorted_by = np.argsort(share, kind="stable")
+        some, first = np.unique(share[sorted_by], return_index=True)
+        parts = [{"share": s, **_packed([words[i] for i in own.tolist()])}
+                 for s, own in zip(some.tolist(), np.split(sorted_by, first[1:]))]
         every = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        columns = [pa.array([block], pa.int64()), every(words), every(pa.concat_arrays(rests)),
-                   every(pa.array(list(map(len, codes)), pa.int32())),
-                   pa.array([pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)], pa.binary())]
+        columns = [pa.array([block], pa.int64()), pa.array([parts], schema.field("parts").type),
+                   pa.array([_squeezed(share)], pa.binary()), every(pa.concat_arrays(rests)),
+                   every(pa.array(list(map(len, codes)), pa.int32())), pa.array([_squeezed(number[flat])], pa.binary())]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for batch in batches:
@@ -109,30 +139,38 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, schema: pa.Schema)
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their word: each distinct word is encoded once, and its ids join all its rows."""
-    last, ids = None, b""
+    """Rows in order of their share: each distinct word of a share is encoded once, for all blocks that have it."""
+    last, known = None, {}
     for batch in batches:
-        out = []
-        for word in batch.column("word").to_pylist():
-            if word != last:
-                last, ids = word, np.array(encode_word(word.encode(), ranks), np.uint32).tobytes()
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())],
-                                         ["block", "at", "ids"])
+        sizes, ids = [], []
+        for share, *packed in zip(*(batch.column(k).to_pylist() for k in ("share", "sizes", "length", "data"))):
+            if share != last or len(known) > MOST_KNOWN:
+                last, known = share, {}
+            flat, n = [], []
+            for word in _unpacked(*packed):
+                if (found := known.get(word)) is None:
+                    found = known[word] = encode_word(word, ranks)
+                flat += found
+                n.append(len(found))
+            sizes.append(_squeezed(np.array(n, np.uint32)))
+            ids.append(_squeezed(np.array(flat, np.uint32)))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("share"), pa.array(sizes, pa.binary()),
+                                          pa.array(ids, pa.binary())], ["block", "share", "sizes", "ids"])
 
 
 def _assemble(block: pa.Table, pieces: pa.Table, schema: pa.Schema) -> pa.Table:
     if not block.num_rows:
         return schema.empty_table()
-    pieces = pieces.take(np.argsort(pieces["at"].to_numpy()))
-    blobs = pieces["ids"].to_pylist()
-    sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-    ids = np.frombuffer(b"".join(blobs), np.uint32)
-    starts = np.cumsum(sizes) - sizes
+    share = _spread(block["share"][0].as_py())
+    pieces = pieces.take(np.argsort(pieces["share"].to_numpy()))  # the order of the words when sorted by their share
+    none = [np.empty(0, np.uint32)]
+    own = np.concatenate(none + [_spread(b) for b in pieces["sizes"].to_pylist()]).astype(np.int64)
+    ids = np.concatenate(none + [_spread(b) for b in pieces["ids"].to_pylist()])
+    sizes, starts = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    sorted_by = np.argsort(share, kind="stable")
+    sizes[sorted_by], starts[sorted_by] = own, np.cumsum(own) - own
     lengths = np.array(block["lengths"][0].values).astype(np.int64)
-    total = int(lengths.sum())
-    raw = pa.decompress(block["codes"][0].as_py(), total * 4, "zstd", asbytes=True) if total else b""
-    codes = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    codes = _spread(block["codes"][0].as_py())
     out = ids[gathered(starts[codes], sizes[codes])]
     ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(lengths)])]
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.astype(np.int32), pa.int32()))
@@ -151,16 +189,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     others = [c for c in docs.columns if c != text_col]
     docs = docs.select(F.struct(*others).alias("rest"), F.col(text_col).cast("string").alias("text"))
     rest = docs.schema["rest"].dataType
-    block_type = (StructType().add("block", "long").add("words", ArrayType(StringType())).add("rest", ArrayType(rest))
-                  .add("lengths", ArrayType(IntegerType())).add("codes", "binary"))
+    part = StructType().add("share", IntegerType()).add("sizes", "binary").add("length", IntegerType()).add("data", "binary")
+    block_type = (StructType().add("block", "long").add("parts", ArrayType(part)).add("share", "binary")
+                  .add("rest", ArrayType(rest)).add("lengths", ArrayType(IntegerType())).add("codes", "binary"))
     block_schema = to_arrow_schema(block_type)
-    blocks = bucketed(docs.mapInArrow(lambda it: _blocks(it, pattern, block_schema), block_type), "block", "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(
-        lambda it: _encode_words(it, ranks), "block long, at int, ids binary")
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(docs.mapInArrow(lambda it: _blocks(it, pattern, shares, block_schema), block_type), "block", "bpe-blocks")
+    words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
+    pieces = words.repartition("share").sortWithinPartitions("share").mapInArrow(
+        lambda it: _encode_words(it, ranks), "block long, share int, sizes binary, ids binary")
     out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType()))
     out_schema = to_arrow_schema(out_type)
-    places = blocks.select("block", "rest", "lengths", "codes")
+    places = blocks.select("block", "share", "rest", "lengths", "codes")
     return places.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(
         lambda block, found: _assemble(block, found, out_schema), out_type)
 

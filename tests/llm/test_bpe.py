@@ -61,7 +61,7 @@ def test_unknown_ids_null_lists_and_empty_tables(spark):
 def test_blocks_are_not_shuffled_again(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = bpe.encode(docs, PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange hashpartitioning(word") == 1
+    assert plan.count("Exchange hashpartitioning(block") == 1 and plan.count("Exchange hashpartitioning(share") == 1
 
 
 def test_the_table_of_tokens_is_bounded():
