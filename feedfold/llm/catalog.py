@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity
+from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -80,3 +80,30 @@ def op5_decontamination(spark, sf_dir):
 @query
 def op3_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("intact")
+
+
+ORACLES["op9_warc"] = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), d as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as hex,
+    min(page_id) over (partition by payload) as first
+  from p
+), b as (
+  select *, list_aggregate(
+    [lpad(bin(strpos('0123456789abcdef', h) - 1), 4, '0') for h in string_split(hex, '')], 'string_agg', '') as bits
+  from d
+)
+select page_id, payload_bytes::bigint as payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1
+    + 16 * substr(bits, (5 * i + 1)::int, 1)::int + 8 * substr(bits, (5 * i + 2)::int, 1)::int
+    + 4 * substr(bits, (5 * i + 3)::int, 1)::int + 2 * substr(bits, (5 * i + 4)::int, 1)::int
+    + substr(bits, (5 * i + 5)::int, 1)::int)::int, 1) for i in range(32)], 'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from b"""
