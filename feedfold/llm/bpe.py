@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import bucketed
 
 BLOCK_CHARS = 8_000_000
+IDS_AT_ONCE = 250_000  # that are decoded together
 MOST_KNOWN = 2_000_000  # words that a task remembers at once
 UNKNOWN = "�".encode()
 
@@ -174,12 +175,14 @@ def _assemble(block: pa.Table, pieces: pa.Table, schema: pa.Schema) -> pa.Table:
     out = ids[gathered(starts[codes], sizes[codes])]
     ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(lengths)])]
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.astype(np.int32), pa.int32()))
+    raw = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(out)])
     rest = block["rest"][0].values
-    return pa.Table.from_arrays([rest.cast(schema.field(0).type), lists.cast(schema.field(1).type)], schema=schema)
+    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip((rest, lists, raw), schema)], schema=schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: rest (a struct of its other columns, at least one), ids (array of int): each match of ``pattern`` encoded by itself.
+    """Per row of ``docs``: rest (a struct of its other columns, at least one), ids (array of int), raw (the ids as
+    little-endian unsigned 32-bit numbers): each match of ``pattern`` encoded by itself.
 
     ``path`` names a rank file.  No special tokens.  Null and empty texts have no ids;
     repeated rows are encoded alike; an empty table gives no rows.  A text of any length is
@@ -198,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
     pieces = words.repartition("share").sortWithinPartitions("share").mapInArrow(
         lambda it: _encode_words(it, ranks), "block long, share int, sizes binary, ids binary")
-    out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType()))
+    out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType())).add("raw", "binary")
     out_schema = to_arrow_schema(out_type)
     places = blocks.select("block", "share", "rest", "lengths", "codes")
     return places.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(
@@ -208,15 +211,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 def _decode(batches: Iterator[pa.RecordBatch], at: int, blob: np.ndarray, starts: np.ndarray,
             sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
     last = len(starts) - 1  # the entry for ids that are in no table
-    for batch in batches:
-        lists = batch.column(at)
-        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = np.where((ids < 0) | (ids >= last), last, ids)
-        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        places = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], ends])]
-        raw = blob[gathered(starts[ids], sizes[ids])].tobytes()
-        texts = pa.array([raw[s:e] for s, e in zip(places, places[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+    for whole in batches:
+        share = np.cumsum(whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // IDS_AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), whole.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            batch = whole.slice(s, e - s)
+            lists = batch.column(at)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids >= last), last, ids)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            places = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], ends])]
+            raw = blob[gathered(starts[ids], sizes[ids])].tobytes()
+            texts = pa.array([raw[s:e] for s, e in zip(places, places[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

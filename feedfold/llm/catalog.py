@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,25 +37,13 @@ def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(docs).select("rest.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _digests(batches):
-    """SHA-256 of the ids as little-endian unsigned 32-bit numbers, and of the decoded bytes."""
-    for batch in batches:
-        lists = batch.column("ids")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        raw, ends = lists.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
-        ids = [hashlib.sha256(raw[s:e].tobytes()).hexdigest() for s, e in zip(ends, ends[1:])]
-        texts = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in batch.column("decoded")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 @query
 def op2_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded.select("rest.doc_id", "ids"), path)
-    return decoded.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    decoded = bpe.decode(coded.select("rest.doc_id", "ids", F.sha2("raw", 256).alias("ids_sha256")), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
