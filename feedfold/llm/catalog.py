@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity, warc
+from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity, urls, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -91,3 +91,15 @@ select page_id, payload_bytes::bigint as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to
 from b"""
+
+
+#: Verdict, host and path of the rules that come before the model; fixed values.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"),
+             ("allow", "net", "/de/"), ("block", "org", "/es/")]
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(*urls.labelled_by_rules(pages, URL_RULES))
+    return urls.judged(pages, URL_RULES, model).select("rest.page_id", "host", "path", "rule", "verdict", "score")
