@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, decontaminate, embeddings, minhash, substrings, toxicity, urls, warc
+from . import bpe, chatml, decontaminate, embeddings, licenses, minhash, substrings, toxicity, urls, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -103,3 +103,20 @@ def op7_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = urls.train(*urls.labelled_by_rules(pages, URL_RULES))
     return urls.judged(pages, URL_RULES, model).select("rest.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("rest.doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentences", "licenses", "unmatched")])
+
+
+ORACLES["op1_license_scan"] = licenses.sql()
+
+
+@query
+def op4_chat_perspectives(spark, sf_dir):
+    return chatml.perspectives(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_chat_perspectives"] = chatml.SQL
