@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
@@ -20,36 +22,34 @@ def trailing_lines(turns: DataFrame, line: Column, n: int, key: str = "conv_id",
                    order: str = "turn", by: By = (), span: int = SPAN) -> DataFrame:
     """Adds ``_lines``: the line of each turn and of the ``n - 1`` turns before it.
 
-    ``order`` is the turn's position (unique, from 0; gaps do no harm).  A
-    conversation is worked on in spans of ``span`` positions, so one that holds a
-    third of all rows is spread over many tasks.  The first turns of a later span
-    need turns of earlier spans: those few get their lines from a second window
-    over the edges (first and last ``n - 1`` turns) of long conversations' spans.
-    Whether there are long conversations at all is asked first; the scan answers
-    that from its row-group statistics.
+    ``order`` is the turn's position (unique in its conversation; gaps do no harm,
+    NULL comes first).  A conversation is worked on in spans of ``span`` positions,
+    so one that holds a third of all rows is spread over many tasks.  The first
+    turns of a later span need turns of earlier ones: in conversations of several
+    spans the first and last ``n - 1`` turns of each get their lines from a second
+    window.  There is one plan for all sizes; rows without key are one conversation.
     """
-    keys = [*by_columns(by), quoted(key)]
-    marked = turns.withColumn("_line", line)
-    beyond = quoted(order) >= span
-    if marked.where(beyond).isEmpty():
-        return _trailing(marked, keys, order, n).drop("_line")
-
-    marked = marked.withColumn("_span", F.floor(quoted(order) / span).cast("bigint"))
-    inside = Window.partitionBy(*keys, "_span")
+    keys = [*by, key]
+    place = F.floor(quoted(order) / span).cast("bigint")
+    marked = turns.withColumn("_line", line).withColumn("_span", F.coalesce(place, F.lit(-(2**63))))
+    inside = Window.partitionBy(*by_columns(keys), "_span")
     spans = (
-        _trailing(marked, [*keys, F.col("_span")], order, n)
+        _trailing(marked, [*by_columns(keys), F.col("_span")], order, n)
         .withColumn("_head", F.row_number().over(inside.orderBy(order)))
         .withColumn("_tail", F.row_number().over(inside.orderBy(F.desc(order))))
     )
-    inherits = (F.col("_span") > 0) & (F.col("_head") < n)
-    complete = spans.where(~inherits)
-
-    long_ones = turns.where(beyond).select(*keys).distinct()
-    edges = spans.where((F.col("_head") < n) | (F.col("_tail") < n)).join(
-        long_ones, [*by, key], "left_semi"
-    )
-    heads = _trailing(edges.drop("_lines"), keys, order, n).where(inherits)
-    helpers = ("_line", "_span", "_head", "_tail")
+    several = marked.groupBy(*by_columns(keys)).agg(
+        F.min("_span").alias("_from"), F.max("_span").alias("_to")
+    ).where("_from < _to").select(
+        *[quoted(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.lit(True).alias("_several"))
+    same = [quoted(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    helpers = ("_line", "_span", "_head", "_tail", "_several", *[f"_key{i}" for i in range(len(keys))])
+    # The keys of long conversations may be hot on the left; a left join can be split.
+    known = spans.join(several, reduce(Column.__and__, same), "left")
+    again = F.col("_several").isNotNull() & (F.col("_head") < n)
+    complete = known.where(~again)
+    edges = known.where(again | (F.col("_several").isNotNull() & (F.col("_tail") < n)))
+    heads = _trailing(edges.drop("_lines"), by_columns(keys), order, n).where(F.col("_head") < n)
     return complete.drop(*helpers).unionByName(heads.drop(*helpers))
 
 

@@ -1,14 +1,17 @@
 """Caps, orders and running budgets.
 
 A cap keeps the first n rows of a total order.  Without ``by`` it is a top-n
-(each task keeps n rows, one small merge); with ``by`` it is ``row_number() <= n``,
-which Spark cuts to n rows per account *before* the shuffle (WindowGroupLimit),
-so an account holding a third of all rows moves no more than n rows per task.
+(each task keeps n rows, one small merge).  With ``by`` it is merged in two
+levels: an account's rows are dealt to ``SHARES`` groups, each group keeps its
+first n, and only those meet in one task.  Spark cuts small n in each task before
+the first level as well; an account that holds a third of all rows is spread at
+any n.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,34 +19,48 @@ from ..columns import By, as_column, by_columns, quoted, window_by
 
 Order = Sequence[Column | str]
 
+SHARES = 64
+DAY = 86_400
 
-def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str = "rank",
-            shares: int | None = None) -> DataFrame:
-    """First n rows per account in ``order``, numbered from 1 in ``rank``.
 
-    Each task sends n rows of an account to the task that merges them.  Where an
-    account is found in very many tasks (say 100,000) that is too much for one:
-    ``shares`` (about the square root of the number of tasks) merges the tasks'
-    rows in so many groups first.
-    """
+def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str = "rank") -> DataFrame:
+    """First n rows per account in ``order``, numbered from 1 in ``rank``."""
     order = [as_column(o) for o in order]
-    if n is not None and shares:
-        df = df.withColumn("_share", F.spark_partition_id() % shares)
+    if n is None and not by:
+        raise ValueError("numbering all rows of one account would need one task; give n or by")
+    if n is not None and by:
+        # Dealt by input task, so that what each task keeps of an account is n rows, not n for each group.
+        df = df.withColumn("_share", F.spark_partition_id() % SHARES)
         nth = F.row_number().over(window_by([*by, "_share"]).orderBy(*order))
         df = df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_share", "_nth")
-    if n is not None and not by:
+    elif n is not None:
         # At most n rows are left before they are numbered.
         df = df.orderBy(*order).limit(n)
-    if n is None and not by:
-        raise ValueError("numbering all rows of one account would need one task; give n or by")
     numbered = df.withColumn(rank, F.row_number().over(window_by(by).orderBy(*order)))
     return numbered if n is None else numbered.where(F.col(rank) <= n)
 
 
-def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq",
-                   shares: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, sort: str, seq: str, by: By = (), rank: str = "rank", width: int = DAY) -> DataFrame:
+    """All rows numbered from 1 by (``sort``, ``seq``), NULL first, without bringing an account together.
+
+    Rows are counted per ``width`` of ``sort`` and numbered inside it.
+    """
+    spanned = df.withColumn("_span", F.floor(quoted(sort) / width).cast("bigint"))
+    keys = [*by, "_span"]
+    counts = spanned.groupBy(*by_columns(keys)).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = window_by(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select(
+        *[quoted(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_before")
+    same = reduce(Column.__and__, [quoted(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    inside = F.row_number().over(window_by(keys).orderBy(quoted(sort), quoted(seq)))
+    placed = spanned.withColumn("_nth", inside).join(starts, same)
+    number = (F.col("_before") + F.col("_nth")).cast("int")
+    return placed.withColumn(rank, number).select(*[quoted(c) for c in df.columns], rank)
+
+
+def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq") -> DataFrame:
     """The n rows that came first."""
-    return first_n(df, n, [seq], by, shares=shares)
+    return first_n(df, n, [seq], by)
 
 
 def cap_then_sort(df: DataFrame, n: int, by: By = (), sort: str = "due_ts", seq: str = "seq") -> DataFrame:
@@ -54,10 +71,8 @@ def cap_then_sort(df: DataFrame, n: int, by: By = (), sort: str = "due_ts", seq:
 
 
 def sort_then_cap(df: DataFrame, n: int, by: By = (), sort: str = "start_ts", seq: str = "seq") -> DataFrame:
-    """The n smallest by ``sort``; ``n=0`` keeps all rows, in order."""
-    if n:
-        return first_n(df, n, [sort, seq], by)
-    return df.orderBy(*by_columns(by), quoted(sort), quoted(seq))
+    """The n smallest by ``sort``, a number of seconds; ``n=0`` keeps all rows, ranked as well."""
+    return first_n(df, n, [sort, seq], by) if n else ranked(df, sort, seq, by)
 
 
 def cap_across_groups(df: DataFrame, n: int, by: By = (), group_order: str = "chat_seq",
@@ -66,9 +81,8 @@ def cap_across_groups(df: DataFrame, n: int, by: By = (), group_order: str = "ch
     return first_n(df, n, [group_order, F.desc(ts), seq], by)
 
 
-def newest_n(df: DataFrame, n: int, by: By = (), ts: str = "date", seq: str = "seq",
-             shares: int | None = None) -> DataFrame:
-    return first_n(df, n, [F.desc(ts), seq], by, shares=shares)
+def newest_n(df: DataFrame, n: int, by: By = (), ts: str = "date", seq: str = "seq") -> DataFrame:
+    return first_n(df, n, [F.desc(ts), seq], by)
 
 
 def as_arrival_order(capped: DataFrame, rank: str = "rank", seq: str = "seq") -> DataFrame:

@@ -83,12 +83,13 @@ def thread_messages(messages: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
-def collect_thread_messages(messages: DataFrame, count: int, by: By = ()) -> DataFrame:
+def collect_thread_messages(messages: DataFrame, count: int | None, by: By = ()) -> DataFrame:
     """Threads of the first ``count`` messages per account with their nested lists.
 
-    The cap is part of the operator: no list is longer than ``count``.
+    The cap is part of the operator: no list is longer than ``count``.  None says
+    that the messages come from a cap already, numbered by it.
     """
-    capped = as_arrival_order(first_n(messages, count, ["seq"], by))
+    capped = messages if count is None else as_arrival_order(first_n(messages, count, ["seq"], by))
     item = F.struct("timestamp", "seq", "chat_id", "chat_name", "sender", "direction", "date", "text")
     return (
         thread_messages(capped, by)
@@ -136,14 +137,14 @@ def _preview(messages: Column, newest: bool) -> Column:
     return F.substring(F.array_join(pieces, "; "), 1, fixed.PREVIEW_TOTAL)
 
 
-def digest_threads(messages: DataFrame, count: int = fixed.DIGEST_MESSAGE_FETCH, by: By = (),
+def digest_threads(messages: DataFrame, count: int | None = fixed.DIGEST_MESSAGE_FETCH, by: By = (),
                    newest_preview: bool = False) -> DataFrame:
-    """Threads of the first ``count`` messages per account with size and preview.
+    """Threads of the first ``count`` messages per account with size and preview; None: they are capped already.
 
     Extraction order is newest first, so the preview shows the *oldest* three
     messages of a thread; ``newest_preview`` turns that round.
     """
-    capped = as_arrival_order(first_n(messages, count, ["seq"], by))
+    capped = messages if count is None else as_arrival_order(first_n(messages, count, ["seq"], by))
     # Only the start of a text can show up in a preview.
     item = F.struct("seq", F.substring("text", 1, fixed.PREVIEW_PIECE).alias("text"))
     return (

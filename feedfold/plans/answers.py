@@ -14,7 +14,7 @@ from ..functions.prompts import (
 )
 from ..functions.text import clean_chat_response
 from ..operators.filters import check_requests
-from ..operators.generation import Loader, generate
+from ..operators.generation import Loader, generate, spread_calls
 
 
 def email_question_prompts(requests: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def item_question_prompts(requests: DataFrame) -> DataFrame:
 
 
 def _answered(asked: DataFrame, load: Loader) -> DataFrame:
-    made = generate(asked, load, max_tokens=fixed.CHAT_TOKENS)
+    made = generate(spread_calls(asked), load, max_tokens=fixed.CHAT_TOKENS)
     return made.withColumn("answer", non_blank(clean_chat_response("answer"))).drop("prompt")
 
 

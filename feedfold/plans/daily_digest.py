@@ -11,7 +11,7 @@ from ..columns import By, Instant
 from ..functions.prompts import digest_prompt
 from ..operators import digest as ops
 from ..operators.filters import due_window, look_ahead, look_back, open_only
-from ..operators.generation import Loader, generate_with_fallback
+from ..operators.generation import Loader, generate_with_fallback, spread_calls
 from ..operators.threads import digest_threads
 from .message_threads import recent_messages
 
@@ -24,7 +24,7 @@ def digest_blocks(emails: DataFrame, calendar: DataFrame, reminders: DataFrame,
         "emails": ops.email_block(look_back(emails, as_of, 24), by),
         "events": ops.event_block(look_ahead(calendar, as_of, 1), by),
         "reminders": ops.reminder_block(due_window(open_only(reminders), as_of, 1), by),
-        "messages": ops.message_block(digest_threads(newest, by=by), by),
+        "messages": ops.message_block(digest_threads(newest, None, by), by),
     }
 
 
@@ -38,7 +38,7 @@ def daily_digest(emails: DataFrame, calendar: DataFrame, reminders: DataFrame,
 def write_digests(digests: DataFrame, models: Mapping[str, Loader],
                   chosen: str | None = None) -> DataFrame:
     """Adds ``answer``, ``model_used`` and ``error`` to digest rows."""
-    return generate_with_fallback(digests, models, chosen=chosen)
+    return generate_with_fallback(spread_calls(digests), models, chosen=chosen)
 
 
 def count_row(blocks: Mapping[str, DataFrame]) -> DataFrame:

@@ -90,7 +90,7 @@ def summarize_items(requests: DataFrame, models: Mapping[str, Loader],
     """Summaries of events, reminders and conversations (``kind, title, content``); not stored."""
     checked = check_requests(requests, "item_summary")
     good = checked.where(F.col("error").isNull()).drop("error")
-    asked = good.withColumn("prompt", item_prompt())
+    asked = spread_calls(good).withColumn("prompt", item_prompt())
     made = generate_with_fallback(asked, models, chosen=chosen, output="summary").drop("prompt", "error")
     made = made.withColumn("summary", non_blank(strip_code_blocks("summary"))).withColumn(
         "error", F.when(F.col("summary").isNull(), fixed.ERROR_SUMMARY)

@@ -31,11 +31,14 @@ def local_session(cores: int | str = "*", app: str = "feedfold", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a new temporary
-    folder is made and remembered in the session.
+    A local session that names none (tests on one machine) gets a new temporary
+    folder, remembered in the session; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="feedfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -36,8 +36,24 @@ def test_long_conversations_are_split_without_a_trace(spark, turn):
         assert got == whole, span
 
 
-def test_usual_conversations_need_one_shuffle(spark, tmp_path):
-    spark.range(100).selectExpr("id % 9 as conv_id", "id as turn", "'r' as role", "'x' as content").write.parquet(str(tmp_path / "t"))
-    found = chat.chat_context(spark.read.parquet(str(tmp_path / "t")))
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_null_keys_positions_and_turns(spark, rows):
+    """One plan for all sizes: NULLs are where a plain window has them, and no job runs while planning."""
+    data = [(None if i % 5 == 0 else f"c{i % 3}", None if i in (4, 9) else i * 3, None if i % 7 == 0 else "r", str(i)) for i in range(60)]
+    df = rows(TURN, *data).withColumn("account", F.expr("if(content % 4 = 0, null, content % 2)"))
+    line = F.coalesce(F.concat("role", F.lit(": "), "content"), F.lit("-"))
+    one = chat._trailing(df.withColumn("_line", line), [F.col("account"), F.col("conv_id")], "turn", 4)
+    whole = sorted(str((r.account, r.conv_id, r.turn, r._lines)) for r in one.collect())
+    tracker = spark.sparkContext.statusTracker()
+    for span in (1, 4, 10, 1000):
+        spark.sparkContext.setJobGroup(f"plan{span}", "")
+        got = chat.trailing_lines(df, line, 4, by=["account"], span=span)
+        assert not tracker.getJobIdsForGroup(f"plan{span}")
+        assert got.columns == [*df.columns, "_lines"]
+        assert sorted(str((r.account, r.conv_id, r.turn, r._lines)) for r in got.collect()) == whole, span
+
+
+def test_long_conversations_take_the_same_plan(spark):
+    turns = spark.range(50).selectExpr("id % 9 as conv_id", "id as turn", "'r' as role", "'x' as content")
+    longer = turns.withColumn("turn", F.col("turn") * 100_000)
+    shapes = {"".join(c for c in chat.chat_context(t)._jdf.queryExecution().optimizedPlan().toString() if c.isalpha()) for t in (turns, longer)}
+    assert chat.chat_context(longer).count() == 50 and shapes

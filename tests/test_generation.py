@@ -82,6 +82,68 @@ def test_prompts_alone_travel_to_python(rows):
     assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
 
 
+def one_short():
+    return lambda prompts, budgets: [f"to {p}" for p in prompts][: max(1, len(prompts) - 1)]
+
+
+def not_text():
+    return lambda prompts, budgets: [{"text": 5} if p == "bad" else {"text": "ok"} for p in prompts]
+
+
+def test_answers_of_another_number_are_asked_for_one_by_one(rows):
+    df = rows("prompt string", ("a",), ("b",), ("c",)).coalesce(1)
+    assert answered(generation.generate(df, one_short)) == {"a": "to a", "b": "to b", "c": "to c"}
+    def none_at_all():
+        return lambda prompts, budgets: []
+    assert set(answered(generation.generate(df, none_at_all)).values()) == {None}
+
+
+def test_a_record_without_text_fails_alone(rows):
+    df = rows("prompt string", ("a",), ("bad",), ("c",)).coalesce(1)
+    got = {r.prompt: (r.answer, r.why) for r in generation.generate(df, not_text, cause="why").collect()}
+    assert got == {"a": ("ok", None), "bad": (None, "TypeError: text of an answer is int"), "c": ("ok", None)}
+
+
+def marked(folder, fails=False):
+    """A model that leaves a mark for each time it is loaded, with the worker's number."""
+    def load():
+        import os
+        import uuid
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        if fails:
+            raise OSError("no weights")
+        return lambda prompts, budgets: ["x"] * len(prompts)
+    return load
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_a_model_is_loaded_once_in_a_worker(spark, tmp_path, fails):
+    df = spark.range(400).selectExpr("cast(id as string) as prompt").repartition(32)
+    made = generation.generate_with_fallback(df, {"m": marked(str(tmp_path), fails)}, cause="why")
+    assert {(r.answer, r.why) for r in made.collect()} == {(None, "OSError: no weights") if fails else ("x", None)}
+    workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert 1 <= len(workers) == len(set(workers)) < 32
+
+
+def test_answered_rows_are_not_sent_again(rows):
+    def counting():
+        def call(prompts, budgets):
+            assert all(p == "bad" for p in prompts)
+            return ["late"] * len(prompts)
+        return call
+    df = rows("prompt string", ("a",), ("bad",)).coalesce(1)
+    got = generation.generate_with_fallback(df, {"one": picky, "two": counting})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.prompt: r.model_used for r in got.collect()} == {"a": "one", "bad": "two"}
+    assert "CASE WHEN isnotnull(_ask" in plan
+
+
+def test_calls_are_spread_by_rows(spark):
+    many = spark.range(20_000)
+    assert generation.spread_calls(many).rdd.getNumPartitions() == 40
+    assert generation.spread_calls(many, "id", rows=10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 REQUEST = "seq bigint, email_id string, subject string, sender string, email_date string, body string"
 
 

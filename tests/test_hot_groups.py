@@ -38,13 +38,36 @@ def test_caps_and_rollup(messages):
     assert {(r.account, r.thread_id): r.message_count for r in got} == dict(want)
 
 
-def test_caps_merged_in_shares_are_the_same(messages):
-    for by in ([], ["account"]):
-        plain = ranking.newest_n(messages, 50, by, ts="timestamp").collect()
-        shared = ranking.newest_n(messages, 50, by, ts="timestamp", shares=3)
-        plan = shared._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("WindowGroupLimit") == (4 if by else 2)
-        assert sorted(shared.collect()) == sorted(plain)
+@pytest.mark.parametrize("n", [50, 1000, 1001, 5000])
+def test_caps_are_merged_in_two_levels_at_any_n(messages, n):
+    got = ranking.newest_n(messages, n, ["account"], ts="timestamp")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(account") == 2
+    per_account = {}
+    for seq, account, _, ts in python_rows():
+        per_account.setdefault(account, []).append((-ts, seq))
+    want = {(account, seq, i + 1) for account, found in per_account.items() for i, (_, seq) in enumerate(sorted(found)[:n])}
+    assert {(r.account, r.seq, r["rank"]) for r in got.collect()} == want
+    assert ranking.newest_n(messages, n, ts="timestamp").count() == n
+
+
+def test_every_cap_is_merged_in_two_levels(messages):
+    rows = messages.withColumns({"due_ts": F.col("timestamp"), "start_ts": F.col("timestamp"), "chat_seq": F.col("seq") % 9})
+    for cap in (ranking.cap_by_arrival, ranking.cap_then_sort, ranking.sort_then_cap, ranking.cap_across_groups):
+        plan = cap(rows, 1001, ["account"])._jdf.queryExecution().executedPlan().toString()
+        assert "_share" in plan, cap
+
+
+def test_all_rows_are_ranked_in_spans(messages):
+    rows = messages.selectExpr("account", "seq", "if(seq % 100 = 0, null, timestamp * 40) as start_ts")
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.account, []).append(((r.start_ts is not None, r.start_ts or 0), r.seq))
+    want = {(a, seq, i + 1) for a, found in want.items() for i, (_, seq) in enumerate(sorted(found))}
+    got = ranking.sort_then_cap(rows, 0, ["account"])
+    assert got.columns == ranking.sort_then_cap(rows, 3, ["account"]).columns
+    assert {(r.account, r.seq, r["rank"]) for r in got.collect()} == want
+    assert sorted(r["rank"] for r in ranking.sort_then_cap(rows, 0).collect()) == list(range(1, N + 1))
 
 
 def test_uncapped_rollup_is_whole(messages):
