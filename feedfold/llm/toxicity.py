@@ -19,20 +19,19 @@ from .common import slices, words_of
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN, ATTEND = 2**14, 8, 8, 8
+CHUNK = 16_384  # words whose features are made at once
 GRAMS = (3, 4, 5)
 MARKS = b".,;:!?()[]{}\"'*_-"
 SAMPLE_PER_CLASS, SAMPLE_WORDS, EPOCHS, STEP, DROPPED = 2_000, 2_000, 8, 0.02, 0.5
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets; then character buckets, where each word's begin in them, and how many each has."""
+def _chunk_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = [w.strip(MARKS) or w for w in words]
-    ids = np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in bare), np.int64, len(bare))
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in bare), np.int32, len(bare))
     flat = np.frombuffer(b"\0" + b"\0".join(bare) + b"\0", np.uint8).astype(np.uint32)
     lengths = np.fromiter(map(len, bare), np.int64, len(bare))
-    first = np.cumsum(lengths + 1) - lengths  # of each word's bytes
-    owner = np.repeat(np.arange(len(bare)), lengths + 1)
-    ends = first + lengths
+    owner = np.repeat(np.arange(len(bare), dtype=np.int32), lengths + 1)
+    ends = np.cumsum(lengths + 1)  # of each word's bytes, where its end mark is
     buckets, owners = [], []
     for n in GRAMS:  # runs that lie in a word with its two ends
         begins = np.arange(len(owner))
@@ -41,12 +40,17 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for j in range(n):
             h = (h ^ flat[begins + j]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        buckets.append((h * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64))
+        buckets.append((h * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int32))
         owners.append(owner[begins])
     owners, buckets = np.concatenate(owners), np.concatenate(buckets)
-    order = np.argsort(owners, kind="stable")
-    counts = np.bincount(owners, minlength=len(bare))
-    return ids, buckets[order], np.cumsum(counts) - counts, counts
+    return ids, buckets[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(bare))
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word buckets; then character buckets, where each word's begin in them, and how many each has."""
+    parts = [_chunk_features(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)] or [_chunk_features([])]
+    ids, buckets, counts = (np.concatenate(p) for p in zip(*parts))
+    return ids, buckets, np.cumsum(counts) - counts, counts
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,12 +80,24 @@ def inputs(model: dict, features) -> np.ndarray:
     return np.concatenate([model["word"][ids], chars], axis=1)
 
 
+def word_gates(model: dict, features) -> np.ndarray:
+    """The words' share of all gates, and a last row for no word; so many words at a time as bounds the memory."""
+    ids, buckets, starts, counts = features
+    out = np.empty((len(ids) + 1, 6 * HIDDEN), np.float32)
+    for s in range(0, len(ids), CHUNK):
+        e = min(s + CHUNK, len(ids))
+        first, last = starts[s], starts[e - 1] + counts[e - 1]
+        own = ids[s:e], buckets[first:last], starts[s:e] - first, counts[s:e]
+        out[s:e] = inputs(model, own) @ model["W"] + model["b"]
+    out[-1] = model["b"]
+    return out
+
+
 def forward(model: dict, gates: np.ndarray, at: np.ndarray, keep: bool = False):
-    """Logits of windows ``at`` (places in ``gates``; -1 is no word).  ``gates``: the words' share of all gates."""
+    """Logits of windows ``at`` (places in ``gates``; -1, the last row, is no word).  ``gates``: the words' share of all gates."""
     b, t, n = *at.shape, HIDDEN
     real = at >= 0
-    none = np.broadcast_to(model["b"], (1, 6 * n))
-    gates = np.concatenate([gates, none]).reshape(-1, 2, 3 * n)
+    gates = gates.reshape(-1, 2, 3 * n)
     sides = (at, at[:, ::-1])
     h = np.zeros((2, b, n), np.float32)
     states, cache = np.empty((2, t, b, n), np.float32), []
@@ -165,7 +181,7 @@ class Batch:
         return np.maximum.reduceat(logits, self.first)
 
     def logits(self, model: dict, features, rows: int = 4_096) -> np.ndarray:
-        gates = inputs(model, features) @ model["W"] + model["b"]
+        gates = word_gates(model, features)
         return np.concatenate([forward(model, gates, self.at[i : i + rows]) for i in range(0, len(self.at), rows)])
 
 
@@ -231,7 +247,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3) -> dict[str
             x = inputs(model, part)
             seen = rnd.random(len(used)) >= DROPPED  # of the other words, only the characters are seen
             x[:, :WIDTH] *= seen[:, None]
-            logit, kept = forward(model, x @ model["W"] + model["b"], at, keep=True)
+            gates = np.concatenate([x @ model["W"] + model["b"], model["b"][None]])
+            logit, kept = forward(model, gates, at, keep=True)
             wrong = (_sigmoid(logit) - target[rows]).astype(np.float32) / len(rows)
             grads, d_gates = backward(model, at, wrong, kept, len(used))
             grads["W"] = x.T @ d_gates
@@ -273,7 +290,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 2_000):
+    for batch in slices(batches):
         texts = Batch(batch.column("text").to_pylist())
         logits = texts.logits(model, word_features(texts.words))
         score = 1 / (1 + np.exp(-texts.worst(logits).astype(np.float64)))

@@ -17,7 +17,8 @@ def test_gradients(monkeypatch):
     at[0] = -1
     want = rnd.standard_normal(3)
     monkeypatch.setattr(np, "float32", np.float64)  # differences need the digits
-    _, kept = toxicity.forward(model, gates, at, keep=True)
+    forward = lambda g, **more: toxicity.forward(model, np.concatenate([g, model["b"][None]]), at, **more)
+    _, kept = forward(gates, keep=True)
     grads, d_gates = toxicity.backward(model, at, want, kept, 5)
     for name, g in [*grads.items(), ("gates", d_gates)]:
         table = gates if name == "gates" else model[name]
@@ -27,7 +28,7 @@ def test_gradients(monkeypatch):
             for by in (1e-5, -1e-5):
                 table[place] = was + by
                 moved = gates + by * (np.arange(gates.shape[1]) == place[0]) if name == "b" else gates  # b is in all gates
-                sides.append(float(want @ toxicity.forward(model, moved, at)))
+                sides.append(float(want @ forward(moved)))
             table[place] = was
             assert g[place] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6), name
 
