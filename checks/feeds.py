@@ -422,6 +422,22 @@ def _(spark, sf):
     return capped.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("cap_5000", with_ctes("t_message", """
+    select two, rowid, rank from (select account_id % 2 as two, rowid, row_number() over (partition by account_id % 2 order by date desc, rowid) as rank
+      from t_message) where rank <= 5000"""))
+def _(spark, sf):
+    rows = a.message_tables(spark, sf)["message"].select((F.col("account_id") % 2).alias("two"), "rowid", "date")
+    capped = ranking.newest_n(rows, 5000, ["two"], seq="rowid").drop("date")
+    return capped.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("sort_without_cap", with_ctes("f_calendar", """
+    select account_id, seq, start_ts, row_number() over (partition by account_id order by start_ts, seq) as rank from f_calendar"""))
+def _(spark, sf):
+    rows = ranking.sort_then_cap(a.calendar(spark, sf).select("account_id", "seq", "start_ts"), 0, ACCOUNT)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("cap_then_sort", with_ctes("f_reminders", f"""
     select account_id, seq, due_ts, row_number() over (partition by account_id order by due_ts, seq) as rank from (
       select *, row_number() over (partition by account_id order by seq) as r from f_reminders

@@ -155,9 +155,60 @@ def _(spark, sf):
     return _shown(ops.delete_summaries(store, gone.unionByName(gone.selectExpr("-id as id"))))
 
 
-@query("clear_summaries", with_ctes("f_summaries", f"select {_STORED} from f_summaries where false"))
+@query("clear_summaries", with_ctes("f_summaries", """
+    select (select max(id) from f_summaries) + 1 + id - (select min(id) from f_summaries where model_used = 'm1') as id, email_id,
+      subject, sender, email_date, body, summary, model_used, created_ts from f_summaries where model_used = 'm1'"""))
 def _(spark, sf):
-    return _shown(ops.clear_summaries(a.summaries(spark, sf)))
+    # Filled, cleared, and filled again: nothing is left of the first rows but that their ids are used up.
+    store = SummaryStore(spark, scratch_path(spark, "store"))
+    table = a.summaries(spark, sf)
+    store.write(table)
+    store.clear()
+    store.insert(table.where("model_used = 'm1'").withColumn("seq", F.col("id")).drop("id"))
+    return _shown(store.read())
+
+
+# Every mail id is in two accounts: what is stored for one is nothing to the other.
+_TWO = {"account_id": "bigint"}
+_TWO_SQL = """
+    s2 as (select 1 as account_id, * from f_summaries union all
+           select 2, * replace (id + 1000000000 as id, summary || ' two' as summary) from f_summaries where model_used = 'm0'),
+    r2 as (select 1 as account_id, * from f_requests union all select 2, * replace (seq + 1000000000 as seq) from f_requests)"""
+
+
+def _twice(df, number, ids):
+    one = df.withColumn("account_id", F.lit(1).cast("bigint"))
+    return one.unionByName(one.withColumns({"account_id": F.lit(2).cast("bigint"), number: F.col(number) + 1_000_000_000}).where(ids))
+
+
+def _accounts(spark, sf):
+    stored = _twice(a.summaries(spark, sf), "id", "model_used = 'm0'")
+    stored = stored.withColumn("summary", F.when(F.col("account_id") == 2, F.concat("summary", F.lit(" two"))).otherwise(F.col("summary")))
+    return stored, _twice(a.email_requests(spark, sf), "seq", "true")
+
+
+@query("cache_lookup_by_account", with_ctes("f_requests f_summaries", f"""
+    with {_TWO_SQL} select r.account_id, r.seq, s.summary, s.email_id is not null as cached
+    from r2 r left join s2 s on r.email_id = s.email_id and r.account_id = s.account_id"""))
+def _(spark, sf):
+    stored, requests = _accounts(spark, sf)
+    found = ops.cache_lookup(requests, stored, ACCOUNT)
+    return found.select(F.col("account_id").cast("int").alias("account_id"), "seq", "summary", "cached")
+
+
+@query("store_upsert_by_account", with_ctes("f_requests f_summaries", f"""
+    with {_TWO_SQL}, n as (select * from r2 where email_id is not null and account_id = 2)
+    select account_id, email_id, summary from s2 s where not exists (select 1 from n where n.email_id = s.email_id and n.account_id = s.account_id)
+    union all select account_id, email_id, 'new ' || seq from n"""))
+def _(spark, sf):
+    stored, requests = _accounts(spark, sf)
+    store = SummaryStore(spark, scratch_path(spark, "store"), _TWO)
+    store.write(stored)
+    new = requests.where("email_id is not null and account_id = 2").withColumns({
+        "summary": F.concat(F.lit("new "), "seq"), "model_used": F.lit("m2"), "created_at": F.timestamp_seconds(F.lit(AS_OF))})
+    store.upsert(new)
+    store.delete(stored.selectExpr("-id as id"))  # ids that are not there
+    return store.read().select(F.col("account_id").cast("int").alias("account_id"), "email_id", "summary")
 
 
 @query("priority_union", """
@@ -234,6 +285,21 @@ def _(spark, sf):
     return summarize.summarize_emails(a.email_requests(spark, sf), store, {"length": length_model}, AS_OF)
 
 
+@query("summarize_job_by_account", with_ctes("f_requests f_summaries", f"""
+    with {_TWO_SQL}, p as (select r.account_id, r.seq, r.email_id, r.body, s.summary as stored, s.email_id is not null as hit,
+        length({EMAIL_PROMPT.replace('body', 'r.body')}) as n
+      from r2 r left join s2 s on r.email_id = s.email_id and r.account_id = s.account_id)
+    select account_id, seq, email_id, case when body = '' then null when hit then stored else 'Summary of ' || n || ' characters.' end as summary,
+      case when body <> '' and not hit then 'length' end as model_used, body <> '' and hit as cached,
+      case when body = '' then '{fixed.ERROR_NO_BODY}' end as error from p"""))
+def _(spark, sf):
+    stored, requests = _accounts(spark, sf)
+    store = SummaryStore(spark, scratch_path(spark, "store"), _TWO)
+    store.write(stored)
+    made = summarize.summarize_emails(requests, store, {"length": length_model}, AS_OF)
+    return made.withColumn("account_id", F.col("account_id").cast("int"))
+
+
 @query("summarize_items", with_ctes("f_items", f"""
     with p as (select seq, kind, content, length({ITEM_PROMPT}) as n from f_items)
     select seq, case when kind in ('calendar', 'reminder', 'messages') and content <> '' then 'Summary of ' || n || ' characters.' end as summary,

@@ -206,6 +206,21 @@ def _(spark, sf):
     return chat.chat_context_generic(base).select("conv_id", "turn", "full_context")
 
 
+# Events of a user as turns of one long conversation, some without user or place, worked on in spans of 1,000 places.
+@query("chat_context_long", f"""
+    with t as (select case when user_id % 50 <> 0 then user_id end as conv_id, case when event_id <> 11 then event_id end as turn,
+        case when event_id % 9 <> 0 then event_type end as role, props as content from events)
+    select conv_id, turn, string_agg(role || ': ' || content, {NL}) over (
+      partition by conv_id order by turn nulls first rows between 3 preceding and current row) as conversation from t""")
+def _(spark, sf):
+    turns = a.table(spark, sf, "events").selectExpr(
+        "case when user_id % 50 <> 0 then user_id end as conv_id", "case when event_id <> 11 then event_id end as turn",
+        "case when event_id % 9 <> 0 then event_type end as role", "props as content")
+    found = chat.trailing_lines(turns, F.concat("role", F.lit(": "), "content"), 4, span=1_000)
+    text = F.when(F.size("_lines") > 0, F.array_join("_lines", "\n"))
+    return found.select("conv_id", "turn", text.alias("conversation"))
+
+
 def email_context_sql(body: str, summary: str, talk: str) -> str:
     return (f"'Email Content:' || {NL} || {body} || {NL} || {NL} || "
             f"case when coalesce({summary}, '') <> '' then 'Summary:' || {NL} || {summary} || {NL} || {NL} else '' end || "

@@ -7,30 +7,27 @@ such shuffle, and then one task gets the whole hot key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import as_column, quoted
 
-SALTS = 16
-
 
 def fresh_key(key: Column | str) -> Column:
-    """A text key as a new expression: however the rows were partitioned before, the
-    join shuffles them itself, in the shape AQE can split."""
-    return F.concat(as_column(key), F.lit(""))
+    """A key of any simple type as a new text expression: however the rows were partitioned before,
+    the join shuffles them itself, in the shape AQE can split."""
+    return F.concat(as_column(key).cast("string"), F.lit(""))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
-                salts: int = SALTS) -> DataFrame:
-    """Join of many rows with few narrow ones (one per key, say): each left key is
-    spread over ``salts`` shares and the right rows are repeated for each.
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join of many rows with few narrow ones that were grouped by the key before (one per key, say).
 
     For join types that keep rows of the left side only, or matches.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salting does not preserve a {how} join")
-    # From the row's content, so that a repeated task makes the same shares.
-    plain = [quoted(f.name) for f in left.schema if f.dataType.typeName() not in ("map", "variant")]
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
-    shares = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return spread.join(right.withColumn("_salt", shares), [*on, "_salt"], how).drop("_salt")
+        raise ValueError(f"a {how} join cannot be split")
+    keys = [fresh_key(quoted(c)).alias(f"_key{i}") for i, c in enumerate(on)]
+    few = right.select(*keys, *[quoted(c) for c in right.columns if c not in on])
+    same = reduce(Column.__and__, [quoted(c).cast("string") == F.col(f"_key{i}") for i, c in enumerate(on)])
+    return left.join(few, same, how).drop(*[f"_key{i}" for i in range(len(on))])

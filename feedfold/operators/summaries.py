@@ -1,6 +1,7 @@
 """Changes to the summary table and look-ups in it.
 
-Join keys are e-mail ids.  Rows without an id never match anything; where such
+Join keys are e-mail ids, beside the columns ``by`` that separate accounts: an id is
+unique only inside one mailbox.  Rows without an id never match anything; where such
 rows, or requests for one mail, are many, AQE splits the partition they share.
 That is why look-ups are left, semi or anti joins (an existence join cannot be
 split) and why the store's side is always shuffled for them (see ``joins``).
@@ -8,9 +9,11 @@ split) and why the store's side is always shuffled for them (see ``joins``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..columns import By, by_columns
+from ..columns import By, by_columns, quoted
 from ..functions.text import strip
 from .joins import fresh_key
 from .ranking import keep_first
@@ -19,7 +22,7 @@ STORED = ("id", "email_id", "subject", "sender", "email_date", "body", "summary"
           "model_used", "created_at")
 
 
-def number_new(new: DataFrame, last_id: int | Column) -> DataFrame:
+def number_new(new: DataFrame, last_id: int | Column, by: By = ()) -> DataFrame:
     """Give new rows ids after ``last_id`` in arrival order.
 
     ``seq`` is unique, so ``last_id + 1 + seq - min(seq)`` is too: ids rise with
@@ -29,49 +32,56 @@ def number_new(new: DataFrame, last_id: int | Column) -> DataFrame:
     first = new.agg(F.min("seq")).scalar()
     last_id = last_id if isinstance(last_id, Column) else F.lit(last_id)
     number = last_id.cast("bigint") + 1 + F.col("seq") - first
-    return new.withColumn("id", number).select(*STORED)
+    return new.withColumn("id", number).select(*by_columns(by), *STORED)
 
 
 def highest_id(store: DataFrame) -> Column:
     return store.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("id")).scalar()
 
 
-def check_insert(store: DataFrame, new: DataFrame) -> None:
+def check_insert(store: DataFrame, new: DataFrame, by: By = ()) -> None:
     """Raise if a key of ``new`` is stored already or comes twice; NULL is no key."""
-    keys = new.where(F.col("email_id").isNotNull()).groupBy("email_id").agg(
+    keys = new.where(F.col("email_id").isNotNull()).groupBy(*by_columns(by), "email_id").agg(
         F.count(F.lit(1)).alias("n")
     )
     twice = keys.where("n > 1").select("email_id")
-    stored = keys.join(store.select("email_id"), "email_id", "left_semi").select("email_id")
+    stored = keys.join(_stored(store, by), _same_key("email_id", by), "left_semi").select("email_id")
     found = twice.union(stored).first()
     if found is not None:
         raise ValueError(f"email_id is not unique: {found[0]}")
 
 
-def insert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = None) -> DataFrame:
+def insert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = None, by: By = ()) -> DataFrame:
     """The table with ``new`` appended."""
-    check_insert(store, new)
+    check_insert(store, new, by)
     base = highest_id(store) if last_id is None else last_id
-    return store.select(*STORED).unionByName(number_new(new, base))
+    return store.select(*by_columns(by), *STORED).unionByName(number_new(new, base, by))
 
 
-def latest_per_email(rows: DataFrame) -> DataFrame:
+def latest_per_email(rows: DataFrame, by: By = ()) -> DataFrame:
     """Of several rows with one key the one with the highest id counts; rows without key all stay."""
-    keyed = keep_first(rows.where(F.col("email_id").isNotNull()), ["email_id"], [F.desc("id")])
+    keyed = keep_first(rows.where(F.col("email_id").isNotNull()), [*by, "email_id"], [F.desc("id")])
     return keyed.unionByName(rows.where(F.col("email_id").isNull()))
 
 
-def upsert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = None) -> DataFrame:
+def without_keys(store: DataFrame, new: DataFrame, by: By = ()) -> DataFrame:
+    """The rows whose keys ``new`` does not replace."""
+    return store.join(_stored(new, by), _same_key("email_id", by), "left_anti")
+
+
+def upsert_summaries(store: DataFrame, new: DataFrame, last_id: int | None = None, by: By = ()) -> DataFrame:
     """The table after insert-or-replace: a replaced row has the new id and time."""
     base = highest_id(store) if last_id is None else last_id
-    kept = store.select(*STORED).join(new.select("email_id"), "email_id", "left_anti")
+    kept = without_keys(store.select(*by_columns(by), *STORED), new, by)
     # Numbered before repeats go: also a row that is replaced at once uses up an id.
-    return kept.select(*STORED).unionByName(latest_per_email(number_new(new, base)))
+    return kept.unionByName(latest_per_email(number_new(new, base, by), by))
 
 
-def delete_summaries(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """The table without the given ids; ids that are not there do nothing."""
-    return store.join(ids.select("id"), "id", "left_anti").select(*STORED)
+def delete_summaries(store: DataFrame, ids: DataFrame, by: By = ()) -> DataFrame:
+    """The table without the given ids; ids that are not there do nothing.  With ``by``,
+    an account's ids (with its columns) delete rows of that account only."""
+    chosen = ids.select(*by_columns(by), "id")
+    return store.join(chosen, [*by, "id"], "left_anti").select(*by_columns(by), *STORED)
 
 
 def clear_summaries(store: DataFrame) -> DataFrame:
@@ -79,32 +89,43 @@ def clear_summaries(store: DataFrame) -> DataFrame:
     return store.limit(0)
 
 
-def _stored(store: DataFrame, *columns: str) -> DataFrame:
+def _same_key(key: Column | str, by: By) -> Column:
+    """The condition that a row's account and ``key`` are those of a row of ``_stored``."""
+    key = quoted(key) if isinstance(key, str) else key
+    return reduce(Column.__and__, [quoted(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], key == F.col("_key"))
+
+
+def _stored(store: DataFrame, by: By, *columns: str) -> DataFrame:
     """Keyed rows of the store for a look-up; their keys are unique."""
     keyed = store.where(F.col("email_id").isNotNull())
-    return keyed.select(fresh_key("email_id").alias("_key"), *columns, F.lit(True).alias("_hit"))
+    accounts = [quoted(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    return keyed.select(fresh_key("email_id").alias("_key"), *accounts, *columns, F.lit(True).alias("_hit"))
+
+
+def _helpers(by: By) -> list[str]:
+    return ["_key", "_hit", *[f"_by{i}" for i in range(len(by))]]
 
 
-def with_has_summary(emails: DataFrame, store: DataFrame) -> DataFrame:
+def with_has_summary(emails: DataFrame, store: DataFrame, by: By = ()) -> DataFrame:
     """Adds ``has_summary``; a mail without id is looked up as the empty id."""
     wanted = F.coalesce(F.col("id"), F.lit(""))
-    found = emails.join(_stored(store), wanted == F.col("_key"), "left")
-    return found.withColumn("has_summary", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    found = emails.join(_stored(store, by), _same_key(wanted, by), "left")
+    return found.withColumn("has_summary", F.coalesce("_hit", F.lit(False))).drop(*_helpers(by))
 
 
-def cache_lookup(requests: DataFrame, store: DataFrame) -> DataFrame:
+def cache_lookup(requests: DataFrame, store: DataFrame, by: By = ()) -> DataFrame:
     """Adds the stored ``summary`` and ``cached`` to requests with an ``email_id``."""
-    found = requests.join(_stored(store, "summary"), F.col("email_id") == F.col("_key"), "left")
-    return found.withColumn("cached", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    found = requests.join(_stored(store, by, "summary"), _same_key("email_id", by), "left")
+    return found.withColumn("cached", F.coalesce("_hit", F.lit(False))).drop(*_helpers(by))
 
 
-def cache_misses(requests: DataFrame, store: DataFrame) -> DataFrame:
-    return requests.join(_stored(store), F.col("email_id") == F.col("_key"), "left_anti")
+def cache_misses(requests: DataFrame, store: DataFrame, by: By = ()) -> DataFrame:
+    return requests.join(_stored(store, by), _same_key("email_id", by), "left_anti")
 
 
-def select_by_id(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+def select_by_id(rows: DataFrame, chosen: DataFrame, by: By = ()) -> DataFrame:
     """Rows whose ``id`` was chosen before."""
-    return rows.join(chosen.select("id"), "id", "left_semi")
+    return rows.join(chosen.select(*by_columns(by), "id"), [*by, "id"], "left_semi")
 
 
 def priority_union(lists: list[DataFrame], current: DataFrame | None = None,

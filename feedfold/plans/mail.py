@@ -14,7 +14,7 @@ from ..operators.summaries import with_has_summary
 def recent_emails(emails: DataFrame, store: DataFrame, as_of: Instant, hours: int = 24,
                   count: int = 10, by: By = ()) -> DataFrame:
     """The first ``count`` mails of the window and whether each has a summary."""
-    return with_has_summary(cap_by_arrival(look_back(emails, as_of, hours), count, by), store)
+    return with_has_summary(cap_by_arrival(look_back(emails, as_of, hours), count, by), store, by)
 
 
 def find_email(emails: DataFrame, wanted: DataFrame, as_of: Instant, by: By = (),

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixed
-from ..columns import Instant, instant
+from ..columns import Instant, instant, quoted
 from ..functions.fields import non_blank
 from ..functions.prompts import email_prompt, item_prompt
 from ..functions.text import strip_code_blocks
 from ..operators.filters import check_requests
 from ..operators.generation import Loader, generate_with_fallback, spread_calls
 from ..operators.joins import fresh_key
-from ..operators.ranking import keep_first
-from ..operators.summaries import cache_misses
+from ..operators.summaries import STORED, cache_misses
 from ..session import scratch_path
 from ..sources.store import SummaryStore
 
@@ -32,55 +33,68 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def generate_misses(misses: DataFrame, models: Mapping[str, Loader],
                     chosen: str | None = None) -> DataFrame:
     """Summaries for requests that have none; a failed row keeps its error."""
-    asked = spread_calls(misses.drop("error"), "seq").withColumn("prompt", email_prompt())
+    asked = misses.drop("error").withColumn("prompt", email_prompt())
     return generate_with_fallback(asked, models, chosen=chosen, output="summary").drop("prompt")
 
 
 def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
                      as_of: Instant, chosen: str | None = None, tag: str | None = None) -> DataFrame:
-    """Serve requests (``seq, email_id, subject, sender, email_date, body``).
+    """Serve requests (the store's account columns, ``seq, email_id, subject, sender, email_date, body``).
 
     Stored summaries are returned as they are.  Each missing mail is summarised
     once, written to the store and then returned; a later request for the same
-    mail in the batch finds it there.  Results have the columns ``RESULT``.
+    mail in the batch finds it there.  Results have the account columns and ``RESULT``.
 
-    Two passes: the first makes what is missing and writes it to the shared folder,
-    so the models are not called again, also when executors are lost later.  The
-    second joins keys, without bodies, to what was stored or made.
+    Which requests are the first for their mail is decided on keys alone, combined on the map side.
+    Bodies of those few are then moved once, straight to the tasks that call the
+    models, and written once: as the delta of the store, so the models are not called
+    again, also when executors are lost later.
     """
+    by = store.by
     # The version of the store as it is now; what is added below is not part of it.
     stored = store.read()
     checked = check_requests(requests, "email_summary")
     valid = checked.where(F.col("error").isNull())
 
-    misses = cache_misses(valid, stored)
-    first = keep_first(misses.where(F.col("email_id").isNotNull()), ["email_id"], ["seq"])
-    unkeyed = misses.where(F.col("email_id").isNull()).select(*first.columns)
-    made = written(generate_misses(first.unionByName(unkeyed), models, chosen), "summaries")
-    good = made.where(F.col("error").isNull())
-    store.upsert(good.withColumn("created_at", instant(as_of)), tag)
+    misses = cache_misses(valid.select(*by, "seq", "email_id"), stored, by)
+    first = misses.where(F.col("email_id").isNotNull()).groupBy(*by, "email_id").agg(F.min("seq").alias("seq"))
+    asked = written(first.select("seq").unionByName(misses.where(F.col("email_id").isNull()).select("seq")), "asked")
+    size, lowest, highest = asked.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
+    bodies = spread_calls(valid, "seq", rows=size).join(asked, "seq", "left_semi")
+    made = generate_misses(bodies, models, chosen).withColumns({
+        "id": F.col("seq") - F.lit(lowest) + 1, "created_at": instant(as_of),
+        "failed": F.col("error").isNotNull()})
+    folder = f"data/{uuid.uuid4().hex}"
+    columns = [*by, *STORED, "seq", "error", "failed"]
+    made.select(*columns).write.partitionBy("failed").parquet(f"{store.path}/{folder}")
+    kinds = StructType([f for name in columns for f in made.schema if f.name == name])
+    made = store.spark.read.schema(kinds).parquet(f"{store.path}/{folder}")
+    if not made.where("not failed").isEmpty():
+        store.add(f"{folder}/failed=false", highest - lowest + 1, tag)
 
     # A key is in the store or was made, never both.
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     known = stored.select(
-        "email_id", "summary", no_text.alias("model_used"), no_text.alias("failure"), no_number.alias("maker")
+        *by, "email_id", "summary", no_text.alias("model_used"), no_text.alias("failure"), no_number.alias("maker")
     ).unionByName(made.select(
-        "email_id", "summary", "model_used", F.col("error").alias("failure"), F.col("seq").alias("maker")
+        *by, "email_id", "summary", "model_used", F.col("error").alias("failure"), F.col("seq").alias("maker")
     )).where(F.col("email_id").isNotNull()).withColumn("email_id", fresh_key("email_id"))
-    keys = checked.select("seq", "email_id", "error")
+    known = known.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)} | {"email_id": "_key"})
+    keys = checked.select(*by, "seq", "email_id", "error")
+    same = F.col("email_id") == F.col("_key")
+    for i, c in enumerate(by):
+        same &= quoted(c).eqNullSafe(F.col(f"_by{i}"))
     own = F.coalesce(F.col("maker") == F.col("seq"), F.lit(False))
     usable = F.col("error").isNull()
-    served = keys.where(F.col("email_id").isNotNull() | F.col("error").isNotNull()).join(
-        known, "email_id", "left"
-    ).select(
-        "seq", "email_id",
+    served = keys.where(F.col("email_id").isNotNull() | F.col("error").isNotNull()).join(known, same, "left").select(
+        *by, "seq", "email_id",
         F.when(usable, F.col("summary")).alias("summary"),
         F.when(usable & own, F.col("model_used")).alias("model_used"),
         (usable & ~own & F.col("summary").isNotNull()).alias("cached"),
         F.coalesce("error", "failure").alias("error"),
     )
     without_key = made.where(F.col("email_id").isNull()).select(
-        "seq", "email_id", "summary", "model_used", F.lit(False).alias("cached"), "error"
+        *by, "seq", "email_id", "summary", "model_used", F.lit(False).alias("cached"), "error"
     )
     return served.unionByName(without_key)
 

@@ -8,7 +8,7 @@ from .. import fixed
 from ..columns import By, Instant, by_columns
 from ..functions.fields import epoch_from_2001, first_truthy, iso_text
 from ..operators.filters import non_empty_text, possibly_recent, raw_cutoff, recent_raw
-from ..operators.joins import salted_join
+from ..operators.joins import split_join
 from ..operators.ranking import as_arrival_order, first_n
 from ..operators.threads import join_message_tables
 
@@ -39,7 +39,7 @@ def _recent_with_unit(message: DataFrame, as_of: Instant, hours: int, by: By) ->
         # A date above the threshold shows it; the others have to ask.
         units = message.groupBy(*by_columns(by)).agg(is_nanos.alias("_nanos"))
         shown = F.col("date") > fixed.NANOS_THRESHOLD
-        asking = salted_join(candidates.where(~shown), units, list(by), "inner")
+        asking = split_join(candidates.where(~shown), units, list(by), "inner")
         known = candidates.where(shown).withColumn("_nanos", F.lit(True)).unionByName(asking)
     else:
         known = candidates.withColumn("_nanos", message.agg(is_nanos.alias("nanos")).scalar())
@@ -74,7 +74,7 @@ def with_fallback(primary: DataFrame, secondary: DataFrame, by: By = (),
         return primary
     if by:
         have = primary.select(*by_columns(by)).distinct()
-        spare = salted_join(secondary, have, list(by), "left_anti")
+        spare = split_join(secondary, have, list(by), "left_anti")
     else:
         # Asks for one primary row; nothing is counted.
         spare = secondary.where(~primary.exists())

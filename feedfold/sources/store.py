@@ -1,110 +1,217 @@
-"""The summary table as versioned parquet snapshots in a shared folder.
-
-Parquet cannot be overwritten while it is read, so a change never touches
-existing files.  It adds a folder ``v=<number>-<kind>``:
-
-* ``full``: the whole table; replaces everything before it;
-* ``delta``: upserted rows only; a later row wins over an earlier one of its key.
-
-Spark's committer writes ``_SUCCESS`` last, and only folders that have it count,
-so readers see a change completely or not at all, whatever executors are lost.
-An upsert costs the size of the new rows, not of the table; ``compact`` folds
-deltas into a new full snapshot.
+"""The summary table as immutable parquet folders and a log of versions, in a shared folder.
+
+Parquet cannot be overwritten while it is read, so a change never touches existing
+files.  It writes a folder under ``data`` and then one small entry under ``log``,
+which says all there is to a version: the folders it consists of, the highest id ever
+given out, and the tags of changes that were made.  Folders are
+
+* ``full``: a whole table;
+* ``delta``: upserted rows; a later row wins over an earlier one of its key;
+* ``delete``: ids that are gone.
+
+Entries are numbered and made exclusively: of two writers one gets a number and the
+other, told so, takes the next.  Rows of a delta carry ids counted from one; where
+they begin is in the entry, so nobody writes anew.  A folder without an entry
+does not count, whatever executors are lost.  After ``MOST_FOLDERS`` changes a version is
+folded into a full table; ``remove_old`` deletes what no version needs any more.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
+import uuid
+from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..entities import SUMMARY
 from ..operators import summaries as ops
 
-_VERSION = re.compile(r"^v=(\d+)-(full|delta)(?:-(\w+))?$")
+_ENTRY = re.compile(r"^(\d+)\.json$")
+MOST_FOLDERS = 32
+MOST_TAGS = 1_000
+NOTHING = {"number": 0, "live": [], "last_id": 0, "tags": []}
 
 
 class SummaryStore:
-    def __init__(self, spark: SparkSession, path: str):
+    """``by``: the columns that separate accounts, with their types (``{"account_id": "bigint"}``)."""
+
+    def __init__(self, spark: SparkSession, path: str, by: Mapping[str, str] | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
-
-    def _versions(self) -> list[tuple[int, str, str | None, str]]:
-        """Complete versions as (number, kind, tag, folder), oldest first."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            match = _VERSION.match(status.getPath().getName())
-            if match and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append((int(match[1]), match[2], match[3], status.getPath().toString()))
-        return sorted(found)
-
-    def _live(self):
-        versions = self._versions()
-        last_full = max((i for i, v in enumerate(versions) if v[1] == "full"), default=0)
-        return versions[last_full:]
-
-    def _write(self, rows: DataFrame, kind: str, tag: str | None = None) -> None:
-        number = max((v[0] for v in self._versions()), default=0) + 1
-        name = f"v={number:08d}-{kind}" + (f"-{tag}" if tag else "")
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-
-    def _load(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(SUMMARY).parquet(*folders)
+        self.by = list(by or {})
+        self.schema = ", ".join([*(f"`{c}` {kind}" for c, kind in (by or {}).items()), SUMMARY])
+
+    # The log ---------------------------------------------------------------------
+
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _list(self, folder: str) -> list:
+        fs = self._fs()
+        return list(fs.listStatus(self._at(folder))) if fs.exists(self._at(folder)) else []
+
+    def _latest(self) -> dict:
+        numbers = [int(m[1]) for s in self._list("log") if (m := _ENTRY.match(s.getPath().getName()))]
+        if not numbers:
+            return NOTHING
+        stream = self._fs().open(self._at("log", f"{max(numbers):012d}.json"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {"number": max(numbers), **json.loads(text)}
+
+    def _create(self, number: int, entry: dict) -> bool:
+        """The entry, complete and at once, or False where there is one of this number."""
+        fs, jvm = self._fs(), self.spark._jvm
+        draft, final = self._at("log", f".draft-{uuid.uuid4().hex}"), self._at("log", f"{number:012d}.json")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        if final.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+            return fs.rename(draft, final)
+        # A local rename would replace the other writer's entry; a link does not.
+        path = lambda p: jvm.java.nio.file.Path.of(jvm.java.net.URI("file://" + p.toUri().getRawPath()))
+        try:
+            jvm.java.nio.file.Files.createLink(path(final), path(draft))
+            return True
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        finally:
+            fs.delete(draft, False)
+
+    def _commit(self, change, tag: str | None = None, on: int | None = None) -> bool:
+        """Add the version that ``change(latest)`` makes of the latest one: its live folders and last id.
+
+        False where ``tag`` is known, or where the latest version is not ``on``.
+        """
+        while True:
+            latest = self._latest()
+            if (tag and tag in latest["tags"]) or (on is not None and latest["number"] != on):
+                return False
+            live, last_id = change(latest)
+            tags = [*latest["tags"], tag][-MOST_TAGS:] if tag else latest["tags"]
+            if self._create(latest["number"] + 1, {"live": live, "last_id": last_id, "tags": tags}):
+                break
+        if len(live) > MOST_FOLDERS:
+            self.compact()
+        return True
+
+    # Folders ---------------------------------------------------------------------
+
+    def _data(self, rows: DataFrame) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _load(self, live: list, kind: str) -> DataFrame | None:
+        found = None
+        for one, folder, base in live:
+            if one == kind:
+                rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
+                rows = rows.withColumn("id", F.col("id") + F.lit(base).cast("bigint"))
+                found = rows if found is None else found.unionByName(rows)
+        return found
+
+    def _table(self, latest: dict) -> DataFrame:
+        live = latest["live"]
+        rows, changes = self._load(live, "full"), self._load(live, "delta")
+        if changes is not None:
+            newest = ops.latest_per_email(changes, self.by)
+            rows = newest if rows is None else ops.without_keys(rows, changes, self.by).unionByName(newest)
+        if rows is None:
+            return self.spark.createDataFrame([], self.schema)
+        gone = [f"{self.path}/{folder}" for kind, folder, _ in live if kind == "delete"]
+        if gone:
+            rows = rows.join(self.spark.read.schema("id bigint").parquet(*gone), "id", "left_anti")
+        return rows.select(*self.by, *ops.STORED)
 
     def read(self) -> DataFrame:
         """The current table.
 
-        Only the deltas are searched for the latest row of a key.  The full
-        snapshot just loses the keys they replace, by an anti join that is a
-        broadcast as long as the deltas are small.
+        Only the deltas are searched for the latest row of a key.  The full table just
+        loses the keys they replace, by an anti join that is a broadcast as long as
+        the deltas are small.
         """
-        live = self._live()
-        if not live:
-            return self.spark.createDataFrame([], SUMMARY)
-        full = [v[3] for v in live if v[1] == "full"]
-        deltas = [v[3] for v in live if v[1] == "delta"]
-        if not deltas:
-            return self._load(full)
-        changes = ops.latest_per_email(self._load(deltas))
-        if not full:
-            return changes
-        replaced = self._load(deltas).select("email_id")
-        kept = self._load(full).join(replaced, "email_id", "left_anti")
-        return kept.select(*ops.STORED).unionByName(changes.select(*ops.STORED))
+        return self._table(self._latest())
 
     def last_id(self) -> int:
-        """Highest id ever given out, also by rows deleted since: ids are not used twice."""
-        folders = [v[3] for v in self._versions()]
-        if not folders:
-            return 0
-        return self._load(folders).agg(F.max("id")).first()[0] or 0
+        """Highest id ever given out, also to rows deleted since: ids are not used twice."""
+        return self._latest()["last_id"]
+
+    # Changes ---------------------------------------------------------------------
+
+    def _full(self, folder: str, on: int | None = None) -> bool:
+        highest = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0] or 0
+        return self._commit(lambda latest: ([["full", folder, 0]], max(latest["last_id"], highest)), on=on)
 
     def write(self, rows: DataFrame) -> None:
         """Replace the whole table."""
-        self._write(rows.select(*self.read().columns), "full")
+        self._full(self._data(rows.select(*self.by, *ops.STORED)))
+
+    def add(self, folder: str, ids: int, tag: str | None = None, on: int | None = None) -> bool:
+        """Make a folder below the store's, whose rows have ids from 1 to ``ids``, the newest delta."""
+        def change(latest):
+            return [*latest["live"], ["delta", folder, latest["last_id"]]], latest["last_id"] + ids
+        return self._commit(change, tag, on)
+
+    def _delta(self, new: DataFrame, tag: str | None = None, on: int | None = None) -> bool:
+        folder = self._data(ops.latest_per_email(ops.number_new(new, 0, self.by), self.by))
+        highest = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0] or 0
+        return self.add(folder, highest, tag, on)
 
     def insert(self, new: DataFrame) -> None:
         """Append; a key that is stored already, or twice in ``new``, is an error."""
-        ops.check_insert(self.read(), new)
-        self._write(ops.number_new(new, self.last_id()), "delta")
+        while True:
+            latest = self._latest()
+            ops.check_insert(self._table(latest), new, self.by)
+            if self._delta(new, on=latest["number"]):
+                return
 
     def upsert(self, new: DataFrame, tag: str | None = None) -> None:
         """Insert or replace.  A call repeated with the same ``tag`` does nothing."""
-        if tag and any(v[2] == tag for v in self._versions()):
-            return
-        numbered = ops.number_new(new, self.last_id())
-        self._write(ops.latest_per_email(numbered), "delta", tag)
+        if not (tag and tag in self._latest()["tags"]):
+            self._delta(new, tag)
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(ops.delete_summaries(self.read(), ids), "full")
+        """Only the ids are written; rows lose them when they are read."""
+        folder = self._data(ids.select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct())
+        self._commit(lambda latest: ([*latest["live"], ["delete", folder, 0]], latest["last_id"]))
 
     def clear(self) -> None:
-        self._write(ops.clear_summaries(self.read()), "full")
+        self._commit(lambda latest: ([], latest["last_id"]))
+
+    # Upkeep ----------------------------------------------------------------------
 
-    def compact(self) -> None:
-        self._write(self.read(), "full")
+    def compact(self, tries: int = 5) -> bool:
+        """Fold the latest version into one full table; False if others were faster each time."""
+        for _ in range(tries):
+            latest = self._latest()
+            if [kind for kind, *_ in latest["live"]] in ([], ["full"]):
+                return True
+            if self._full(self._data(self._table(latest)), on=latest["number"]):
+                return True
+        return False
+
+    def remove_old(self, hours: float = 24 * 7) -> int:
+        """Delete folders and entries older than ``hours`` that the latest version does not need.
+
+        It is the time that a reader of an older version, or a writer that has no entry yet, may take.
+        """
+        latest, fs, removed = self._latest(), self._fs(), 0
+        needed = {folder.split("/")[1] for _, folder, _ in latest["live"]} | {f"{latest['number']:012d}.json"}
+        for status in [*self._list("data"), *self._list("log")]:
+            old = status.getModificationTime() < (time.time() - hours * 3600) * 1000
+            if old and status.getPath().getName() not in needed:
+                removed += fs.delete(status.getPath(), True)
+        return removed

@@ -6,7 +6,7 @@ read once instead of on every poll.  State is bounded by watermarks.
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -149,6 +149,11 @@ def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query, from its checkpoint: a new one where the folder was made anew."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"].replace("-", "")
+
+
 def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
                      as_of: Callable[[], Instant], checkpoint: str, results: str | None = None,
                      available_now: bool = False) -> StreamingQuery:
@@ -157,10 +162,9 @@ def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[s
     A batch that is repeated after a failure finds its summaries in the store and
     its own version there, so nothing is generated or stored twice.
     """
-    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
-
     def serve(rows: DataFrame, batch_id: int) -> None:
-        out = summarize_emails(rows, store, models, as_of(), tag=f"{stream}b{batch_id}")
+        tag = f"{_query_id(rows.sparkSession, checkpoint)}b{batch_id}"
+        out = summarize_emails(rows, store, models, as_of(), tag=tag)
         if results:
             out.write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 

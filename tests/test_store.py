@@ -70,18 +70,104 @@ def test_store_versions(spark, rows, tmp_path):
     assert store.read().count() == 0 and store.last_id() == 4
 
 
-def test_unfinished_version_does_not_count(spark, rows, tmp_path):
+def test_folders_without_an_entry_do_not_count(spark, rows, tmp_path):
     store = SummaryStore(spark, str(tmp_path / "store"))
     store.write(stored(rows, (1, "a")))
     held = store.read()
     store.upsert(new(rows, (0, "b")), "t")
-    newest = sorted(os.listdir(store.path))[-1]
-    os.remove(os.path.join(store.path, newest, "_SUCCESS"))
+    os.remove(tmp_path / "store" / "log" / f"{2:012d}.json")
     assert content(store.read()) == content(held) == [(1, "a", "old a")]
     store.upsert(new(rows, (0, "b")), "t")
     assert content(store.read()) == [(1, "a", "old a"), (2, "b", "new b 0")]
 
 
+def test_success_markers_are_not_needed(spark, rows, tmp_path):
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        store = SummaryStore(spark, str(tmp_path / "store"))
+        store.upsert(new(rows, (0, "a")))
+        assert content(store.read()) == [(1, "a", "new a 0")]
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_two_writers_lose_nothing(spark, rows, tmp_path):
+    """Both look at the same version before either has written; ids and rows of both are kept."""
+    one, two = (SummaryStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.write(stored(rows, (1, "a")))
+    before, looks = one._latest(), []
+    fresh = SummaryStore._latest
+    two._latest = lambda: before if not looks.append(0) and len(looks) <= 2 else fresh(two)
+    one.upsert(new(rows, (0, "c"), (1, "a")))
+    two.upsert(new(rows, (0, "d"), (1, "a")))
+    assert len(looks) > 2
+    assert content(one.read()) == [(2, "c", "new c 0"), (4, "d", "new d 0"), (5, "a", "new a 1")]
+    # An insert looks again whether its keys are free.
+    looks.clear()
+    before = one._latest()
+    one.insert(new(rows, (0, "e")))
+    with pytest.raises(ValueError, match="not unique: e"):
+        two.insert(new(rows, (0, "e")))
+
+
+def test_a_compaction_gives_way_to_a_change(spark, rows, tmp_path):
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    store.upsert(new(rows, (0, "a")))
+    store.upsert(new(rows, (0, "b")))
+    late = SummaryStore(spark, store.path)
+    full = late._data(late.read())
+    number = late._latest()["number"]
+    store.upsert(new(rows, (0, "c")))
+    assert not late._full(full, on=number)
+    assert late.compact() and [kind for kind, *_ in late._latest()["live"]] == ["full"]
+    assert content(store.read()) == [(1, "a", "new a 0"), (2, "b", "new b 0"), (3, "c", "new c 0")]
+
+
+def test_deletes_write_ids_only_and_changes_are_folded(spark, rows, tmp_path, monkeypatch):
+    from feedfold.sources import store as module
+    monkeypatch.setattr(module, "MOST_FOLDERS", 4)
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    store.write(stored(rows, (1, "a"), (2, "b"), (3, "c")))
+    store.delete(rows("id bigint", (2,), (77,)))
+    kind, folder, _ = store._latest()["live"][-1]
+    assert kind == "delete" and spark.read.parquet(f"{store.path}/{folder}").columns == ["id"]
+    for n in range(8):
+        store.upsert(new(rows, (0, f"k{n % 3}")))
+        assert len(store._latest()["live"]) <= 4
+    assert [k for _, k, _ in content(store.read())] == ["a", "c", "k2", "k0", "k1"]
+    assert store.last_id() == 11
+    kept = content(store.read())
+    assert store.remove_old(hours=1) == 0
+    assert store.remove_old(hours=-1) > 3 and content(store.read()) == kept and store.last_id() == 11
+    live = {f.split("/")[1] for _, f, _ in store._latest()["live"]}
+    assert set(os.listdir(tmp_path / "store" / "data")) == live
+
+
+ACCOUNTS = {"account_id": "bigint"}
+
+
+def test_accounts_do_not_share_mails(spark, rows, tmp_path):
+    by = list(ACCOUNTS)
+    store = SummaryStore(spark, str(tmp_path / "store"), ACCOUNTS)
+    both = new(rows, (0, "a"), (1, "b")).withColumn("account_id", F.lit(1).cast("bigint")).unionByName(
+        new(rows, (2, "a")).withColumn("account_id", F.lit(2).cast("bigint")))
+    store.insert(both)
+    key = lambda df: sorted((r.account_id, r.email_id, r.summary) for r in df.collect())
+    assert key(store.read()) == [(1, "a", "new a 0"), (1, "b", "new b 1"), (2, "a", "new a 2")]
+    store.upsert(new(rows, (9, "a")).withColumn("account_id", F.lit(2).cast("bigint")))
+    assert key(store.read()) == [(1, "a", "new a 0"), (1, "b", "new b 1"), (2, "a", "new a 9")]
+    asked = rows("account_id bigint, id string", (1, "a"), (2, "a"), (2, "b"), (3, "a"))
+    found = {(r.account_id, r.id): r.has_summary for r in ops.with_has_summary(asked, store.read(), by).collect()}
+    assert found == {(1, "a"): True, (2, "a"): True, (2, "b"): False, (3, "a"): False}
+    requests = asked.withColumnRenamed("id", "email_id")
+    assert {(r.account_id, r.email_id): r.summary for r in ops.cache_lookup(requests, store.read(), by).collect()} == {
+        (1, "a"): "new a 0", (2, "a"): "new a 9", (2, "b"): None, (3, "a"): None}
+    assert sorted((r.account_id, r.email_id) for r in ops.cache_misses(requests, store.read(), by).collect()) == [(2, "b"), (3, "a")]
+    assert [r.account_id for r in ops.select_by_id(asked, asked.where("account_id = 2"), by).distinct().collect()] == [2, 2]
+    ids = store.read().select("account_id", "id")
+    assert ops.delete_summaries(store.read(), ids.withColumn("account_id", F.lit(2).cast("bigint")), by).count() == 2
+
+
 def test_look_ups(rows):
     base = stored(rows, (1, "a"), (2, ""), (3, None), (4, None))
     mails = rows("n int, id string", (0, "a"), (1, "x"), (2, None), (3, ""))

@@ -135,3 +135,18 @@ def test_summaries_of_a_repeated_batch_are_not_made_twice(spark, rows, landing,
     stream = streams.refresh_stream(spark, landing.folder, request)
     step(streams.stream_summarize(stream, store, {"m": load}, lambda: 0, landing.state + "2", available_now=True))
     assert len(os.listdir(marks)) == 2 and store.read().count() == 2
+
+
+def test_a_checkpoint_made_anew_under_the_same_path_loses_nothing(spark, rows, landing, tmp_path):
+    import shutil
+    request = "seq bigint, email_id string, subject string, sender string, email_date string, body string"
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    made = lambda: lambda prompts, budgets: ["made"] * len(prompts)
+    run = lambda: step(streams.stream_summarize(
+        streams.refresh_stream(spark, landing.folder, request), store, {"m": made}, lambda: 0, landing.state, available_now=True))
+    landing.deliver(rows(request, (1, "a", "s", "f", "d", "text")))
+    run()
+    shutil.rmtree(landing.state)
+    landing.deliver(rows(request, (2, "b", "s", "f", "d", "text")))
+    run()
+    assert sorted(r.email_id for r in store.read().collect()) == ["a", "b"]
