@@ -35,7 +35,7 @@ def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
 
 def fresh(column: str) -> Column:
     """A long key as a new expression, so that a join on it makes an exchange of its own that AQE can split."""
-    return F.col(column) + F.lit(0).cast("long")
+    return F.bitwise_not(F.bitwise_not(column))
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

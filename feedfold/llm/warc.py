@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import slices, written
+from .common import fresh, slices, written
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 256 * 2**20
@@ -284,7 +284,7 @@ def described(records: DataFrame) -> DataFrame:
         page(F.col("record_id")).alias("page_id"), "type", F.expr("substring(digest, 6)").alias("named"),
         page(F.col("refers_to")).alias("refers_to"), "size", "own"), "warc-records")
     sizes = rows.where("type = 'response' and page_id is not null").groupBy("page_id", "own").agg(
-        F.max("size").alias("full")).select((F.col("page_id") + F.lit(0)).alias("refers_to"), F.concat("own", F.lit("")).alias("named"), "full")
+        F.max("size").alias("full")).select(fresh("page_id").alias("refers_to"), F.concat("own", F.lit("")).alias("named"), "full")
     out = rows.join(sizes, ["refers_to", "named"], "left")
     return out.select("page_id", F.coalesce("size", "full").alias("payload_bytes"), F.coalesce("own", "named").alias("payload_digest"),
                       F.col("type").alias("record_type"), "refers_to",
