@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import functions as F
 
 from feedfold.operators.threads import thread_rollup
@@ -19,24 +17,8 @@ from .stored import _SUMMARIZED
 QUERIES, ORACLES = {}, {}
 
 
-def state_partitions(function):
-    """On one machine, as many state partitions as cores; a cluster keeps its setting."""
-    @wraps(function)
-    def run(spark, sf):
-        key, context = "spark.sql.shuffle.partitions", spark.sparkContext
-        before = spark.conf.get(key)
-        if context.master.startswith("local"):
-            spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
-        try:
-            return function(spark, sf)
-        finally:
-            spark.conf.set(key, before)
-    return run
-
-
 def query(name: str, sql: str | None = None):
     def add(function):
-        function = state_partitions(function)
         QUERIES[name] = function
         if sql is not None:
             ORACLES[name] = sql
@@ -44,12 +26,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _events(spark, sf):
-    """The events table as a stream with a time Spark can put a watermark on."""
-    schema = a.table(spark, sf, "events").schema
-    # Braces make the path a pattern, which the file stream accepts for a single file.
-    stream = streams.refresh_stream(spark, f"{sf}/{{events}}.parquet", schema)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark, sf, parts=3, copies=1):
+    """The events table as a stream with a time Spark can put a watermark on: landed in ``parts``
+    files in order of time, each ``copies`` times, and read file by file."""
+    landing = scratch_path(spark, "landing")
+    events = a.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.dayofmonth("ts") - 1
+    for part in range(parts):
+        rows = events.where(F.least(F.floor(day * parts / 30), F.lit(parts - 1)) == part)
+        for _ in range(copies):
+            rows.coalesce(1).write.mode("append").parquet(landing)
+    return streams.refresh_stream(spark, landing, events.schema, files_per_trigger=1)
 
 
 def _through(stream, spark):
@@ -67,12 +54,7 @@ def _(spark, sf):
 @query("stream_dedup", "select event_id, user_id, event_type from events")
 def _(spark, sf):
     # Every poll delivers the same rows again: each is landed twice.
-    landing = scratch_path(spark, "landing")
-    events = a.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    for _ in range(2):
-        events.write.mode("append").parquet(landing)
-    stream = streams.refresh_stream(spark, landing, events.schema)
-    once = streams.stream_dedup(stream, ["event_id"], delay="60 days")
+    once = streams.stream_dedup(_events(spark, sf, copies=2), ["event_id"], delay="60 days")
     return _through(once, spark).select("event_id", "user_id", "event_type")
 
 
@@ -95,7 +77,7 @@ def _(spark, sf):
     running = streams.stream_threads(_chats(_events(spark, sf)))
     path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
     streams.write_latest(running, path, checkpoint, available_now=True).awaitTermination()
-    latest = streams.latest_complete(spark, path, running.schema)
+    latest = streams.threads_of_hours(spark.read.parquet(path))
     return latest.withColumn("last_value", F.col("last_message").cast("double")).drop("last_message")
 
 
@@ -124,34 +106,41 @@ def _(spark, sf):
         F.unix_timestamp("window_start").alias("window_start"), "thread_id", "message_count")
 
 
-# The window moves on every four hours here.
 @query("stream_rolling_threads", f"""
-    with m as ({_CHATS}), mark as (select (max(timestamp) - 3600) // 14400 * 14400 as mark from m),
-      x as (select *, (timestamp // 14400 - unnest(range(0, 12))) * 14400 as window_start from m)
+    with m as ({_CHATS}), mark as (select (max(timestamp) - 3600) // 3600 * 3600 as mark from m),
+      x as (select *, (timestamp // 3600 - unnest(range(0, 48))) * 3600 as window_start from m)
     select window_start, thread_id, arg_min(title, seq) as title, count(*) as message_count,
       arg_max(text, row(timestamp, seq)) as last_value, max(timestamp) as last_ts, min(seq) as first_seq
     from x, mark where window_start + 48 * 3600 <= mark group by window_start, thread_id""")
 def _(spark, sf):
-    rolled = streams.stream_rolling_threads(_chats(_events(spark, sf)), step="4 hours")
+    rolled = streams.stream_rolling_threads(_chats(_events(spark, sf)))
     return _through(rolled, spark).select(
         F.unix_timestamp("window_start").alias("window_start"), "thread_id", "title", "message_count",
         F.col("last_message").cast("double").alias("last_value"), "last_ts", "first_seq")
 
 
-@query("late_and_future", "select event_id, event_type from events where ts <= timestamp '2024-01-20 00:00:00'")
+# Read at noon of the 12th, when the rows of the first days are late and those of the last are of the future;
+# looked at then, and once more ten days later, when some of the latter are due.
+@query("late_and_future", """
+    select event_id, event_type, 'then' as seen from events where ts > timestamp '2024-01-10 12:00:00' and ts <= timestamp '2024-01-12 12:00:00'
+    union all select event_id, event_type, 'later' from events where ts > timestamp '2024-01-20 12:00:00' and ts <= timestamp '2024-01-22 12:00:00'""")
 def _(spark, sf):
-    kept = streams.drop_late_and_future(_events(spark, sf), as_of="2024-01-20 00:00:00")
-    return _through(streams.stream_dedup(kept, ["event_id"], delay=None), spark).select("event_id", "event_type")
+    kept = streams.drop_late(_events(spark, sf, copies=2), as_of="2024-01-12 12:00:00")
+    landed = _through(streams.stream_dedup(kept, ["event_id"], delay=None), spark)
+    views = [streams.due_rows(landed, f"2024-01-{day} 12:00:00").select("event_id", "event_type", F.lit(seen).alias("seen"))
+             for day, seen in ((12, "then"), (22, "later"))]
+    return views[0].unionByName(views[1])
 
 
 @query("stream_summarize", with_ctes("f_requests f_summaries", _SUMMARIZED))
 def _(spark, sf):
     landing, results = scratch_path(spark, "landing"), scratch_path(spark, "results")
     requests = a.email_requests(spark, sf)
-    requests.write.parquet(landing)
+    for part in range(3):
+        requests.where(f"seq % 3 = {part}").coalesce(1).write.mode("append").parquet(landing)
     store = SummaryStore(spark, scratch_path(spark, "store"))
     store.write(a.summaries(spark, sf))
-    stream = streams.refresh_stream(spark, landing, requests.schema)
+    stream = streams.refresh_stream(spark, landing, requests.schema, files_per_trigger=1)
     streams.stream_summarize(
         stream, store, {"length": length_model}, lambda: AS_OF, scratch_path(spark, "stream-state"),
         results, available_now=True).awaitTermination()

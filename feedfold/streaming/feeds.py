@@ -7,11 +7,11 @@ read once instead of on every poll.  State is bounded by watermarks.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..columns import By, Instant, by_columns, instant
 from ..functions.fields import thread_key, thread_title
@@ -39,12 +39,23 @@ def every_minute(writer: DataStreamWriter, available_now: bool = False) -> DataS
     return writer.trigger(processingTime=REFRESH)
 
 
-def drop_late_and_future(stream: DataFrame, ts: str = "ts", window: str = WINDOW,
-                         as_of: Instant | None = None) -> DataFrame:
-    """Rows up to now, with a watermark of the window's length: stateful steps after
-    this forget everything older."""
+def drop_late(stream: DataFrame, ts: str = "ts", window: str = WINDOW, as_of: Instant | None = None,
+              due: str = "due_ts") -> DataFrame:
+    """Rows that are not older than ``window`` now, with a watermark on ``due``, the earlier of their time and now.
+
+    Rows of the future stay: a reader sees them once they are due (``due_rows``).  They
+    do not move the watermark ahead, so they make no other row late; a gap in the feed keeps none
+    either, because rows are held against now and not against the newest row.
+    """
     now = F.current_timestamp() if as_of is None else instant(as_of)
-    return stream.where(F.col(ts) <= now).withWatermark(ts, window)
+    fresh = stream.where(F.col(ts) > now - F.expr(f"interval {window}"))
+    return fresh.withColumn(due, F.least(ts, now)).withWatermark(due, window)
+
+
+def due_rows(rows: DataFrame, as_of: Instant, ts: str = "ts", window: str = WINDOW) -> DataFrame:
+    """What of the rows read so far is in the window at ``as_of``, rows included that were of the future when they came."""
+    now = instant(as_of)
+    return rows.where((F.col(ts) <= now) & (F.col(ts) > now - F.expr(f"interval {window}")))
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str | None = WINDOW) -> DataFrame:
@@ -54,17 +65,42 @@ def stream_dedup(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def stream_threads(messages: DataFrame, by: By = ()) -> DataFrame:
-    """Running thread roll-up, for output mode ``update`` or ``complete``."""
-    return messages.groupBy(*by_columns(by), thread_key().alias("thread_id")).agg(
-        F.min_by(thread_title(), F.col("seq")).alias("title"),
-        F.count(F.lit(1)).alias("message_count"),
-        F.max_by("text", F.struct("timestamp", "seq")).alias("last_message"),
-        F.max("timestamp").alias("last_ts"),
-        F.min("seq").alias("first_seq"),
+def stream_thread_hours(messages: DataFrame, ts: str = "ts", delay: str = "1 hour", step: str = STEP,
+                        by: By = ()) -> DataFrame:
+    """Thread roll-up hour by hour, for output mode ``update``: an hour's threads leave the state ``delay`` after its end."""
+    return (
+        messages.withWatermark(ts, delay)
+        .groupBy(F.window(ts, step).alias("_step"), *by_columns(by), thread_key().alias("thread_id"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max(F.struct("timestamp", "seq", "text")).alias("_last"),
+            F.min(F.struct(F.col("seq"), thread_title().alias("title"))).alias("_first"),
+        )
     )
 
 
+def stream_threads(messages: DataFrame, ts: str = "ts", delay: str = "1 hour", step: str = STEP, by: By = ()) -> DataFrame:
+    """Running thread roll-up for ``write_latest`` in mode ``update``; ``threads_of_hours`` puts the hours together.
+
+    State and output are those of hours that still change, however old a thread is.
+    """
+    return stream_thread_hours(messages, ts, delay, step, by).select(
+        F.col("_step.start").alias("hour"), *by_columns(by), "thread_id", "n", "_last", "_first")
+
+
+def threads_of_hours(hours: DataFrame, as_of: Instant | None = None, window: str = WINDOW, by: By = ()) -> DataFrame:
+    """Threads of the ``window`` before ``as_of`` (without: of all time) from ``stream_threads`` output kept by batch."""
+    rows = latest_updates(hours, ["hour", *by, "thread_id"])
+    if as_of is not None:
+        rows = rows.where((F.col("hour") <= instant(as_of)) & (F.col("hour") > instant(as_of) - F.expr(f"interval {window}")))
+    return rows.groupBy(*by_columns(by), "thread_id").agg(
+        F.sum("n").alias("message_count"), F.max("_last").alias("_last"), F.min("_first").alias("_first")
+    ).select(
+        *by_columns(by), "thread_id", F.col("_first.title").alias("title"), "message_count",
+        F.col("_last.text").alias("last_message"), F.col("_last.timestamp").alias("last_ts"),
+        F.col("_first.seq").alias("first_seq"))
+
+
 def stream_rolling_counts(stream: DataFrame, key: Column, ts: str = "ts", delay: str = "1 hour",
                           window: str = WINDOW, step: str = STEP, by: By = ()) -> DataFrame:
     """Rows per thread in the last 48 hours, hour by hour, in ``append`` mode.
@@ -95,16 +131,8 @@ def stream_rolling_threads(messages: DataFrame, ts: str = "ts", delay: str = "1
     Steps are rolled up first; count, latest and first message of the window follow
     from those of its steps.  The window must be a whole number of steps.
     """
-    hourly = (
-        messages.withWatermark(ts, delay)
-        .groupBy(F.window(ts, step).alias("_step"), *by_columns(by), thread_key().alias("thread_id"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.struct("timestamp", "seq", "text")).alias("_last"),
-            F.min(F.struct(F.col("seq"), thread_title().alias("title"))).alias("_first"),
-        )
-        .select(F.window_time("_step").alias("_time"), *by_columns(by), "thread_id", "n", "_last", "_first")
-    )
+    hourly = stream_thread_hours(messages, ts, delay, step, by).select(
+        F.window_time("_step").alias("_time"), *by_columns(by), "thread_id", "n", "_last", "_first")
     return (
         hourly.groupBy(F.window("_time", window, step).alias("_window"), *by_columns(by), "thread_id")
         .agg(F.sum("n").alias("message_count"), F.max("_last").alias("_last"), F.min("_first").alias("_first"))
@@ -124,7 +152,7 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str, available_now
     return every_minute(writer, available_now).start()
 
 
-def write_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete",
+def write_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "update",
                  available_now: bool = False) -> StreamingQuery:
     """Each batch's result under ``batch=<id>``; a repeated batch replaces its own folder."""
     def save(rows: DataFrame, batch_id: int) -> None:
@@ -134,14 +162,6 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
     return every_minute(writer.foreachBatch(save), available_now).start()
 
 
-def latest_complete(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest result of a ``complete`` mode ``write_latest`` with this schema."""
-    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
-    # ``batch`` is a partition column: only the newest folder is read.
-    newest = rows.agg(F.max("batch").alias("b")).scalar()
-    return rows.where(F.col("batch") == newest).drop("batch")
-
-
 def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The current row per key from ``update`` mode output kept by batch."""
     others = [c for c in rows.columns if c not in (*keys, "batch")]
@@ -154,6 +174,29 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"].replace("-", "")
 
 
+def fold_batches(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> int:
+    """Put all batches but the newest ``keep`` of ``update`` output into one, and remove their folders; how many went.
+
+    The fold takes the number of the newest batch it holds, so rows are found by number as before. While it runs nobody
+    else may fold; readers of older files need a new look.
+    """
+    numbers = sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())
+    old = numbers[: len(numbers) - keep]
+    if len(old) < 2:
+        return 0
+    rows = latest_updates(spark.read.parquet(path).where(F.col("batch") <= old[-1]), keys)
+    draft = f"{path}/_fold-{uuid.uuid4().hex}"  # not seen by readers
+    rows.write.parquet(draft)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs.delete(at(f"batch={old[-1]}"), True)
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), at(f"batch={old[-1]}"))
+    for number in old[:-1]:
+        fs.delete(at(f"batch={number}"), True)
+    return len(old) - 1
+
+
 def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
                      as_of: Callable[[], Instant], checkpoint: str, results: str | None = None,
                      available_now: bool = False) -> StreamingQuery:

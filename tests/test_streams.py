@@ -54,36 +54,43 @@ def test_rows_are_read_once_and_repeats_dropped(spark, rows, landing):
     assert seen(spark, landing.out) == [1, 2, 3]
 
 
-def test_late_and_future_rows_go(spark, rows, landing):
+def test_late_rows_go_and_future_rows_show_up_when_due(spark, rows, landing):
     run = lambda: step(streams.append_to_table(streams.stream_dedup(
-        streams.drop_late_and_future(landing.stream(ROW), as_of="2024-01-20 00:00:00"), ["event_id"], delay=None),
+        streams.drop_late(landing.stream(ROW), as_of="2024-01-20 00:00:00"), ["event_id"], delay=None),
         landing.out, landing.state, available_now=True))
-    landing.deliver(events(rows, (1, "2024-01-19 00:00:00", "a"), (2, "2024-01-21 00:00:00", "future")))
+    landing.deliver(events(rows, (1, "2024-01-19 00:00:00", "a"), (2, "2024-01-21 00:00:00", "future"), (5, "2024-03-01 00:00:00", "far")))
     run()
-    landing.deliver(events(rows, (3, "2024-01-18 00:00:00", "in time"), (4, "2024-01-16 00:00:00", "late")))
+    # The far row has not moved the watermark: what is in time stays in time.
+    landing.deliver(events(rows, (3, "2024-01-18 06:00:00", "in time"), (4, "2024-01-16 00:00:00", "late"), (2, "2024-01-21 00:00:00", "again")))
     run()
-    assert seen(spark, landing.out) == [1, 3]
+    landed = spark.read.parquet(landing.out)
+    assert sorted(r.event_id for r in landed.collect()) == [1, 2, 3, 5]
+    at = lambda day: sorted(r.event_id for r in streams.due_rows(landed, f"2024-{day} 00:00:00").collect())
+    assert at("01-20") == [1, 3] and at("01-21") == [2] and at("01-22") == [2] and at("03-01") == [5]
 
 
-def test_stream_threads_equal_the_batch_result(spark, rows, landing):
-    data = [(i, f"c{i % 3}", f"n{i % 2}", "s", "in", "", 100 + (i * 7) % 20, f"t{i}") for i in range(30)]
-    df = rows(MESSAGE, *data)
-    running = lambda: streams.stream_threads(landing.stream(df.schema))
-    for part in (df.where("seq < 10"), df.where("seq >= 10")):
-        landing.deliver(part)
-        step(streams.write_latest(running(), landing.out, landing.state, available_now=True))
-    got = streams.latest_complete(spark, landing.out, running().schema)
-    batch = thread_rollup(df).select(*got.columns)
-    assert sorted(got.collect()) == sorted(batch.collect())
+def chats(rows, *data):
+    return rows(MESSAGE, *data).withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
-def test_updates_keep_the_last_row_per_thread(spark, rows, landing):
-    df = rows(MESSAGE, *[(i, f"c{i % 3}", "n", "s", "in", "", i, f"t{i}") for i in range(9)])
-    for part in (df.where("seq < 4"), df.where("seq >= 4")):
+def test_stream_threads_equal_the_batch_result(spark, rows, landing):
+    df = chats(rows, *[(i, f"c{i % 3}", f"n{i % 2}", "s", "in", "", 3_600 * i + (i * 7) % 20, f"t{i}") for i in range(30)])
+    for part in (df.where("seq < 10"), df.where("seq between 9 and 19"), df.where("seq >= 20")):
         landing.deliver(part)
-        step(streams.write_latest(streams.stream_threads(landing.stream(df.schema)), landing.out, landing.state, "update", True))
-    got = streams.latest_updates(spark.read.parquet(landing.out), ["thread_id"])
-    assert sorted((r.thread_id, r.message_count, r.last_message) for r in got.collect()) == [("c0", 3, "t6"), ("c1", 3, "t7"), ("c2", 3, "t8")]
+        step(streams.write_latest(streams.stream_threads(landing.stream(df.schema)), landing.out, landing.state, available_now=True))
+    hours = spark.read.parquet(landing.out)
+    got = streams.threads_of_hours(hours)
+    # The row that came twice is counted twice: repeats are dropped by stream_dedup.
+    batch = thread_rollup(df.unionByName(df.where("seq = 9"))).select(*got.columns)
+    assert sorted(got.collect()) == sorted(batch.collect())
+    recent = streams.threads_of_hours(hours, 29 * 3_600 + 1_800, "3 hours").collect()
+    assert sorted((r.thread_id, r.message_count) for r in recent) == [("c0", 1), ("c1", 1), ("c2", 1)]
+    # Only hours that changed were written again, and the state has let go of the others.
+    assert hours.count() == 31 and hours.select("batch").distinct().count() == 3
+    before = sorted(got.collect())
+    assert streams.fold_batches(spark, landing.out, ["hour", "thread_id"]) == 1
+    again = spark.read.parquet(landing.out)
+    assert sorted(streams.threads_of_hours(again).collect()) == before and again.select("batch").distinct().count() == 2
 
 
 def test_rolling_counts_add_up_hours(spark, rows, landing):
