@@ -8,6 +8,7 @@ from feedfold import fixed
 from feedfold.functions import lines, prompts, text
 from feedfold.operators import chat
 from feedfold.operators.summaries import cache_lookup
+from feedfold.session import scratch_path
 from feedfold.sources import frames, reports
 
 from . import adapters as a
@@ -284,23 +285,37 @@ def _(spark, sf):
 _CHAT = "exists (select 1 from f_turns t where t.conv_id = e.id)"
 
 
-@query("export_email_text", with_ctes("f_emails f_summaries f_turns", f"""
-    select e.id, {FILE_NAME.replace('subject', 'e.subject')} as file_name, 0 as section, null as turn,
+_REPORT_ROWS = f"""
+    select e.seq, e.id, {FILE_NAME.replace('subject', 'e.subject')} as file_name, 0 as section, null as turn,
       '=== EMAIL EXPORT ===' || {NL} || {NL} || 'Date: ' || date_text || {NL} || 'From: ' || {first_truthy('"from"', "'Unknown'")}
       || {NL} || 'Subject: ' || {first_truthy('e.subject', "'No Subject'")} || {NL} || {NL} || '--- ORIGINAL EMAIL ---' || {NL} || {NL} || e.body
       || coalesce({NL} || {NL} || '--- AI SUMMARY ---' || {NL} || {NL} || s.summary, '')
       || case when {_CHAT} then {NL} || {NL} || '--- CHAT CONVERSATION ---' || {NL} else '' end as text
     from f_emails e left join f_summaries s on s.email_id = e.id
     union all
-    select t.conv_id, {FILE_NAME.replace('subject', 'e.subject')}, 1, t.turn, t.role || ': ' || t.content || {NL}
+    select e.seq, t.conv_id, {FILE_NAME.replace('subject', 'e.subject')}, 1, t.turn, t.role || ': ' || t.content || {NL}
     from f_turns t join f_emails e on e.id = t.conv_id
     union all
-    select e.id, {FILE_NAME.replace('subject', 'e.subject')}, 2, null, case when {_CHAT} then {NL} else '' end
-      || '=== END OF EXPORT ===' || {NL} || 'Exported on: {_EXPORTED}' || {NL} || 'Model used: Default' from f_emails e"""))
+    select e.seq, e.id, {FILE_NAME.replace('subject', 'e.subject')}, 2, null, case when {_CHAT} then {NL} else '' end
+      || '=== END OF EXPORT ===' || {NL} || 'Exported on: {_EXPORTED}' || {NL} || 'Model used: Default' from f_emails e"""
+
+
+@query("export_email_text", with_ctes("f_emails f_summaries f_turns", _REPORT_ROWS))
 def _(spark, sf):
     return reports.email_report(a.emails(spark, sf), a.summaries(spark, sf), AS_OF, turns=a.turns(spark, sf))
 
 
+# Written, read back and put together; every 97th mail has no id.
+@query("export_reports", with_ctes("f_emails f_summaries f_turns", f"""
+    with r as ({_REPORT_ROWS})
+    select seq, file_name, string_agg(text || {NL}, '' order by section, turn) as report from r group by seq, file_name"""))
+def _(spark, sf):
+    rows = reports.email_report(a.emails(spark, sf), a.summaries(spark, sf), AS_OF, turns=a.turns(spark, sf))
+    path = scratch_path(spark, "reports")
+    reports.write_reports(rows, path)
+    return reports.report_texts(spark.read.parquet(path))
+
+
 @query("export_digest_text", with_ctes("f_summaries", f"""
     select id, '=== DAILY DIGEST ===' || {NL} || 'Generated: {_EXPORTED}' || {NL} || 'Model: ' || model_used || {NL} || {NL}
       || repeat('=', 50) || {NL} || {NL} || body || {NL} || {NL} || repeat('=', 50) || {NL} || '=== END OF DIGEST ===' || {NL} as report

@@ -152,3 +152,12 @@ RULER_MARKS = "`-_~"
 
 # Labels a model may put in front of its answer.
 ANSWER_LABELS = ("assistant", "final answer", "your response", "response", "answer")
+
+# Headings of the reports.
+REPORT_HEAD = "=== EMAIL EXPORT ===\n\nDate: "
+REPORT_MAIL = "\n\n--- ORIGINAL EMAIL ---\n\n"
+REPORT_SUMMARY = "\n\n--- AI SUMMARY ---\n\n"
+REPORT_CHAT = "\n\n--- CHAT CONVERSATION ---\n"
+REPORT_FOOT = "=== END OF EXPORT ===\nExported on: "
+DIGEST_HEAD = "=== DAILY DIGEST ===\nGenerated: "
+DIGEST_FOOT = "\n=== END OF DIGEST ===\n"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..entities import (
     CALENDAR_EXPORT_FIELDS,
@@ -12,20 +12,29 @@ from ..entities import (
     MESSAGE_EXPORT_FIELDS,
     REMINDER_EXPORT_FIELDS,
 )
-from ..columns import quoted
+from ..columns import as_column, quoted
 from ..functions.fields import first_truthy, parse_epoch, to_int_or_zero
 from ..functions.text import strip
 
 
+# What a field of a mail record looks like.
+FIELD = r'"{name}":"([^"]*)"'
+BODY = r'(?s)"body":"(.*?)"(?:,|\})'
+PLACES = 2**40  # records of one file at most: ``seq`` is the file's number times this and the record's place
+
+
 def _mail_field(name: str, record: Column) -> Column:
     """The field's text, or NULL where its pattern does not occur in the record."""
-    if name == "body":
-        pattern = r'(?s)"body":"(.*?)"(?:,|\})'
-    else:
-        pattern = rf'"{name}":"([^"]*)"'
+    pattern = BODY if name == "body" else FIELD.format(name=name)
     return F.get(F.regexp_extract_all(record, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
+def _file_numbers(rows: DataFrame) -> DataFrame:
+    """Files by name with numbers from 0; a row for each file."""
+    files = rows.select("file").distinct()
+    return files.withColumn("_number", F.row_number().over(Window.orderBy("file")) - 1)
+
+
 def read_mail_export(spark: SparkSession, path: str, check_tail: bool = True) -> DataFrame:
     """Mail records from text that only looks like JSON (bodies are not escaped).
 
@@ -33,10 +42,9 @@ def read_mail_export(spark: SparkSession, path: str, check_tail: bool = True) ->
     source split files *at* ``}``: each row is one candidate record, files of any
     size are read by many tasks, and no file is ever held as one value.
 
-    ``seq`` orders the records inside a file: start of the file part, then row
-    number in the task.  A file that ends in the middle of a record has that
-    remainder as its last row; ``check_tail`` compares the bytes read with the
-    file size to find and drop it (one extra pass that only counts bytes).
+    ``seq`` orders files by name and records by place.  One extra pass that only counts rows and bytes
+    of each part of a file tells where a part's places begin, and, with ``check_tail``, whether a file ends in the middle
+    of a record: that remainder, its last row, is dropped.
     """
     rows = (
         spark.read.option("lineSep", "}").text(path)
@@ -44,61 +52,106 @@ def read_mail_export(spark: SparkSession, path: str, check_tail: bool = True) ->
             "value",
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_size").alias("_size"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("part"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("seq"),
+            F.col("_metadata.file_block_start").alias("_part"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
-    start = F.instr("value", "{")
-    records = rows.where((start > 0) & (start < F.length("value")))
+    # Each row but an unfinished last one has its closing brace in the file.
+    parts = rows.groupBy("file", "_part").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_all"))
+    whole = Window.partitionBy("file")
+    before = F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("_rows").over(whole)
+    parts = parts.select(
+        F.col("file").alias("_file"), F.col("_part").alias("_start"), "_first", F.coalesce(before, F.lit(0)).alias("_before"),
+        F.when(F.sum("_bytes").over(whole) > F.max("_all").over(whole), total - 1).alias("_unfinished"))
+    numbers = _file_numbers(rows).withColumnRenamed("file", "_file")
+    parts = parts.join(numbers, "_file")
+    placed = rows.join(parts, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_start")))
+    place = F.col("_before") + F.col("_row") - F.col("_first")
+    records = placed.withColumn("_place", place)
     if check_tail:
-        # Each row but an unfinished last one has its closing brace in the file.
-        read = F.sum(F.octet_length("value") + 1)
-        unfinished = (
-            rows.groupBy("file").agg(read.alias("_read"), F.max("_size").alias("_size"),
-                                     F.max("seq").alias("seq"))
-            .where("_read > _size")
-            .select("file", "seq")
-        )
-        records = records.join(unfinished, ["file", "seq"], "left_anti")
+        records = records.where(F.col("_unfinished").isNull() | (F.col("_place") < F.col("_unfinished")))
+    start = F.instr("value", "{")
+    records = records.where((start > 0) & (start < F.length("value")))
     record = F.concat(F.expr("substr(value, instr(value, '{'))"), F.lit("}"))
-    fields = records.select(
-        "file", "seq", *[_mail_field(name, record).alias(name) for name in EMAIL_EXPORT_FIELDS]
-    )
+    seq = (F.col("_number").cast("bigint") * PLACES + F.col("_place")).alias("seq")
+    fields = records.select("file", seq, *[_mail_field(name, record).alias(name) for name in EMAIL_EXPORT_FIELDS])
     found = F.coalesce(*[quoted(name) for name in EMAIL_EXPORT_FIELDS])
     return fields.where(found.isNotNull())
 
 
-def _read_array(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """Objects of files that each hold one JSON array.
+def _read_array(spark: SparkSession, path: str, fields: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
+    """Objects of files that each hold one JSON array; of ``numbers``, whether a value was a number is kept in ``_is_<name>``.
 
-    A file that is not a valid array gives no rows at all.  Exports are capped
-    when they are made, so one file is a small value; the unit of work is a file.
+    A file that is not a valid array, to its last character, gives no rows at all; so a
+    file is the unit of work and one value (2 GB at most).  To find what follows the array, the
+    text is read twice: as the only element of an array and as the only field of an object.
     """
-    item = ", ".join(f"`{name}` string" for name in fields)
-    array = F.from_json("value", f"array<struct<{item}>>")
-    return (
+    item = ", ".join(f"`{name}` {'variant' if name in numbers else 'string'}" for name in fields)
+    strict = {"allowSingleQuotes": "false"}
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<array<struct<{item}>>>", strict)
+    only = F.from_json(F.concat(F.lit('{"all":'), "value", F.lit("}")), "struct<all: array<variant>>", strict)
+    read = (
         spark.read.text(path, wholetext=True)
         .where(strip("value").startswith("["))
-        .select(F.col("_metadata.file_path").alias("file"),
-                F.posexplode(array).alias("pos", "item"))
-        .select("file", F.col("pos").cast("bigint").alias("seq"), "item.*")
+        .select(F.col("_metadata.file_path").alias("file"), alone.alias("alone"), only["all"].alias("only"))
+        .where((F.size("alone") == 1) & F.col("only").isNotNull())
+        .select("file", F.posexplode(F.col("alone")[0]).alias("_place", "item"))
     )
+    rows = read.join(_file_numbers(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"))), "file")
+    out = rows.select("file", (F.col("_number").cast("bigint") * PLACES + F.col("_place")).alias("seq"), "item.*")
+    for name in numbers:
+        value = quoted(name)
+        out = out.withColumns({
+            f"_is_{name}": F.coalesce(~F.schema_of_variant(value).isin("STRING", "VOID", "BOOLEAN"), F.lit(False)),
+            name: F.try_variant_get(value, "$", "string")})
+    return out
+
+
+def _seconds(name: str, otherwise: Column) -> Column:
+    """A number cut to whole seconds; text as ``otherwise`` reads it."""
+    number = quoted(name).try_cast("decimal(38,9)").try_cast("bigint")
+    return F.when(F.col(f"_is_{name}"), F.coalesce(number, F.lit(0).cast("bigint"))).otherwise(otherwise)
+
+
+def _moment(text: Column | str) -> Column:
+    return F.try_to_timestamp(as_column(text), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def read_calendar_export(spark: SparkSession, path: str) -> DataFrame:
-    events = _read_array(spark, path, CALENDAR_EXPORT_FIELDS)
+    events = _read_array(spark, path, CALENDAR_EXPORT_FIELDS, ("start_ts", "end_ts"))
     return events.withColumns(
-        {name: to_int_or_zero(name) for name in ("start_ts", "end_ts")}
-    )
+        {name: _seconds(name, to_int_or_zero(name)) for name in ("start_ts", "end_ts")}
+    ).drop("_is_start_ts", "_is_end_ts")
 
 
 def read_reminder_export(spark: SparkSession, path: str) -> DataFrame:
-    reminders = _read_array(spark, path, REMINDER_EXPORT_FIELDS)
-    return reminders.withColumn("due_ts", parse_epoch(first_truthy("due_ts", "due")))
+    reminders = _read_array(spark, path, REMINDER_EXPORT_FIELDS, ("due_ts",))
+    return reminders.withColumn("due_ts", _seconds("due_ts", parse_epoch(first_truthy("due_ts", "due")))).drop("_is_due_ts")
 
 
 def read_message_export(spark: SparkSession, path: str) -> DataFrame:
-    messages = _read_array(spark, path, MESSAGE_EXPORT_FIELDS)
-    return messages.withColumn("timestamp", parse_epoch(first_truthy("timestamp", "date")))
+    messages = _read_array(spark, path, MESSAGE_EXPORT_FIELDS, ("timestamp",))
+    return messages.withColumn(
+        "timestamp", _seconds("timestamp", parse_epoch(first_truthy("timestamp", "date")))).drop("_is_timestamp")
+
+
+# From exports to the entities of the other operators: dates become timestamps, NULL where a text is none.
+
+def exported_emails(export: DataFrame) -> DataFrame:
+    return export.withColumn("date", _moment("date"))
+
+
+def exported_calendar(export: DataFrame) -> DataFrame:
+    """Events by their text or, where it is none, by their epoch seconds."""
+    def moment(text: str, number: str) -> Column:
+        return F.coalesce(_moment(quoted(text)), F.when(F.col(number) > 0, F.timestamp_seconds(number)))
+    return export.withColumns({"start": moment("start", "start_ts"), "end": moment("end", "end_ts")})
+
+
+def exported_reminders(export: DataFrame) -> DataFrame:
+    """Reminders are exported while they are open; without a date, ``due_ts`` is NULL again."""
+    number = F.when(F.col("due_ts") != 0, F.col("due_ts"))
+    return export.withColumns({"due": F.timestamp_seconds(number), "due_ts": number, "completed": F.lit(False)})

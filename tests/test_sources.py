@@ -58,21 +58,48 @@ def test_mail_file_is_read_in_parts(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         df = exports.read_mail_export(spark, str(tmp_path))
-        assert df.select(F.spark_partition_id()).distinct().count() > 5
+        parts = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+        assert parts > 5
         assert [r.id for r in df.orderBy("file", "seq").select("id").collect()] == [str(i) for i in range(3000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_array_exports_are_all_or_nothing(spark, tmp_path):
-    put(tmp_path, "good.json", json.dumps([{"id": "1", "start_ts": "5", "end_ts": ""}, {"id": "2", "start_ts": "x"}]))
+    put(tmp_path, "good.json", json.dumps([{"id": "1", "start_ts": "5", "end_ts": ""}, {"id": "2", "start_ts": "x"}]) + " \n")
     put(tmp_path, "none.json", "[]")
     put(tmp_path, "object.json", '{"id": "3"}')
     put(tmp_path, "broken.json", '[{"id": "4"}, {"id": ')
     put(tmp_path, "raw.json", '[{"id": "5", "title": "a\x01b"}]')
     put(tmp_path, "empty.json", "")
+    for n, rest in enumerate(["]", "x", ", 1", ',"x":1', "[]", "}", "],["]):
+        put(tmp_path, f"rest{n}.json", f'[{{"id": "6"}}]{rest}')
+    put(tmp_path, "single.json", "[{'id': '7'}]")
     got = exports.read_calendar_export(spark, str(tmp_path)).orderBy("seq").collect()
-    assert [(r.id, r.start_ts, r.end_ts, r.seq) for r in got] == [("1", 5, 0, 0), ("2", 0, 0, 1)]
+    assert [(r.id, r.start_ts, r.end_ts) for r in got] == [("1", 5, 0), ("2", 0, 0)]
+    assert got[1].seq == got[0].seq + 1
+
+
+def test_numbers_of_exports_are_numbers(spark, tmp_path):
+    put(tmp_path, "n.json", '[{"start_ts": 1706659200.0, "end_ts": 1.7066592E+9}, {"start_ts": "1706659200.0", "end_ts": 1706659200}, '
+                            '{"start_ts": -2.9, "end_ts": true}, {"start_ts": null, "end_ts": "7"}]')
+    got = exports.read_calendar_export(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.start_ts, r.end_ts) for r in got] == [(1706659200, 1706659200), (0, 1706659200), (-2, got[2].end_ts), (0, 7)]
+    put(tmp_path, "n.json", '[{"timestamp": 1706659200.7, "date": "2024-02-03 01:02:03"}, {"timestamp": "", "date": "2024-02-03 01:02:03"}]')
+    assert [r.timestamp for r in exports.read_message_export(spark, str(tmp_path)).orderBy("seq").collect()] == [1706659200, 1706922123]
+
+
+def test_places_are_unique_over_files_and_become_entities(spark, tmp_path):
+    from feedfold.operators.summaries import number_new
+    for name in "ab":
+        put(tmp_path, f"{name}.txt", "[" + ",".join(record(id=f"{name}{i}", date="2024-01-01 00:00:00", body="b") for i in range(5)) + "]")
+    got = exports.exported_emails(exports.read_mail_export(spark, str(tmp_path)))
+    rows = got.orderBy("seq").collect()
+    assert [r.id for r in rows] == [f"{n}{i}" for n in "ab" for i in range(5)] and len({r.seq for r in rows}) == 10
+    assert dict(got.dtypes)["date"] == "timestamp" and dict(got.dtypes)["seq"] == "bigint"
+    new = got.selectExpr("seq", "id as email_id", "subject", "`from` as sender", "string(date) as email_date", "body", "'s' as summary",
+                         "'m' as model_used", "date as created_at")
+    assert number_new(new, 0).count() == 10
 
 
 def test_reminder_and_message_times(spark, tmp_path):
@@ -85,8 +112,8 @@ def test_reminder_and_message_times(spark, tmp_path):
 
 
 def report_inputs(rows):
-    mails = rows("id string, date string, `from` string, subject string, body string",
-                 ("1", "2024-01-01 02:03:04", "ann", "Hi/é\U0001F600!", "body\nline"), ("2", None, "", None, ""))
+    mails = rows("seq bigint, id string, date string, `from` string, subject string, body string",
+                 (5, "1", "2024-01-01 02:03:04", "ann", "Hi/é\U0001F600!", "body\nline"), (6, "2", None, "", None, ""))
     mails = mails.withColumn("date", F.to_timestamp("date"))
     stored = rows(SUMMARY, (1, "1", None, None, None, None, "short", "m", None))
     turns = rows("conv_id string, turn bigint, role string, content string", ("1", 0, "User", "q?"), ("1", 1, "Assistant", "a."), ("9", 0, "x", "y"))
@@ -147,9 +174,22 @@ def test_email_reports(spark, rows, tmp_path):
     assert assembled(reports.email_report(mails, stored, 1706659200, "big"), "2") == TEXT_2
     out = str(tmp_path / "out")
     reports.write_reports(full, out)
-    folder = os.path.join(out, "file_name=email_2024-01-31_Hi_____.txt", "id=1")
-    parts = sorted(f for f in os.listdir(folder) if f.startswith("part"))
-    assert "".join(open(os.path.join(folder, p), encoding="utf8").read() for p in parts) == TEXT_1
+    whole = {r.seq: r.report for r in reports.report_texts(spark.read.parquet(out)).collect()}
+    assert whole[5] == TEXT_1 and set(whole) == {5, 6}
+    assert not [f for f in os.listdir(out) if "=" in f]
+
+
+def test_reports_of_mails_without_id_and_of_accounts_are_kept_apart(spark, rows):
+    mails = rows("account bigint, seq bigint, id string, date timestamp, `from` string, subject string, body string",
+                 (1, 1, None, None, "a", "same", "one"), (1, 2, None, None, "b", "same", "two"), (1, 3, "x", None, "c", "same", "three"),
+                 (2, 3, "x", None, "d", "same", "four"))
+    stored = rows(f"account bigint, {SUMMARY}", (2, 1, "x", None, None, None, None, "short", "m", None))
+    turns = rows("account bigint, conv_id string, turn bigint, role string, content string", (1, "x", 0, "User", "q?"), (3, "x", 0, "User", "no"))
+    got = reports.email_report(mails, stored, 1706659200, turns=turns, by=["account"])
+    text = {(r.account, r.seq): r.report for r in reports.report_texts(got, ["account"]).collect()}
+    assert len(text) == 4 and all(t.count("=== END OF EXPORT ===") == 1 for t in text.values())
+    assert "one" in text[1, 1] and "two" in text[1, 2] and "q?" in text[1, 3] and "short" not in text[1, 3]
+    assert "short" in text[2, 3] and "User" not in text[2, 3]
 
 
 def test_file_names_and_digest_report(value):
