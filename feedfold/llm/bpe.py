@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import bucketed
+from .common import bucketed, give_back, tidy
 
 BLOCK_CHARS = 8_000_000
 IDS_AT_ONCE = 250_000  # that are decoded together
@@ -197,15 +197,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
                   .add("rest", ArrayType(rest)).add("lengths", ArrayType(IntegerType())).add("codes", "binary"))
     block_schema = to_arrow_schema(block_type)
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = bucketed(docs.mapInArrow(lambda it: _blocks(it, pattern, shares, block_schema), block_type), "block", "bpe-blocks")
+    blocks = bucketed(docs.mapInArrow(tidy(lambda it: _blocks(it, pattern, shares, block_schema)), block_type), "block", "bpe-blocks")
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
     pieces = words.repartition("share").sortWithinPartitions("share").mapInArrow(
-        lambda it: _encode_words(it, ranks), "block long, share int, sizes binary, ids binary")
+        tidy(lambda it: _encode_words(it, ranks)), "block long, share int, sizes binary, ids binary")
     out_type = StructType().add("rest", rest).add("ids", ArrayType(IntegerType())).add("raw", "binary")
     out_schema = to_arrow_schema(out_type)
     places = blocks.select("block", "share", "rest", "lengths", "codes")
+
+    def assembled(block: pa.Table, found: pa.Table) -> pa.Table:
+        out = _assemble(block, found, out_schema)
+        give_back()
+        return out
+
     return places.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(
-        lambda block, found: _assemble(block, found, out_schema), out_type)
+        assembled, out_type)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], at: int, blob: np.ndarray, starts: np.ndarray,
@@ -241,4 +247,4 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = coded.columns.index(ids_col)
     columns = [c for c in coded.columns if c != "decoded"]
     coded, at = coded.select(columns), columns.index(ids_col)
-    return coded.mapInArrow(lambda it: _decode(it, at, blob, starts, sizes), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
+    return coded.mapInArrow(tidy(lambda it: _decode(it, at, blob, starts, sizes)), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))

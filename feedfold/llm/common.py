@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +120,22 @@ def tied(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[i
         members = np.unique(np.concatenate([left[rows], right[columns]]))
         out += [(int(members[0]), int(x)) for x in members[1:]]
     return out
+
+
+def give_back() -> None:
+    """Return this worker's free memory to the machine: Spark keeps workers for the next task, which may be another's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` over a task's batches, and then its memory is given back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import slices, words_of
+from .common import slices, tidy, words_of
 
 PASSAGE, STRIDE = 64, 32
 K1, B = 1.2, 0.75
@@ -217,7 +217,7 @@ def _with_rest(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _asked(docs: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
     schema = StructType([*docs.schema.fields, *_parse_datatype_string(f"hits {HITS}").fields])
-    return docs.mapInArrow(lambda it: _search(it, index, threshold, overlap), schema)
+    return docs.mapInArrow(tidy(lambda it: _search(it, index, threshold, overlap)), schema)
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.6, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, tied, written
+from .common import fresh, groups, tidy, tied, written
 from .components import components
 
 TILE = 1024
@@ -147,7 +147,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
 
     chosen, radius = pivots(vectors), math.sqrt(2 - 2 * least)
     placed = vectors.select("key", "v", "node", "vh", "times").mapInArrow(
-        lambda it: _place(it, chosen, radius),
+        tidy(lambda it: _place(it, chosen, radius)),
         "key long, v array<double>, node long, vh long, times long, cell int, home int, sent array<int>")
     placed = written(placed, "cells")
     sizes = placed.groupBy("key", "cell").agg(F.count("*").alias("m")).where("m > 1").select(
@@ -158,7 +158,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
         "key", "cell", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "vh", "times", "home",
         "sent", "v")
     found = written(tiles.repartition("key", "cell", "i", "j").sortWithinPartitions("key", "cell", "i", "j").mapInArrow(
-        lambda it: _join(it, least), "a long, b long, vh long, n long"), "vector-links")
+        tidy(lambda it: _join(it, least)), "a long, b long, vh long, n long"), "vector-links")
 
     label = components(found.where("b is not null").select("a", "b").unionByName(copies.select(F.col("id").alias("a"), F.col("node").alias("b"))))
     beyond = found.where("b is null").select(F.col("a").alias("node"), "vh", "n")

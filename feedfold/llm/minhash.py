@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, mixed, odd_numbers, run_hashes, tied, word_hashes, words_of, written
+from .common import fresh, groups, mixed, odd_numbers, run_hashes, tidy, tied, word_hashes, words_of, written
 from .components import components
 
 BANDS, ROWS, BITS = 32, 5, 4  # 160 minima of 4 bits: ten longs
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     later = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = later.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        lambda it: _confirm(it, words, percent), "a long, b long").distinct()
+        tidy(lambda it: _confirm(it, words, percent)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id",
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(lambda it: _sign(it, words), "id long, n long, set binary, sig array<long>, "
+    signed = written(docs.mapInArrow(tidy(lambda it: _sign(it, words)), "id long, n long, set binary, sig array<long>, "
                                      "bands array<long>"), "minhash-signed")
     known = signed.where("id is not null and n > 0")
     firsts = written(known.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "minhash-sets")
@@ -208,12 +208,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     comp = F.coalesce("component", "node").alias("comp")
     named = shared.select("key", F.col("id").alias("node")).join(label, "node", "left").select("key", "node", comp)
     tiles = _tiled(named.join(sigs.toDF("node", "sig"), "node"), _sizes_of_mixed(named), "sig")
-    alike = components(tiles.mapInArrow(lambda it: _alike_in_tiles(it, cut), "a long, b long"))
+    alike = components(tiles.mapInArrow(tidy(lambda it: _alike_in_tiles(it, cut)), "a long, b long"))
     named = written(alike.select(F.col("component").alias("key"), "node").join(label, "node", "left").select(
         "key", "node", comp), "minhash-groups")
     texts = docs.select(F.col("id").alias("node"), "text")
     tiles = _tiled(named.join(texts, "node"), _sizes_of_mixed(named), "text")
-    late = written(tiles.mapInArrow(lambda it: _linked_in_tiles(it, words, percent), "a long, b long"), "minhash-links")
+    late = written(tiles.mapInArrow(tidy(lambda it: _linked_in_tiles(it, words, percent)), "a long, b long"), "minhash-links")
 
     label = components(copies.unionByName(near).unionByName(late))
     out = signed.select("id", "n").join(label.select(F.col("node").alias("id"), "component"), "id", "left")

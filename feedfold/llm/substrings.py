@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, odd_numbers, run_hashes, slices, word_hashes, words_of, written
+from .common import mixed, odd_numbers, run_hashes, slices, tidy, word_hashes, words_of, written
 
 GRAM = 8
 SAMPLE = 2_000  # documents that are looked at for grams that very many documents share
@@ -289,8 +289,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     docs = docs.select(F.struct("*").alias("rest"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.col(text_col).cast("string").alias("text")).withColumn("th", F.hash("text"))
     hot = hot_grams(docs)
-    routed = docs.select("id", "th", "text").mapInArrow(lambda it: _route(it, window, hot), ROUTED)
-    judged = routed.repartition("key").sortWithinPartitions("key", "kind", "seg", "id", "start").mapInArrow(_judge, ROUTED)
+    routed = docs.select("id", "th", "text").mapInArrow(tidy(lambda it: _route(it, window, hot)), ROUTED)
+    judged = routed.repartition("key").sortWithinPartitions("key", "kind", "seg", "id", "start").mapInArrow(tidy(_judge), ROUTED)
     judged = written(judged.select("key", "id", "th", "start", "n", "kind"), "repeats-judged")
 
     span = F.struct("start", "n")
@@ -301,9 +301,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # With what its copies alone decide, a document without segments to match is done.
     marked = written(marked, "repeats-marked")
     firsts = marked.where(F.size("firsts") > 0).select("id", "th", "text", "firsts").mapInArrow(
-        lambda it: _cut(it, window), "key long, id long, th int, start int, words binary").distinct()
+        tidy(lambda it: _cut(it, window)), "key long, id long, th int, start int, words binary").distinct()
     matched = firsts.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
-        lambda it: _match(it, window), "id long, th int, start int, n int")
+        tidy(lambda it: _match(it, window)), "id long, th int, start int, n int")
     matched = matched.groupBy("id", "th").agg(F.collect_list(span).alias("matched"))
     # Only documents that had segments to match are shuffled once more.
     waiting = F.coalesce(F.size("firsts"), F.lit(0)) > 0
@@ -311,4 +311,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     late = marked.where(waiting).drop("firsts").join(matched, ["id", "th"], "left").select(columns)
     done = marked.where(~waiting).withColumn("matched", F.lit(None).cast("array<struct<start:int,n:int>>")).select(columns)
     kinds = docs.select("rest", "text").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return done.unionByName(late).mapInArrow(lambda it: _drop(it, window), kinds)
+    return done.unionByName(late).mapInArrow(tidy(lambda it: _drop(it, window)), kinds)

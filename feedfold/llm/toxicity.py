@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import slices, tidy, words_of
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN, ATTEND = 2**14, 8, 8, 8
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """
     docs = docs.select(F.struct("*").alias("rest"), F.col(text_col).cast("string").alias("text"))
     kinds = docs.select("rest").schema.add("score", "double")
-    return docs.mapInArrow(lambda it: _score(it, model), kinds)
+    return docs.mapInArrow(tidy(lambda it: _score(it, model)), kinds)
 
 
 def reject(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
