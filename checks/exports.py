@@ -10,8 +10,11 @@ from feedfold.functions.fields import iso_text
 from feedfold.session import scratch_path
 from feedfold.sources import exports
 
+from feedfold.plans import daily_digest as dd
+
 from . import adapters as a
-from .adapters import with_ctes
+from .adapters import AS_OF, with_ctes
+from .digests import _PROMPT, _WHOLE, FEEDS, blocks_sql
 
 QUERIES, ORACLES = {}, {}
 RECORDS_PER_FILE = 2000
@@ -26,11 +29,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _write_arrays(df: DataFrame, seq: Column, path: str) -> None:
-    """JSON array files of a fixed number of consecutive records."""
+def _write_arrays(df: DataFrame, seq: Column, path: str, places: int = RECORDS_PER_FILE) -> None:
+    """JSON array files of a fixed number of consecutive places, in the order of their names."""
     item = F.to_json(F.struct(*[quoted(c) for c in df.columns]))
     (
-        df.select(F.floor(seq / RECORDS_PER_FILE).alias("file"), seq.alias("seq"), item.alias("item"))
+        df.select(F.format_string("%012d", F.floor(seq / places)).alias("file"), seq.alias("seq"), item.alias("item"))
         .groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("items"))
         .select("file", F.concat(
             F.lit("["), F.array_join(F.transform("items", lambda i: i["item"]), ",\n"), F.lit("]")).alias("value"))
@@ -94,3 +97,22 @@ def _(spark, sf):
     position = F.expr("seq div 131072")  # few conversations per file
     _write_arrays(messages.drop("account_id", "chat_seq"), position, path)
     return exports.read_message_export(spark, path).drop("file", "seq")
+
+
+# The one path of a user: four exports, their entities, windows, caps, blocks and the prompt.
+@query("digest_from_exports", with_ctes(FEEDS, f"with {blocks_sql('')}, d as ({_WHOLE}) select {_PROMPT} as prompt from d"))
+def _(spark, sf):
+    path = scratch_path(spark, "exports")
+    mails = a.emails(spark, sf).withColumn("date", iso_text("date"))
+    fields = [F.concat(F.lit(f'"{n}":"'), quoted(n), F.lit('"')) for n in EMAIL_EXPORT_FIELDS]
+    mails.orderBy("seq").select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("},"))).write.text(f"{path}/mail")
+    events = a.calendar(spark, sf).withColumns({"start": iso_text("start"), "end": iso_text(quoted("end"))})
+    _write_arrays(events.drop("account_id"), F.col("seq"), f"{path}/calendar")
+    reminders = a.reminders(spark, sf).where("not completed").withColumns({"due": iso_text("due"), "due_ts": iso_text("due")})
+    _write_arrays(reminders.drop("account_id", "completed"), F.col("seq"), f"{path}/reminders")
+    _write_arrays(a.messages(spark, sf).drop("account_id", "chat_seq"), F.col("seq"), f"{path}/messages", 250 * 1048576)
+    return dd.daily_digest(
+        exports.exported_emails(exports.read_mail_export(spark, f"{path}/mail")),
+        exports.exported_calendar(exports.read_calendar_export(spark, f"{path}/calendar")),
+        exports.exported_reminders(exports.read_reminder_export(spark, f"{path}/reminders")),
+        exports.read_message_export(spark, f"{path}/messages"), AS_OF).select("prompt")

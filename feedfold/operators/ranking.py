@@ -91,8 +91,14 @@ def as_arrival_order(capped: DataFrame, rank: str = "rank", seq: str = "seq") ->
 
 
 def threads_by_recency(threads: DataFrame, by: By = ()) -> DataFrame:
-    """Latest thread first; equal times keep the order of first appearance."""
-    return threads.orderBy(*by_columns(by), F.desc("last_ts"), "first_seq")
+    """Latest thread first; equal times keep the order of first appearance.
+
+    With accounts each account's rows, which a cap has made few, are put in order together; accounts are in no
+    order, so nothing is sorted as a whole and lists are not moved for it again.
+    """
+    if by:
+        return threads.repartition(*by_columns(by)).sortWithinPartitions(*by_columns(by), F.desc("last_ts"), "first_seq")
+    return threads.orderBy(F.desc("last_ts"), "first_seq")
 
 
 def threads_by_volume(threads: DataFrame, n: int, by: By = ()) -> DataFrame:
