@@ -82,7 +82,6 @@ class Index:
             for part, w in postings:
                 r = part * RANGES // len(parts)
                 self.ranges[t, r] = max(self.ranges[t, r], w)
-        self.bounds = self.ranges.max(axis=1)
 
     def search(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
         """All parts that score ``threshold`` or more for a set of terms, by block-max WAND."""
@@ -126,17 +125,15 @@ class Index:
                 c[0], c[1] = (postings[at][0] if at < len(postings) else end), at
 
     def likely(self, terms: np.ndarray, threshold: float) -> np.ndarray:
-        """First words of the passages of a text that could reach the threshold."""
+        """First words of the passages of a text that could reach the threshold in some range of items."""
         starts = np.arange(0, max(1, len(terms) - (PASSAGE - STRIDE)), STRIDE)
-        ends = np.minimum(starts + PASSAGE, len(terms))
-        sums = np.concatenate([[0.0], np.cumsum(self.bounds[terms], dtype=np.float64)])
-        some = sums[ends] - sums[starts] >= threshold - 1e-4
-        out = []
-        for s, e in zip(starts[some].tolist(), ends[some].tolist()):
-            own = np.unique(terms[s:e])
-            if self.ranges[own].sum(axis=0).max() >= threshold - 1e-4:
-                out.append(s)
-        return np.array(out, np.int64)
+        padded = np.concatenate([terms.astype(np.int32), np.full(PASSAGE, -1, np.int32)])
+        own = np.sort(np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[::STRIDE][: len(starts)], axis=1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = -1  # a term counts once; -1 is the row of zeros
+        best = np.empty(len(starts), np.float32)
+        for i in range(0, len(starts), 256):
+            best[i : i + 256] = self.ranges[own[i : i + 256]].sum(axis=1).max(axis=1)
+        return starts[best >= threshold - 1e-4]
 
 
 class _Numbers(dict):
