@@ -170,11 +170,12 @@ def _(spark, sf):
 @query("digest_page", with_ctes(FEEDS, f"""
     with {blocks_sql()}, {_KEYS}, d as ({_BY_ACCOUNT})
     select account_id, '=== DAILY DIGEST ===' || {NL} || 'Generated: 2024-01-31 00:00:00' || {NL} || 'Model: Default' || {NL} || {NL}
-      || repeat('=', 50) || {NL} || {NL} || reminders || {NL} || {NL} || repeat('=', 50) || {NL} || '=== END OF DIGEST ===' || {NL} as report,
-      '<p><ul>' || regexp_replace(replace(replace(replace(reminders, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?m)^- (.+)$', '<li>\\1</li>', 'g') || '</ul></p>' as html
-    from d where reminders <> {lit(fixed.NO_REMINDERS)}"""))
+      || repeat('=', 50) || {NL} || {NL} || emails || {NL} || {NL} || events || {NL} || {NL} || reminders || {NL} || {NL} || messages
+      || {NL} || {NL} || repeat('=', 50) || {NL} || '=== END OF DIGEST ===' || {NL} as report,
+      case when n_reminders > 0 then '<p><ul>' || regexp_replace(replace(replace(replace(reminders, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+        '(?m)^- (.+)$', '<li>\\1</li>', 'g') || '</ul></p>' else '<p>' || reminders || '</p>' end as html
+    from d"""))
 def _(spark, sf):
     rows = digest.digest_join(dd.digest_blocks(*_sources(spark, sf), AS_OF, ACCOUNT), ACCOUNT)
-    return rows.where(F.col("n_reminders") > 0).select(
-        "account_id", reports.digest_report("reminders", AS_OF).alias("report"),
-        markdown_to_html("reminders").alias("html"))
+    text = F.concat_ws("\n\n", "emails", "events", "reminders", "messages")
+    return rows.select("account_id", reports.digest_report(text, AS_OF).alias("report"), markdown_to_html("reminders").alias("html"))
