@@ -161,3 +161,19 @@ REPORT_CHAT = "\n\n--- CHAT CONVERSATION ---\n"
 REPORT_FOOT = "=== END OF EXPORT ===\nExported on: "
 DIGEST_HEAD = "=== DAILY DIGEST ===\nGenerated: "
 DIGEST_FOOT = "\n=== END OF DIGEST ===\n"
+
+# Headings of what a question about a mail is asked with.
+CONTEXT_MAIL = "Email Content:\n{body}\n\n"
+CONTEXT_SUMMARY = "Summary:\n{summary}\n\n"
+CONTEXT_TURNS = "Previous conversation:\n{turns}\n\n"
+
+# Progress frames of a digest.
+DIGEST_PHASES = (
+    ("gathering", "Gathering your data..."),
+    ("analyzing", "Analyzing content..."),
+    ("generating", "Generating your digest..."),
+)
+
+# What a field of a mail record looks like in an export.
+MAIL_FIELD = r'"{name}":"([^"]*)"'
+MAIL_BODY = r'(?s)"body":"(.*?)"(?:,|\})'

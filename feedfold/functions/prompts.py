@@ -48,10 +48,9 @@ def email_context(body: Column | str, summary: Column | str, conversation: Colum
     """
     summary, conversation = as_column(summary), as_column(conversation)
     return F.concat(
-        fill("Email Content:\n{body}\n\n", body=body),
-        F.when(is_truthy(summary), fill("Summary:\n{summary}\n\n", summary=summary)).otherwise(""),
-        F.when(is_truthy(conversation),
-               fill("Previous conversation:\n{turns}\n\n", turns=conversation)).otherwise(""),
+        fill(fixed.CONTEXT_MAIL, body=body),
+        F.when(is_truthy(summary), fill(fixed.CONTEXT_SUMMARY, summary=summary)).otherwise(""),
+        F.when(is_truthy(conversation), fill(fixed.CONTEXT_TURNS, turns=conversation)).otherwise(""),
     )
 
 

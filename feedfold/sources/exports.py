@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .. import fixed
 from ..entities import (
     CALENDAR_EXPORT_FIELDS,
     EMAIL_EXPORT_FIELDS,
@@ -17,15 +18,12 @@ from ..functions.fields import first_truthy, parse_epoch, to_int_or_zero
 from ..functions.text import strip
 
 
-# What a field of a mail record looks like.
-FIELD = r'"{name}":"([^"]*)"'
-BODY = r'(?s)"body":"(.*?)"(?:,|\})'
 PLACES = 2**40  # records of one file at most: ``seq`` is the file's number times this and the record's place
 
 
 def _mail_field(name: str, record: Column) -> Column:
     """The field's text, or NULL where its pattern does not occur in the record."""
-    pattern = BODY if name == "body" else FIELD.format(name=name)
+    pattern = fixed.MAIL_BODY if name == "body" else fixed.MAIL_FIELD.format(name=name)
     return F.get(F.regexp_extract_all(record, F.lit(pattern), F.lit(1)), F.lit(0))
 
 

@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import fixed
 from ..columns import quoted
 from ..functions.fields import is_truthy
 from ..functions.text import chunks
 
 _FRAME = "struct<type:string,content:string,value:boolean,phase:string,message:string>"
 
-# Progress frames of a digest.
-DIGEST_PHASES = (
-    ("gathering", "Gathering your data..."),
-    ("analyzing", "Analyzing content..."),
-    ("generating", "Generating your digest..."),
-)
-
 
 def _frame(kind: str, content: Column | None = None, value: bool | None = None,
            phase: str | None = None, message: str | None = None) -> Column:
@@ -75,7 +69,7 @@ def answer_frames(results: DataFrame, keys: list[str], answer: str = "answer") -
 
 def digest_frames(digests: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
     """Frames of digests: three progress frames, then the text like a new summary."""
-    phases = F.array(*[_frame("status", phase=p, message=m) for p, m in DIGEST_PHASES])
+    phases = F.array(*[_frame("status", phase=p, message=m) for p, m in fixed.DIGEST_PHASES])
     good = F.concat(
         _text_frames(F.coalesce(answer, F.lit(""))),
         F.array(_frame("model", F.col("model_used"))), F.array(_frame("done")),
