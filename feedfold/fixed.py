@@ -165,7 +165,7 @@ DIGEST_FOOT = "\n=== END OF DIGEST ===\n"
 # Headings of what a question about a mail is asked with.
 CONTEXT_MAIL = "Email Content:\n{body}\n\n"
 CONTEXT_SUMMARY = "Summary:\n{summary}\n\n"
-CONTEXT_TURNS = "Previous conversation:\n{turns}\n\n"
+CONTEXT_TALK = "Previous conversation:\n{turns}\n\n"
 
 # Progress frames of a digest.
 DIGEST_PHASES = (

@@ -50,7 +50,7 @@ def email_context(body: Column | str, summary: Column | str, conversation: Colum
     return F.concat(
         fill(fixed.CONTEXT_MAIL, body=body),
         F.when(is_truthy(summary), fill(fixed.CONTEXT_SUMMARY, summary=summary)).otherwise(""),
-        F.when(is_truthy(conversation), fill(fixed.CONTEXT_TURNS, turns=conversation)).otherwise(""),
+        F.when(is_truthy(conversation), fill(fixed.CONTEXT_TALK, turns=conversation)).otherwise(""),
     )
 
 
