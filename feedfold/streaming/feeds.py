@@ -174,6 +174,36 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"].replace("-", "")
 
 
+def fold_batches(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> int:
+    """Put all batches but the newest ``keep`` of ``update`` output into one, and remove their folders; how many went.
+
+    The current rows of the old batches are added to the newest of them, file by file, and only then the others go:
+    at any moment a reader finds each key's current row (once more, perhaps, which
+    ``latest_updates`` does not mind), also if this stops half way.
+    """
+    numbers = sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())
+    old = numbers[: len(numbers) - keep]
+    if len(old) < 2:
+        return 0
+    draft = f"{path}/_fold-{uuid.uuid4().hex}"  # not seen by readers
+    latest_updates(spark.read.parquet(path).where(F.col("batch") <= old[-1]), keys).write.parquet(draft)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at(draft)):
+        name = status.getPath().getName()
+        if name.startswith("part-") and not fs.rename(status.getPath(), at(f"{path}/batch={old[-1]}/{name}")):
+            raise OSError(f"{name} of {draft} could not be moved")
+    fs.delete(at(draft), True)
+    for number in old[:-1]:
+        fs.delete(at(f"{path}/batch={number}"), True)
+    return len(old) - 1
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query, from its checkpoint: a new one where the folder was made anew."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"].replace("-", "")
+
+
 def fold_batches(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> int:
     """Put all batches but the newest ``keep`` of ``update`` output into one, and remove their folders; how many went.
 
