@@ -120,3 +120,54 @@ def op4_chat_perspectives(spark, sf_dir):
 
 
 ORACLES["op4_chat_perspectives"] = chatml.SQL
+
+
+# What SQL can say of the rest; a text that begins with a raw string keeps its escapes.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+ORACLES["op3_embedding_near_dedup"] = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select reach.a, links.b from reach join links on reach.b = links.a
+), n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, min(b) as component_id, vec_id = min(b) as kept
+from embeddings join reach on reach.a = vec_id left join n on n.a = vec_id group by vec_id, n"""
+
+ORACLES["op6_minhash_near_dedup"] = f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, {_WORDS}) as ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as shingle
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as both_ from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id
+), links as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_ >= 85 * (x.n + y.n - both_)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id, d.doc_id = min(b) as kept
+from documents d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n"""
+
+ORACLES["op10_substring_dedup"] = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as ws from documents),
+x as (
+  select doc_id, i, array_to_string(ws[i : i + 19], ' ') as win
+  from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20)
+), f as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as nth from x),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) as p from f where nth > 1)),
+placed as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as k, count(*) as n from placed
+  where not exists (select 1 from gone where gone.doc_id = placed.doc_id and gone.p = placed.p) group by doc_id
+)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(k, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
