@@ -118,11 +118,11 @@ def marked(folder, fails=False):
 
 @pytest.mark.parametrize("fails", [False, True])
 def test_a_model_is_loaded_once_in_a_worker(spark, tmp_path, fails):
-    df = spark.range(400).selectExpr("cast(id as string) as prompt").repartition(32)
+    df = spark.range(400).selectExpr("cast(id as string) as prompt").repartition(200)
     made = generation.generate_with_fallback(df, {"m": marked(str(tmp_path), fails)}, cause="why")
     assert {(r.answer, r.why) for r in made.collect()} == {(None, "OSError: no weights") if fails else ("x", None)}
     workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
-    assert 1 <= len(workers) == len(set(workers)) < 32
+    assert 1 <= len(workers) == len(set(workers)) < 200  # earlier tests have left idle workers, which take turns
 
 
 def test_answered_rows_are_not_sent_again(rows):
