@@ -199,34 +199,6 @@ def fold_batches(spark: SparkSession, path: str, keys: list[str], keep: int = 1)
     return len(old) - 1
 
 
-def _query_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id that Spark gave the query, from its checkpoint: a new one where the folder was made anew."""
-    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"].replace("-", "")
-
-
-def fold_batches(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> int:
-    """Put all batches but the newest ``keep`` of ``update`` output into one, and remove their folders; how many went.
-
-    The fold takes the number of the newest batch it holds, so rows are found by number as before. While it runs nobody
-    else may fold; readers of older files need a new look.
-    """
-    numbers = sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())
-    old = numbers[: len(numbers) - keep]
-    if len(old) < 2:
-        return 0
-    rows = latest_updates(spark.read.parquet(path).where(F.col("batch") <= old[-1]), keys)
-    draft = f"{path}/_fold-{uuid.uuid4().hex}"  # not seen by readers
-    rows.write.parquet(draft)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs.delete(at(f"batch={old[-1]}"), True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), at(f"batch={old[-1]}"))
-    for number in old[:-1]:
-        fs.delete(at(f"batch={number}"), True)
-    return len(old) - 1
-
-
 def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
                      as_of: Callable[[], Instant], checkpoint: str, results: str | None = None,
                      available_now: bool = False) -> StreamingQuery:

@@ -93,6 +93,58 @@ def test_stream_threads_equal_the_batch_result(spark, rows, landing):
     assert sorted(streams.threads_of_hours(again).collect()) == before and again.select("batch").distinct().count() == 2
 
 
+class Stops:
+    """A session whose file system refuses, or dies at, the change with this number."""
+
+    def __init__(self, spark, at, dies):
+        self.read, self._jsc, self._jvm, self.at, self.dies = spark.read, spark._jsc, self, at, dies
+        self.org = self.apache = self.hadoop = self.fs = self
+        self.paths, self.changes = spark._jvm.org.apache.hadoop.fs.Path, 0
+
+    def Path(self, name):
+        path = self.paths(name)
+        path.getFileSystem = lambda conf: self.held(self.paths(name).getFileSystem(conf))
+        return path
+
+    def held(self, real):
+        def change(do):
+            def call(*args):
+                self.changes += 1
+                if self.changes - 1 != self.at:
+                    return do(*args)
+                if self.dies:
+                    raise InterruptedError
+                return False
+            return call
+
+        class Held:
+            listStatus, rename, delete = real.listStatus, change(real.rename), change(real.delete)
+        return Held
+
+
+@pytest.mark.parametrize("dies", [True, False])
+def test_a_fold_that_stops_half_way_loses_no_current_row(spark, rows, tmp_path, dies):
+    hour = "hour timestamp, thread_id string, n bigint, _last struct<timestamp:bigint,seq:bigint,text:string>, _first struct<seq:bigint,title:string>"
+    batches = [[("a", 1)], [("a", 2), ("b", 5)], [("a", 3), ("c", 7)], [("d", 1)]]
+    stopped, done = 0, False
+    while not done:
+        path = str(tmp_path / f"out{stopped}")
+        for number, batch in enumerate(batches):
+            rows(hour, *[(None, k, n, (n, n, f"t{n}"), (0, k)) for k, n in batch]).coalesce(1).write.parquet(f"{path}/batch={number}")
+        threads = lambda: sorted(streams.threads_of_hours(spark.read.parquet(path)).collect())
+        before, session = threads(), Stops(spark, stopped, dies)
+        try:
+            streams.fold_batches(session, path, ["hour", "thread_id"])
+        except OSError:
+            pass
+        done = session.changes <= stopped
+        assert threads() == before
+        streams.fold_batches(spark, path, ["hour", "thread_id"])
+        assert threads() == before
+        stopped += 1
+    assert stopped > 3 and spark.read.parquet(path).select("batch").distinct().count() == 2
+
+
 def test_rolling_counts_add_up_hours(spark, rows, landing):
     landing.deliver(events(rows, (1, "2024-01-10 00:10:00", "a"), (2, "2024-01-10 00:50:00", "a"), (3, "2024-01-10 01:10:00", "a"), (4, "2024-01-20 00:00:00", "z")))
     counts = streams.stream_rolling_counts(landing.stream(ROW), F.col("kind"), window="3 hours")
