@@ -36,12 +36,16 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """The answer is what follows the last sentence end that leaves it five words; without one, both are the whole."""
+    """The answer is what follows the last sentence end that leaves it five words; without one, the last that leaves it
+    any words; a single sentence is both as a whole."""
+    short = None
     for end in reversed(list(re.finditer(r"[.?!:]\s+|\n", text or ""))):
         question, answer = terms_of(text[: end.end()]), terms_of(text[end.end() :])
         if question and len(answer) >= LEAST_ANSWER:
             return question, answer
-    return terms_of(text), terms_of(text)
+        if question and answer:
+            short = short or (question, answer)
+    return short or (terms_of(text), terms_of(text))
 
 
 def _grams(terms: list) -> set[tuple]:
@@ -49,11 +53,18 @@ def _grams(terms: list) -> set[tuple]:
     return {tuple(terms[i : i + n]) for i in range(len(terms) - n + 1)} if n else set()
 
 
+def _places(terms: list, run: list, first: int = 0, last: int | None = None) -> list[tuple]:
+    """The terms before and after each place from ``first`` to ``last`` where the run is, in order and whole; None at an end."""
+    n, last = len(run), len(terms) if last is None else last
+    return [(terms[i - 1] if i else None, terms[i + n] if i + n < len(terms) else None)
+            for i in range(first, last - n + 1) if terms[i : i + n] == run]
+
+
 class Index:
     """Postings (part of an item, impact) of each term in blocks with their greatest impact."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float):
-        self.ids, self.sides, self.lengths, parts = [], [], [], []
+        self.ids, self.sides, self.short, self.lengths, parts = [], [], [], [], []
         self.number: dict[bytes, int] = {}
         for item, text in items:
             terms = [self.number.setdefault(t, len(self.number)) for t in terms_of(text)]
@@ -62,6 +73,10 @@ class Index:
             sides = [[self.number[t] for t in side] for side in question_and_answer(text)]
             parts += [(len(self.ids), terms[s : s + PASSAGE]) for s in range(0, len(terms), PASSAGE)]
             self.ids.append(item), self.sides.append([_grams(s) for s in sides]), self.lengths.append(len(terms))
+            # A short answer, and the neighbours it has where the question itself names it.
+            question, answer = sides
+            short = len(answer) < LEAST_ANSWER and answer != question
+            self.short.append((answer, _places(question, answer)) if short else None)
         idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.number])
         self.item_of = np.array([i for i, _ in parts], np.int64)
         self.weights: list[dict[int, float]] = []
@@ -159,12 +174,17 @@ def _hits(text: str | None, index: Index, numbers: _Numbers, threshold: float, o
         stop = min(start + PASSAGE, len(terms))
         for part, score in index.search({t for t in terms[start:stop].tolist() if t >= 0}, threshold):
             item = int(index.item_of[part])
-            around = terms[max(0, start - index.lengths[item]) : stop + index.lengths[item]].tolist()
+            first, last = max(0, start - index.lengths[item]), min(len(terms), stop + index.lengths[item])
+            around = terms[first:last].tolist()
             shares = []
             for side in index.sides[item]:
                 n = len(next(iter(side)))
                 there = {tuple(around[i : i + n]) for i in range(len(around) - n + 1)}
                 shares.append(len(side & there) / len(side))
+            if index.short[item]:
+                (answer, own), edge = index.short[item], min(first, 1)
+                places = _places(terms[first - edge : last + 1].tolist(), answer, edge, edge + last - first)
+                shares[1] = float(any(not any(a in (None, before) and b in (None, after) for a, b in own) for before, after in places))
             best[item] = max(best.get(item, (-1.0, 0.0, 0.0, 0.0)), (min(shares), score, *shares))
     return [{"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a}
             for i, (least, s, q, a) in sorted(best.items()) if least >= overlap]
@@ -224,7 +244,8 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
     Passages of 64 terms begin every 32 terms of the whole text.  A passage retrieves each item
     that scores ``threshold`` of its own best score or more; items longer than a passage are indexed in
     parts.  It is a match if at least ``overlap`` of the three-term runs of its question, and of its
-    answer, are around the passage.  Terms are lower-case words without punctuation at their ends.
+    answer, are around the passage.  An answer of fewer than five terms has to be there whole and in order, besides where
+    the question names it; its overlap is 0 or 1.  Terms are lower-case words without punctuation at their ends.
 
     Null, empty and term-less texts and items match nothing. Repeated rows match alike; repeated items count once,
     different items of one id each. Empty tables give no rows.

@@ -72,6 +72,26 @@ def test_planted_items(spark, monkeypatch):
             str(i) for i, _ in docs if i not in {d for d, _ in want})
 
 
+def test_short_answers_have_to_be_there(spark):
+    rnd = random.Random(5)
+    ask = lambda: plain(rnd, 20)[:-1] + "? "
+    q, named, single, long = ask(), "Is it Lyon or Paris or Rome that " + ask(), plain(rnd, 20), plain(rnd, 20) + " " + plain(rnd, 6)
+    items = [(1, q + "Paris."), (2, named + "Paris"), (3, single), (4, long), (5, ask() + "In the old town.")]
+    four = items[4][1]
+    docs = {
+        "question": q, "both": q + "Paris.", "near": f"{q} I think it is paris, yes.", "far": q + plain(rnd, 300) + " Paris.",
+        "named": named, "named twice": named + plain(rnd, 3) + " " + named, "named and answered": named + "Paris!",
+        "single": single, "long": long, "long question": long[: long.index(".") + 1],
+        "four": four, "four not whole": four.replace(" town", ""), "four not in order": four.replace("In the old town", "Old town in the")}
+    noise = plain(rnd, 90)
+    table = spark.createDataFrame([(k, f"{before}{v}{after}") for k, v in docs.items() for before, after in (("", ""), (noise + " ", " " + noise))],
+                                  "doc_id string, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(table, tests).select("rest.doc_id", "item_id", "answer_overlap").collect()
+    assert sorted(tuple(r) for r in got) == sorted(
+        [("both", 1, 1.0), ("near", 1, 1.0), ("named and answered", 2, 1.0), ("single", 3, 1.0), ("long", 4, 1.0), ("four", 5, 1.0)] * 2)
+
+
 def test_empty_tables(spark):
     none, some = (spark.createDataFrame(rows, "doc_id long, text string") for rows in ([], [(1, "a b c d e f g")]))
     items = some.toDF("item_id", "text")
