@@ -95,6 +95,13 @@ CUTS = [(r"[ \t\r]*\n[ \t]*([a-z])", r" \1"),  # a line that goes on in lower ca
         (r"([.!?])[ \t\r]+", "\\1\n")]
 NORMS = [(r"[^a-z0-9]+", " "), (r"^ | $", ""), (r"^copyright .*$", "copyright"),
          (r"^(neither the name of) .* (may be used to endorse)", r"\1 \2"), (r"^[0-9a-z] (redistributions) ", r"\1 ")]
+# Sentences that say what several of SENTENCES say, as notices are published, and their identifiers.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": ["ApacheRef", "ApacheComply"],
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": ["ApacheCopy", "ApacheUrl"],
+}
+TAIL = (r"^(you should have received a copy of the gnu general public license along with this program) if not .*$", r"\1")
+OPEN_NAME = "neither the name of"  # any name may follow
 
 
 def anchors(sentences: dict[str, str]) -> list[str]:
@@ -118,6 +125,57 @@ def _replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
     return c
 
 
+def _let(c: Column, then) -> Column:
+    return F.element_at(F.transform(F.array(c), then), 1)
+
+
+def _identifiers(pieces: Column, sentences: dict[str, str]) -> Column:
+    """Identifiers of known sentences in order: single pieces, and runs of pieces that are wrapped sentences.
+
+    Walks over the pieces with the runs that can still become a known sentence; one that does takes the place of what its
+    pieces were by themselves.
+    """
+    table = {s: [i] for s, i in sentences.items()} | {s: i for s, i in VARIANTS.items() if set(i) <= set(sentences.values())}
+    known = F.create_map(*[x for s, i in table.items() for x in (F.lit(s), F.array(*map(F.lit, i)))])
+    texts = F.array(*map(F.lit, table))
+    names = any(s.startswith(OPEN_NAME) for s in table)
+    wild = lambda c: F.startswith(c, F.lit(f"{OPEN_NAME} ")) & F.lit(names)
+    goes_on = lambda c: wild(c) | F.exists(texts, lambda s: F.startswith(s, F.concat(c, F.lit(" "))))
+    # Of a sentence with a name only the end matters: all that follows the name is within its last 200 characters.
+    short = lambda c: F.when(wild(c) & (F.length(c) > 400), F.concat(F.lit(f"{OPEN_NAME} "), F.right(c, F.lit(200)))).otherwise(c)
+    whole = lambda c: known[_replaced(c, [NORMS[3], TAIL])]
+
+    def looked_up(raw):
+        first = _replaced(raw, [NORMS[4]])
+        return F.struct(raw.alias("raw"), first.alias("first"), whole(first).alias("whole"),
+                        F.coalesce(known[_replaced(raw, NORMS[2:])], whole(first)).alias("ids"), goes_on(first).alias("goes_on"))
+
+    none = F.array().cast("array<struct<text:string,at:int>>")
+
+    def step(state, x):
+        ids, runs = state["ids"], state["runs"]
+        named = x["whole"].isNotNull() | F.startswith(x["raw"], F.lit(OPEN_NAME))  # a name does not reach over these
+        longer = F.transform(F.filter(runs, lambda r: ~(named & wild(r["text"]))),
+                             lambda r: F.struct(short(F.concat(r["text"], F.lit(" "), x["raw"])).alias("text"), r["at"].alias("at")))
+
+        def grown(longer):
+            hit = F.array_position(F.transform(longer, lambda r: whole(r["text"]).isNotNull()), True).cast("int")  # the longest
+            new = F.struct(x["first"].alias("text"), F.size(ids).alias("at"))
+            left = lambda rs: F.filter(rs, lambda r: goes_on(r["text"]))
+            alone = F.struct(F.when(x["ids"].isNotNull(), F.concat(ids, x["ids"])).otherwise(ids).alias("ids"),
+                             F.when(x["goes_on"], F.array_append(left(longer), new)).otherwise(left(longer)).alias("runs"))
+            run = _let(F.get(longer, hit - 1), lambda r: F.struct(
+                F.concat(F.slice(ids, F.lit(1), r["at"]), whole(r["text"])).alias("ids"), left(F.slice(longer, F.lit(1), hit)).alias("runs")))
+            return F.when(hit > 0, run).otherwise(alone)
+
+        idle = (F.size(runs) == 0) & x["ids"].isNull() & ~x["goes_on"]
+        return F.when(idle, state).when(x["raw"] == "", F.struct(ids.alias("ids"), none.alias("runs"))).otherwise(_let(longer, grown))
+
+    start = F.struct(F.array().cast("array<string>").alias("ids"), none.alias("runs"))
+    raws = F.transform(pieces, lambda p: _replaced(_lower(p), NORMS[:2]))
+    return F.aggregate(F.transform(raws, looked_up), start, step, lambda s: s["ids"])
+
+
 def scanned(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES,
             text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: rest (a struct of its columns), sentences, licenses, unmatched (arrays of text).
@@ -125,16 +183,17 @@ def scanned(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[
     ``sentences`` are the identifiers of all known sentences in order; sentences that are not
     known are passed over. Rules are tried in order: each run of identifiers that is a rule's is
     taken away, its licence is noted once; ``unmatched`` are the identifiers that are left, in order.
-    A sentence ends at ``.!?`` before white space and at a line break that a small letter does not follow.
+    A piece ends at ``.!?`` before white space and at a line break that a small letter does not follow. Pieces in a row
+    that make up a known sentence are that sentence, however it is wrapped and whatever marks its lines begin with,
+    unless a line without letters and digits is between them; other pieces are looked up one by one.
 
     Null and empty texts have empty arrays; repeated rows are scanned alike. All is done in the row itself: tables of
     sentences and rules are small, nothing is shuffled, and the whole text is read.
     """
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     some = _lower(text).rlike("|".join(anchors(sentences)))
-    pieces = F.split(_replaced(text, CUTS), "\n")
-    ids = F.filter(F.transform(pieces, lambda p: known[_replaced(_lower(p), NORMS)]), lambda i: i.isNotNull())
+    pieces = F.split(_replaced(text, [(r"[ \t\r]+\n", "\n"), *CUTS]), "\n")
+    ids = _identifiers(pieces, sentences)
     found = docs.select(F.struct("*").alias("rest"), F.when(some, ids).otherwise(F.array().cast("array<string>")).alias("sentences"))
     # A run is found in the text of all identifiers, each between commas of its own.
     joined = F.concat(F.lit(","), F.array_join("sentences", ",,"), F.lit(","))

@@ -55,6 +55,105 @@ def test_texts(spark):
     assert got[12][1] == ["CC-BY-NC-4.0"] and got[13][1] == ["Apache-2.0"]
 
 
+APACHE = """   Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL3.replace("version 3", "version 2").replace("""License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""", """License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""")
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Some Name, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+"""
+
+
+def test_published_notices(spark):
+    texts = [APACHE, GPL3, GPL2, MIT_TEXT, BSD3]
+    marked = [m + t.replace("\n", f"\n{m}") for m in ("# ", " * ", "// ", "-- ") for t in texts]
+    got = scan(spark, *texts, *(t.replace("\n", "\r\n") for t in texts), *marked)
+    gpl = ["GPLWarranty", "GPLSee", "GPLCopy"]
+    want = [
+        (["Copyright", "ApacheRef", "ApacheComply", "ApacheCopy", "ApacheUrl", "ApacheWarranty", "ApacheSee"], ["Apache-2.0"], ["Copyright"]),
+        (["GPL3Later", *gpl], ["GPL-3.0-or-later"], []),
+        (["GPL2Later", *gpl], ["GPL-2.0-or-later"], []),
+        (["MITTitle", "Copyright", "MITGrant", "MITNotice", "MITWarranty", "MITLiability"], ["MIT"], ["MITTitle", "Copyright"]),
+        (["Copyright", "AllRightsReserved", "BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse", "BSDWarranty"], ["BSD-3-Clause", "Proprietary"],
+         ["Copyright"])]
+    for at, (one, other) in enumerate(zip(got, want * 6)):
+        assert one == other, at
+
+
+def test_wrapped_runs(spark):
+    known = {"a b c d": "ABCD", "b": "B", "b c": "BC", "x y": "XY"}
+    docs = spark.createDataFrame([(t,) for t in (
+        "A\nB\nC\nD", "A\nB\nC\nX\nY", "A\nB\n\nC\nD", "X\nX\nY\nB", "# A\n# B C\n#\n# D", "A\nA\nB\nC\nD")], "text string")
+    got = [r.sentences for r in licenses.scanned(docs, known, [("n", ["N"])]).collect()]
+    assert got == [["ABCD"], ["BC", "XY"], ["B"], ["XY", "B"], ["BC"], ["ABCD"]]
+
+
 def test_every_rule_alone_and_order(spark):
     rules = [("ab", ["A", "B"]), ("a", ["A"]), ("bc", ["B", "C"])]
     known = {"say a": "A", "say b": "B", "say c": "C"}
