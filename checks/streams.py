@@ -26,17 +26,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+PER_FILE = 20_000  # rows
+MOST_FILES = 1_000  # of a part: the file source remembers 10,000 unread files, and batches stay whole parts below that
+
+
+def _landed(spark, parts, schema, copies=1):
+    """The parts as a stream of one batch each, ``copies`` times: every part is as many files, written and read by as many tasks."""
+    landing = scratch_path(spark, "landing")
+    counts = [part.count() for part in parts]
+    # A part without rows would be one file, whatever the number; it changes nothing, so it is landed only if it is all there is.
+    least = min((n for n in counts if n), default=0)
+    files = max(1, min(MOST_FILES, -(-least // PER_FILE)))
+    for part in [p for p, n in zip(parts, counts) if n] or parts[:1]:
+        for _ in range(copies):
+            part.repartition(files).write.mode("append").parquet(landing)
+    return streams.refresh_stream(spark, landing, schema, files_per_trigger=files)
+
+
 def _events(spark, sf, parts=3, copies=1):
     """The events table as a stream with a time Spark can put a watermark on: landed in ``parts``
-    files in order of time, each ``copies`` times, and read file by file."""
-    landing = scratch_path(spark, "landing")
+    in order of time, each ``copies`` times, and read part by part."""
     events = a.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     day = F.dayofmonth("ts") - 1
-    for part in range(parts):
-        rows = events.where(F.least(F.floor(day * parts / 30), F.lit(parts - 1)) == part)
-        for _ in range(copies):
-            rows.coalesce(1).write.mode("append").parquet(landing)
-    return streams.refresh_stream(spark, landing, events.schema, files_per_trigger=1)
+    dealt = [events.where(F.least(F.floor(day * parts / 30), F.lit(parts - 1)) == part) for part in range(parts)]
+    return _landed(spark, dealt, events.schema, copies)
 
 
 def _through(stream, spark):
@@ -134,13 +147,11 @@ def _(spark, sf):
 
 @query("stream_summarize", with_ctes("f_requests f_summaries", _SUMMARIZED))
 def _(spark, sf):
-    landing, results = scratch_path(spark, "landing"), scratch_path(spark, "results")
+    results = scratch_path(spark, "results")
     requests = a.email_requests(spark, sf)
-    for part in range(3):
-        requests.where(f"seq % 3 = {part}").coalesce(1).write.mode("append").parquet(landing)
     store = SummaryStore(spark, scratch_path(spark, "store"))
     store.write(a.summaries(spark, sf))
-    stream = streams.refresh_stream(spark, landing, requests.schema, files_per_trigger=1)
+    stream = _landed(spark, [requests.where(f"seq % 3 = {part}") for part in range(3)], requests.schema)
     streams.stream_summarize(
         stream, store, {"length": length_model}, lambda: AS_OF, scratch_path(spark, "stream-state"),
         results, available_now=True).awaitTermination()

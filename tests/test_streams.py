@@ -209,3 +209,29 @@ def test_a_checkpoint_made_anew_under_the_same_path_loses_nothing(spark, rows, l
     landing.deliver(rows(request, (2, "b", "s", "f", "d", "text")))
     run()
     assert sorted(r.email_id for r in store.read().collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_a_landed_part_is_one_batch_of_many_files(spark, rows, tmp_path, monkeypatch, copies):
+    from checks import streams as landings
+    monkeypatch.setattr(landings, "PER_FILE", 50)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    batches = []
+
+    def look(batch, _):
+        day = batch.select(F.dayofmonth("ts").alias("d"), F.input_file_name().alias("f"))
+        batches.append(day.agg(F.min("d"), F.max("d"), F.count("*"), F.count_distinct("f")).first())
+
+    stream = landings._events(spark, "/root/testdata/sf0.001", copies=copies)
+    step(stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    parts = [events.where(w).count() for w in ("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20")]
+    assert [b[2] for b in batches] == [n for n in parts for _ in range(copies)]
+    assert [b[3] for b in batches] == [-(-min(parts) // 50)] * 3 * copies and min(parts) > 100
+
+
+def test_parts_without_rows_are_landed_too(spark, rows, tmp_path):
+    from checks import streams as landings
+    some = rows("n int", (1,), (2,))
+    for parts, want in (([some.where("false"), some, some.where("n = 2")], [1, 2, 2]), ([some.where("false")] * 3, [])):
+        out = landings._through(landings._landed(spark, parts, some.schema), spark)
+        assert sorted(r.n for r in out.collect()) == want
