@@ -1,9 +1,10 @@
-"""Byte-level BPE: each distinct word is encoded once for the whole corpus, its ids go back to where it stood.
+"""Byte-level BPE: distinct words are encoded where they arrive by hash, their ids go back to where they stood.
 
 Documents are cut into blocks.  A block keeps its distinct words and, for every place,
 the number of the word that stands there.  The distinct words of all blocks are shuffled by
 their hash, packed in one row for each block and share of the hashes.  Whoever gets a share
-encodes each of its words once and sends ids back in the same order, and a block
+encodes each of its words once, as long as it has MOST_KNOWN words at most: beyond, its memory is emptied and
+words that come again are encoded again, to the same ids.  Ids go back in the same order, and a block
 is put together again from the ids of its own words; the blocks themselves stay in their buckets.
 """
 
@@ -140,7 +141,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, shares: int, schema
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their share: each distinct word of a share is encoded once, for all blocks that have it."""
+    """Rows in order of their share: each distinct word of a share is encoded once, for all blocks that have it,
+    and again once the memory of MOST_KNOWN words was emptied."""
     last, known = None, {}
     for batch in batches:
         sizes, ids = [], []
