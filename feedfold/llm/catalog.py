@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, chatml, decontaminate, embeddings, licenses, minhash, substrings, toxicity, urls, warc
+from . import bpe, chatml, decontaminate, embeddings, licenses, merkle, minhash, substrings, toxicity, urls, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -122,6 +122,75 @@ def op4_chat_perspectives(spark, sf_dir):
 ORACLES["op4_chat_perspectives"] = chatml.SQL
 
 
+#: Fields of a document's leaf, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    one_more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+                      merkle.leaf_digest(*(one_more if c == "n_chars" else F.col(c) for c in LEAF)))
+    rows = merkle.verified(merkle.manifest(docs, LEAF, claimed=tampered))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                       F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+# Unsigned crc32 of a list of bytes, for SQL that lacks it.
+_CRC_TABLE = """crc as (
+  select list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+    order by i) as t
+  from (select unnest(range(256)) as i)
+)"""
+
+
+def _crc(some_bytes: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {some_bytes}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))")
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in
+             ("doc_id::varchar", "source", "lang", f"({n_chars})::varchar", "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+_DIGITS = "[unicode(x)::bigint for x in string_split(doc_id::varchar, '')]"
+
+ORACLES["op13_merkle_manifest"] = f"""
+with recursive {_CRC_TABLE}, d as (
+  select doc_id, lang, {_leaf("n_chars")} as leaf, {_leaf("n_chars + 1")} as changed, {_crc(_DIGITS)} % 7 = 0 as tampered,
+    row_number() over (partition by lang order by doc_id nulls first) - 1 as pos,
+    count(*) over (partition by lang) as n, dense_rank() over (order by lang nulls first) - 1 as grp
+  from documents, crc
+), up(level, grp, pos, n, digest) as (
+  select 0, grp, pos, n, leaf from d
+  union all
+  select level + 1, grp, pos // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' order by pos)) from up
+  where n > 1 group by level, grp, pos // 2
+), subs as (select grp, digest as subroot from up where n = 1),
+top(level, pos, n, digest) as (
+  select 0, grp, (select count(*) from subs), subroot from subs
+  union all
+  select level + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' order by pos)) from top where n > 1 group by level, pos // 2
+), down(doc_id, leaf, grp, level, pos, n, folded, proof) as (
+  select doc_id, leaf, grp, 0, pos, n, case when tampered then changed else leaf end, '' from d
+  union all
+  select down.doc_id, down.leaf, down.grp, down.level + 1, down.pos // 2, (down.n + 1) // 2,
+    sha256(case when down.pos % 2 = 0 then folded || coalesce(s.digest, '') else s.digest || folded end), proof || coalesce(s.digest, '')
+  from down left join up s on s.level = down.level and s.grp = down.grp and s.pos = xor(down.pos, 1) where down.n > 1
+), rise(doc_id, leaf, grp, level, pos, n, folded, proof) as (
+  select doc_id, leaf, grp, 0, grp, (select count(*) from subs), folded, proof from down where n = 1
+  union all
+  select rise.doc_id, rise.leaf, rise.grp, rise.level + 1, rise.pos // 2, (rise.n + 1) // 2,
+    sha256(case when rise.pos % 2 = 0 then folded || coalesce(s.digest, '') else s.digest || folded end), proof || coalesce(s.digest, '')
+  from rise left join top s on s.level = rise.level and s.pos = xor(rise.pos, 1) where rise.n > 1
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+from rise join subs using (grp), (select digest as root from top where n = 1) where rise.n = 1"""
+
+
 # What SQL can say of the rest; a text that begins with a raw string keeps its escapes.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"

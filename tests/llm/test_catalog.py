@@ -20,6 +20,6 @@ def test_query(name, spark):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in catalog.QUERIES}
-    assert numbers == set(range(1, 11)) and len(catalog.QUERIES) == 10
+    assert numbers == set(range(1, 14)) and len(catalog.QUERIES) == 13
     assert set(catalog.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
