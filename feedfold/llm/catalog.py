@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, chatml, decontaminate, embeddings, licenses, merkle, minhash, substrings, toxicity, urls, warc
+from . import bpe, chatml, decontaminate, embeddings, licenses, merkle, minhash, quality, substrings, toxicity, urls, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -122,6 +122,14 @@ def op4_chat_perspectives(spark, sf_dir):
 ORACLES["op4_chat_perspectives"] = chatml.SQL
 
 
+@query
+def op12_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, table(spark, sf_dir, "labels"))
+    return scored.select("rest.doc_id", quality.held_out("rest.doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: Fields of a document's leaf, in order.
 LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
