@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import feedfold
 
-from . import bpe, chatml, decontaminate, embeddings, licenses, merkle, minhash, quality, substrings, toxicity, urls, warc
+from . import bpe, chatml, decontaminate, embeddings, licenses, merkle, minhash, quality, spelling, substrings, toxicity, urls, warc
 
 cloudpickle.register_pickle_by_value(feedfold)
 
@@ -122,6 +122,11 @@ def op4_chat_perspectives(spark, sf_dir):
 ORACLES["op4_chat_perspectives"] = chatml.SQL
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -199,6 +204,38 @@ select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as fol
 from rise join subs using (grp), (select digest as root from top where n = 1) where rise.n = 1"""
 
 
+_BYTES = ("flatten([case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end "
+          "for x in string_split(doc_id::varchar || ':' || run, '')])")
+
+ORACLES["op11_spelling_variants"] = r"""
+with recursive CRC, runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), each as (
+  select run, n, HASH as h from (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by doc_id, run), crc
+), typed as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from each
+), w as (
+  select word, sum(n)::bigint as n from typed where length(word) >= 6 group by word having sum(n) >= 5
+), cut as (
+  select word, n, k, substr(word, 1, k) || substr(word, k + 2) as rest from (select word, n, unnest(range(length(word)))::int as k from w)
+), near as (
+  select a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+  union
+  select c.word, c.n, w.word, w.n from cut c join w on c.rest = w.word
+  union
+  select w.word, w.n, c.word, c.n from cut c join w on c.rest = w.word
+), best as (
+  select word, count(*) as n_near, first(near order by near_n desc, near) as best, max(near_n) as best_n from near group by word
+), f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * w.n then best end as form, case when best_n >= 5 * w.n then best_n end as form_n
+  from w left join best using (word)
+), follow(word, root) as (
+  select word, word from f union all select follow.word, f.form from follow join f on f.word = follow.root where f.form is not null
+), last as (select follow.word, root from follow join f on f.word = follow.root where f.form is null)
+select word, form, root, n, n_near, form_n from f join last using (word)""".replace("CRC", _CRC_TABLE).replace("HASH", _crc(_BYTES))
+
+
 # What SQL can say of the rest; a text that begins with a raw string keeps its escapes.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
