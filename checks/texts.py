@@ -9,7 +9,7 @@ from feedfold.functions import lines, prompts, text
 from feedfold.operators import chat
 from feedfold.operators.summaries import cache_lookup
 from feedfold.session import scratch_path
-from feedfold.sources import frames, reports
+from feedfold.sources import frames, reports, text_files
 
 from . import adapters as a
 from .adapters import AS_OF, WHITE, first_truthy, with_ctes
@@ -316,6 +316,32 @@ def _(spark, sf):
     return reports.report_texts(spark.read.parquet(path))
 
 
+# As files: every 97th mail has no id, and mails of one subject have one file name.
+@query("export_email_files", with_ctes("f_emails f_summaries f_turns", f"""
+    with r as ({_REPORT_ROWS}), t as (select seq, file_name, string_agg(text || {NL}, '' order by section, turn) as report from r group by seq, file_name),
+      k as (select *, min(seq) over (partition by file_name) as first from t)
+    select case when seq = first then file_name else replace(file_name, '.txt', '~' || seq || '.txt') end as name, report from k"""))
+def _(spark, sf):
+    rows = reports.email_report(a.emails(spark, sf), a.summaries(spark, sf), AS_OF, turns=a.turns(spark, sf))
+    path = scratch_path(spark, "report-files")
+    text_files.write_email_reports(rows, path)
+    return text_files.read_text_reports(spark, path).select("name", F.col("text").alias("report"))
+
+
+@query("export_digest_files", with_ctes("f_summaries", f"""
+    select model_used as account, case when id = min(id) over (partition by model_used) then 'daily_digest_{_EXPORTED[:10]}.txt'
+        else 'daily_digest_{_EXPORTED[:10]}~' || id || '.txt' end as name,
+      '=== DAILY DIGEST ===' || {NL} || 'Generated: {_EXPORTED}' || {NL} || 'Model: ' || model_used || {NL} || {NL}
+      || repeat('=', 50) || {NL} || {NL} || body || {NL} || {NL} || repeat('=', 50) || {NL} || '=== END OF DIGEST ===' || {NL} as report
+    from f_summaries"""))
+def _(spark, sf):
+    rows = a.summaries(spark, sf).select(F.col("model_used").alias("account"), "id", reports.digest_file_name(AS_OF).alias("file_name"),
+                                         reports.digest_report("body", AS_OF, F.col("model_used")).alias("text"))
+    path = scratch_path(spark, "digest-files")
+    text_files.write_text_reports(rows, path, ["account"], "id")
+    return text_files.read_text_reports(spark, path, ["account"]).withColumnRenamed("text", "report")
+
+
 @query("export_digest_text", with_ctes("f_summaries", f"""
     select id, '=== DAILY DIGEST ===' || {NL} || 'Generated: {_EXPORTED}' || {NL} || 'Model: ' || model_used || {NL} || {NL}
       || repeat('=', 50) || {NL} || {NL} || body || {NL} || {NL} || repeat('=', 50) || {NL} || '=== END OF DIGEST ===' || {NL} as report
