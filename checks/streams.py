@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedfold.operators.threads import thread_rollup
 from feedfold.session import scratch_path
 from feedfold.sources.store import SummaryStore
-from feedfold.streaming import feeds as streams
+from feedfold.streaming import feeds as streams, live
 
 from . import adapters as a
 from .adapters import AS_OF, with_ctes
@@ -103,6 +103,26 @@ def _(spark, sf):
     return rolled.select("thread_id", "title", "message_count", "last_ts")
 
 
+# At three moments, with minutes and seconds: what the window holds to the second.
+_MOMENTS = ("2024-01-05 13:37:11", "2024-01-12 12:30:00", "2024-01-25 23:59:59")
+
+
+@query("stream_live_threads", f"""
+    with m as ({_CHATS}), moments as (select unnest([{', '.join(f"timestamp '{m}'" for m in _MOMENTS)}]) as as_of)
+    select epoch_us(as_of) // 1000000 as as_of, thread_id, arg_min(title, seq) as title, count(*) as message_count,
+      arg_max(text, row(timestamp, seq)) as last_value, max(timestamp) as last_ts, min(seq) as first_seq
+    from m, moments where timestamp > epoch_us(as_of) // 1000000 - 48 * 3600 and timestamp <= epoch_us(as_of) // 1000000 group by as_of, thread_id""")
+def _(spark, sf):
+    with live.state_store(spark):
+        changes = _through(live.stream_live_threads(_chats(_events(spark, sf))), spark)
+    out = None
+    for moment in _MOMENTS:
+        threads = live.threads_at(changes, moment).withColumn("last_value", F.col("last_message").cast("double")).drop("last_message")
+        threads = threads.withColumn("as_of", F.unix_timestamp(F.lit(moment).cast("timestamp")))
+        out = threads if out is None else out.unionByName(threads)
+    return out
+
+
 # Windows that ended an hour or more before the last event are complete.
 _ROLLING = """
     with h as (select date_trunc('hour', ts) as h, event_type as thread_id, count(*) as n from events group by all),

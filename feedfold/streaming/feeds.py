@@ -89,10 +89,16 @@ def stream_threads(messages: DataFrame, ts: str = "ts", delay: str = "1 hour", s
 
 
 def threads_of_hours(hours: DataFrame, as_of: Instant | None = None, window: str = WINDOW, by: By = ()) -> DataFrame:
-    """Threads of the ``window`` before ``as_of`` (without: of all time) from ``stream_threads`` output kept by batch."""
+    """Threads of the whole hours of the ``window`` before ``as_of`` (without: of all time) from ``stream_threads`` output kept by batch.
+
+    ``as_of`` has to be the end of a whole hour, as messages are no longer told apart: other moments raise an
+    error.  ``live.threads_at`` answers for any second.
+    """
     rows = latest_updates(hours, ["hour", *by, "thread_id"])
     if as_of is not None:
-        rows = rows.where((F.col("hour") <= instant(as_of)) & (F.col("hour") > instant(as_of) - F.expr(f"interval {window}")))
+        now = instant(as_of)
+        whole = F.when(F.date_trunc("hour", now) == now, now).otherwise(F.raise_error(F.lit("as_of is not a whole hour")).cast("timestamp"))
+        rows = rows.where((F.col("hour") < whole) & (F.col("hour") >= whole - F.expr(f"interval {window}")))
     return rows.groupBy(*by_columns(by), "thread_id").agg(
         F.sum("n").alias("message_count"), F.max("_last").alias("_last"), F.min("_first").alias("_first")
     ).select(

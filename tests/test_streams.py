@@ -83,8 +83,10 @@ def test_stream_threads_equal_the_batch_result(spark, rows, landing):
     # The row that came twice is counted twice: repeats are dropped by stream_dedup.
     batch = thread_rollup(df.unionByName(df.where("seq = 9"))).select(*got.columns)
     assert sorted(got.collect()) == sorted(batch.collect())
-    recent = streams.threads_of_hours(hours, 29 * 3_600 + 1_800, "3 hours").collect()
+    recent = streams.threads_of_hours(hours, 30 * 3_600, "3 hours").collect()
     assert sorted((r.thread_id, r.message_count) for r in recent) == [("c0", 1), ("c1", 1), ("c2", 1)]
+    with pytest.raises(Exception, match="whole hour"):  # messages of an hour are no longer told apart
+        streams.threads_of_hours(hours, 29 * 3_600 + 1_800, "3 hours").collect()
     # Only hours that changed were written again, and the state has let go of the others.
     assert hours.count() == 31 and hours.select("batch").distinct().count() == 3
     before = sorted(got.collect())
