@@ -138,8 +138,10 @@ def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
         F.forall("v", finite)).where(F.exists("v", lambda x: x != 0)).distinct()
     # Powers of two bring every vector near one, so that squares neither overflow nor vanish.
     most = F.array_max(F.transform("v", F.abs))
-    scale = F.pow(F.lit(2.0), -F.floor(F.log2(most)) / 2)
-    good = good.withColumn("v", F.transform("v", lambda x: x * scale * scale))
+    power = F.floor(F.log2(most))
+    half = F.floor(power / 2)  # in two whole steps, as one factor alone could overflow
+    first, second = F.pow(F.lit(2.0), -half.cast("double")), F.pow(F.lit(2.0), (half - power).cast("double"))
+    good = good.withColumn("v", F.transform("v", lambda x: x * first * second))
     vectors = written(good.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("times")).select(
         F.xxhash64("label", F.size("v")).alias("key"), F.xxhash64("label", "v").alias("vh"), "label", "v", "node", "times"), "vectors")
     copies = good.join(vectors.where("times > 1").select("label", "v", "node", "vh"), ["label", "v"]).where(

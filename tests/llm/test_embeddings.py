@@ -62,3 +62,18 @@ def test_cells_and_tiles(spark, monkeypatch, single, tile):
 
 def test_empty_table(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_scaling_is_exact(spark, monkeypatch):
+    """Vectors are only multiplied by powers of two, also those whose largest number has an odd exponent."""
+    seen = []
+    pivots = embeddings.pivots
+    monkeypatch.setattr(embeddings, "pivots", lambda vectors: (seen.extend(vectors.collect()), pivots(vectors))[1])
+    given = [[3.1, 2.7, 0.3], [1.55, 1.35, 0.15], [1e-300, 3e-301, 0.0], [7e300, -1e299, 5.0], [0.1, 0.2, 0.3], [-9.0, 1.0, 2.0]]
+    rows = [(i, v, "a") for i, v in enumerate(given)]
+    embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    made = {r.node: r.v for r in seen}
+    assert made[0] == [1.55, 1.35, 0.15] and len(made) == 5  # the first two are one vector
+    for i, v in made.items():
+        factors = {np.frexp(a)[0] == np.frexp(b)[0] for a, b in zip(v, given[i])}
+        assert factors == {True} and 1 <= max(map(abs, v)) < 2
