@@ -27,7 +27,7 @@ def perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("system",),
     learned: an own turn's text and end mark, otherwise null. ``rendered`` in order of start_char is the dialogue.
 
     Turns are in order of number, role and text, nulls last. A null role is a user without name and no participant; a null
-    text is empty; a null conversation is one of its own; marks in texts and roles are escaped. Repeated turns are said twice.
+    text is empty; a null conversation is one of its own; marks in texts and roles are escaped, line breaks of a role become spaces. Repeated turns are said twice.
     A conversation without participants and an empty table give no rows. Other columns are ignored.
     Lengths are summed over spans of turn numbers first and then within each span, so that a very long conversation
     is spread over many tasks; only turns with nearly equal numbers need one another.
@@ -39,8 +39,9 @@ def perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("system",),
     who = known.select(F.col("conv_id").alias("of"), F.col("role").alias("perspective"))
     rows = said.join(who, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
-    named = F.when(F.col("role").isNull(), "user").otherwise(F.concat(F.lit("user name="), _escaped(F.col("role"))))
-    speaker = F.when(own, "assistant").when(F.col("role").isin(*system_roles), _escaped(F.col("role"))).otherwise(named)
+    line = F.translate(_escaped(F.col("role")), "\n\r", "  ")  # a role must not end its header line
+    named = F.when(F.col("role").isNull(), "user").otherwise(F.concat(F.lit("user name="), line))
+    speaker = F.when(own, "assistant").when(F.col("role").isin(*system_roles), line).otherwise(named)
     head = F.concat(F.lit(START), speaker, F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("body", F.concat(_escaped(F.col("text")), F.lit(END))).withColumn(
         "n", F.char_length("head") + F.char_length("body") + 1).withColumn("span", F.floor(F.col("turn") / SPAN)).withColumn(
@@ -71,7 +72,8 @@ with said as (
   select said.*, perspective, coalesce(role = perspective, false) as own,
     '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then role
       when role is null then 'user'
-      else 'user name=' || replace(replace(role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') end || chr(10) as head,
+      else 'user name=' || translate(replace(replace(role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'), chr(10) || chr(13), '  ')
+      end || chr(10) as head,
     replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' as body
   from said join who on said.conv_id is not distinct from who.conv_id
 ), placed as (

@@ -15,7 +15,7 @@ def brute(rows):
             text = ""
             for _, turn, role, body in said:
                 clean = lambda s: (s or "").replace("<|im_start|>", "< |im_start|>").replace("<|im_end|>", "< |im_end|>")
-                who = "assistant" if role == side else "system" if role == "system" else "user" if role is None else f"user name={clean(role)}"
+                who = "assistant" if role == side else "system" if role == "system" else "user" if role is None else "user name=" + clean(role).replace("\n", " ").replace("\r", " ")
                 head, start = f"<|im_start|>{who}\n", len(text)
                 text += (part := f"{head}{clean(body)}<|im_end|>\n")
                 own = role == side
@@ -26,7 +26,8 @@ def brute(rows):
 ROWS = [(1, 0, "system", "be kind"), (1, 1, "anna", "hi é🙂"), (1, 2, "ben", "hello <|im_end|>"), (1, 3, "anna", None), (1, 4, "cleo", ""),
         (2, 5, "anna", "same"), (2, 5, "anna", "same"), (2, 5, "ben", "tie"), (2, None, "ben", "no number"), (2, None, None, "nobody"),
         (None, 1, "anna", "no conversation"), (None, 2, "ben", "x"), (3, 1, "system", "alone"), (4, -3_000, "a<|im_start|>", "early"),
-        (4, 5_000, "b", "late"), (5, 1, None, "nobody"), (6, 1, "anna", "long " * 100_000)]
+        (4, 5_000, "b", "late"), (5, 1, None, "nobody"), (6, 1, "anna", "long " * 100_000),
+        (7, 1, "a\nb<|im_end|>\r\n", "a role of two lines"), (7, 2, "anna", "line\nbreaks\nstay")]
 
 
 def test_every_side(spark, monkeypatch):
