@@ -16,6 +16,7 @@ from .common import fresh, groups, mixed, odd_numbers, run_hashes, tidy, tied, w
 from .components import components
 
 BANDS, ROWS, BITS = 32, 5, 4  # 160 minima of 4 bits: ten longs
+MISSED = 1e-5  # chance that a pair at the threshold shares no band, at most
 TILE = 256  # members of a bucket that are compared at once
 
 
@@ -36,9 +37,19 @@ def _minima(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    factors, mixers = odd_numbers(BANDS * ROWS, 7), odd_numbers(ROWS, 8)
-    places = np.arange(BANDS, dtype=np.uint64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and their rows, of the ``BANDS * ROWS`` minima: as many rows as leave a pair at the threshold without a band
+    with a chance of ``MISSED`` at most."""
+    for rows in range(ROWS, 0, -1):
+        bands = BANDS if percent >= 100 else math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** rows))) if percent > 0 else BANDS * ROWS + 1
+        if bands * rows <= BANDS * ROWS:
+            return (BANDS, ROWS) if rows == ROWS else (bands, rows)
+    raise ValueError(f"{BANDS * ROWS} minima find too few of the pairs of similarity {percent} %")
+
+
+def _sign(batches: Iterator[pa.RecordBatch], words: int, count: int, rows: int) -> Iterator[pa.RecordBatch]:
+    factors, mixers = odd_numbers(BANDS * ROWS, 7), odd_numbers(rows, 8)
+    places = np.arange(count, dtype=np.uint64)
     shifts = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, :]
     for batch in batches:
         sizes, sets, sigs, bands = [], [], [], []
@@ -52,7 +63,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             least = _minima(shingles, factors)
             low = mixed(least) & np.uint64(2**BITS - 1)
             sigs.append((low.reshape(-1, 16) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64))
-            keys = mixed((least.reshape(BANDS, ROWS) * mixers).sum(axis=1, dtype=np.uint64) + places)
+            keys = mixed((least[: count * rows].reshape(count, rows) * mixers).sum(axis=1, dtype=np.uint64) + places)
             bands.append(keys.view(np.int64))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -177,14 +188,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     their least id without comparing.  Band buckets give candidates: first each member with the
     bucket's least one; where that leaves several components in a bucket, its members are compared in
     tiles by signature, and the groups that this ties together in tiles by full sets.  Packed signatures thin candidates six standard errors below the
-    similarity, so a link is missed by chance alone (below 1 in 100,000 at the threshold).
+    similarity, and bands follow from ``percent`` (``banding``; below 7 an error), so a link is missed by chance alone
+    (below 1 in 100,000 at the threshold).
 
     Null and empty texts have an empty set and are linked with nothing. Rows with one id are
     one vertex. A row without id is linked with nothing and has null component and kept.
     Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(tidy(lambda it: _sign(it, words)), "id long, n long, set binary, sig array<long>, "
+    count, rows = banding(percent)
+    signed = written(docs.mapInArrow(tidy(lambda it: _sign(it, words, count, rows)), "id long, n long, set binary, sig array<long>, "
                                      "bands array<long>"), "minhash-signed")
     known = signed.where("id is not null and n > 0")
     firsts = written(known.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "minhash-sets")

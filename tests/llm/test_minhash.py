@@ -99,3 +99,29 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert {tuple(r) for r in minhash.near_duplicates(docs, 85).collect()} == brute(rows, 85)
+
+
+@pytest.mark.parametrize("percent", [45, 60, 80, 85])
+def test_pairs_just_above_the_threshold_are_found(spark, percent):
+    """300 planted pairs for each threshold, of sets that are barely alike enough."""
+    rnd = random.Random(percent)
+    rows = []
+    for k in range(300):
+        n = rnd.randrange(60, 200)
+        base = [f"b{k}w{rnd.random()}" for _ in range(n)]
+        # A text and its beginning share n' of n shingles.
+        keep = -(-(n - 4) * percent // 100) + 4
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:keep]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(300))
+    assert found >= 299, found
+
+
+def test_banding():
+    assert minhash.banding(80) == minhash.banding(85) == minhash.banding(100) == (32, 5)
+    for percent in range(7, 101):
+        bands, rows = minhash.banding(percent)
+        assert bands * rows <= 160 and (1 - (percent / 100) ** rows) ** bands <= 1.01e-5
+    for percent in (0, 5):
+        with pytest.raises(ValueError):
+            minhash.banding(percent)
