@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, tidy, words_of
@@ -22,7 +22,7 @@ BUCKETS, WIDTH, HIDDEN, ATTEND = 2**14, 8, 8, 8
 CHUNK = 16_384  # words whose features are made at once
 GRAMS = (3, 4, 5)
 MARKS = b".,;:!?()[]{}\"'*_-"
-SAMPLE_PER_CLASS, SAMPLE_WORDS, EPOCHS, STEP, DROPPED = 2_000, 2_000, 8, 0.02, 0.5
+SAMPLE_PER_CLASS, SAMPLE_CHARS, EPOCHS, STEP, DROPPED = 2_000, 16_000_000, 8, 0.02, 0.5
 
 
 def _chunk_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,18 +265,25 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3) -> dict[str
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list, list]:
-    """Texts and labels to train on: of each class, the ``per_class`` rows of least hash that are not held out.
+    """Whole texts and labels to train on: of each class, the ``per_class`` rows of least hash that are not held out, as long
+    as they have ``SAMPLE_CHARS`` characters together (a text that has more by itself is left out).  Both bounds keep what the
+    driver gets small.
 
-    Texts of over SAMPLE_WORDS words are not trained on; both bounds keep what the driver gets small.
+    A document with both labels is toxic; of several texts of one id the longest is taken, then the first in order;
+    null texts are not trained on. Labels that are null or neither 0 nor 1, and those without a document, count for nothing.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "id is not null and toxic in (0, 1)").where(~held_out("id")).distinct()
-    short = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(
-        F.length("text") < 8 * SAMPLE_WORDS)
-    rows = short.select("id").join(ids, "id").distinct()
-    chosen = [rows.where(f"toxic = {c}").orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
-    few = chosen[0].unionByName(chosen[1])  # at most 2 * per_class rows
-    found = short.join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id").collect()
+        "id is not null and toxic in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.select("id", F.length("text").alias("n")).groupBy("id").agg(F.max("n").alias("n")).where(
+        F.col("n") <= SAMPLE_CHARS).join(ids, "id")
+    by_hash = [F.xxhash64("id"), F.col("id")]
+    so_far = F.sum("n").over(Window.orderBy(*by_hash))  # of per_class rows
+    chosen = [rows.where(f"toxic = {c}").orderBy(*by_hash).limit(per_class).withColumn("all", so_far).where(F.col("all") <= SAMPLE_CHARS)
+              for c in (0, 1)]
+    few = chosen[0].unionByName(chosen[1]).select("id", "toxic", "n")  # at most 2 * per_class rows
+    found = texts.withColumn("n", F.length("text")).join(F.broadcast(few), ["id", "n"]).groupBy("id", "toxic").agg(
+        F.min("text").alias("text")).orderBy("id").collect()
     return [r.text for r in found], [r.toxic for r in found]
 
 

@@ -2,11 +2,14 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from feedfold.llm import catalog, toxicity
+from feedfold.llm.common import words_of
 
 
 def test_gradients(monkeypatch):
@@ -95,3 +98,68 @@ def test_given_tables(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     right = [r.predicted == r.toxic for r in got.where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()]
     assert np.mean(right) > 0.95
+
+
+def plain_score(model, text):
+    """The score of a text word by word: a loop for each window, direction, word and gate."""
+    words = words_of(text, lower=True)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    m, n = {k: v.astype(np.float64) for k, v in model.items()}, toxicity.HIDDEN
+
+    def gates_of(word):
+        if word is None:
+            return m["b"]
+        bare = word.strip(toxicity.MARKS) or word
+        ids, buckets, starts, counts = toxicity.word_features([word])
+        assert ids[0] == xxhash.xxh3_64_intdigest(bare) % toxicity.BUCKETS
+        chars = [m["char"][b] for b in buckets[starts[0] : starts[0] + counts[0]]]
+        mean = sum(chars) / len(chars) if chars else np.zeros(toxicity.WIDTH)
+        return np.concatenate([m["word"][ids[0]], mean]) @ m["W"] + m["b"]
+
+    logits = []
+    for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = words[start : start + toxicity.WINDOW]
+        window = window + [None] * (toxicity.WINDOW - len(window))
+        sides = []
+        for d, order in enumerate((range(len(window)), reversed(range(len(window))))):
+            h, states = np.zeros(n), {}
+            for i in order:
+                x, u = gates_of(window[i])[3 * n * d : 3 * n * (d + 1)], h @ m["U"][d]
+                z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+                h = states[i] = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+            sides.append(states)
+        states = [np.concatenate([side[i] for side in sides]) for i, w in enumerate(window) if w is not None]
+        pooled = np.zeros(2 * n)
+        if states:
+            weight = np.exp([np.tanh(s @ m["A"] + m["a"]) @ m["v"] for s in states])
+            pooled = sum(w * s for w, s in zip(weight / weight.sum(), states))
+        logits.append(pooled @ m["o"] + m["c"][0])
+    return sigmoid(max(logits))
+
+
+def test_scores_equal_a_plain_loop():
+    """Embeddings, both directions, attention, windows and their maximum, without any array of several words."""
+    rnd = random.Random(8)
+    model = {k: v * 3 for k, v in toxicity.new_model(5).items()}
+    word = lambda: "".join(rnd.choice("abcd\u00e9T") for _ in range(rnd.randrange(1, 9))) + rnd.choice(["", "", "!", "..."])
+    texts = [None, "", " ", "a", "!!", *(" ".join(word() for _ in range(n)) for n in (3, 47, 48, 49, 80, 81, 130))]
+    batch = toxicity.Batch(texts)
+    got = 1 / (1 + np.exp(-batch.worst(batch.logits(model, toxicity.word_features(batch.words))).astype(np.float64)))
+    want = [plain_score(model, t) for t in texts]
+    assert max(want) - min(want) > 0.2 and np.allclose(got, want, atol=2e-5)
+
+
+def test_the_sample(spark, monkeypatch):
+    """Whole texts, however long; ties of labels and texts; the two bounds."""
+    long = "very long " * 5_000
+    docs = [(1, long), (2, "b"), (2, "bb"), (2, "ba"), (3, None), (4, "d"), (None, "e"), (6, "f"), (7, "g" * 100), (8, "h" * 100)]
+    labels = [(1, 1), (2, 0), (2, 1), (2, 0), (3, 1), (4, 0), (None, 1), (6, None), (6, 7), (7, 0), (8, 0), (99, 1)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, toxic int")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = {1: (long, 1), 2: ("ba", 1), 4: ("d", 0), 7: ("g" * 100, 0), 8: ("h" * 100, 0)}
+    want = [want[i] for i in want if zlib.crc32(str(i).encode()) % 5]
+    assert list(zip(*toxicity.labelled_sample(docs, table))) == want
+    assert all(sum(label == c for label in toxicity.labelled_sample(docs, table, 1)[1]) == 1 for c in (0, 1))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 150)
+    texts, _ = toxicity.labelled_sample(docs, table)
+    assert "ba" in texts and long not in texts and len([t for t in texts if len(t) == 100]) <= 1
