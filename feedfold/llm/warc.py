@@ -30,6 +30,7 @@ RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 256 * 2**20
 GAP, SPAN = 2**16, 4 * 2**20  # records that lie so near are read at once, up to so many bytes
 PER_TASK = 2_000  # records of an archive that are read by one group
+READ = 8 * 2**20  # stored bytes of records that a task reads
 PAGE = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -258,8 +259,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
     Archives are located by one pass over their directories; their records are then dealt to
     tasks in runs, so one archive is read by many tasks.
     """
-    spots = archives.select("path").distinct().mapInArrow(_locate, "path string, part long, offset long, length long")
-    dealt = spots.repartition("path", "part").sortWithinPartitions("path", "offset")
+    spots = written(archives.select("path").distinct().mapInArrow(_locate, "path string, part long, offset long, length long"), "warc-places")
+    # As many tasks as the records' bytes ask for; the list of places is small and would be merged into few.
+    tasks = -(-(spots.agg(F.sum("length")).first()[0] or 1) // READ)
+    dealt = spots.repartition(tasks, "path", "part").sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(_read, "record_id string, type string, url string, digest string, refers_to string, payload binary")
 
 
