@@ -238,7 +238,8 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``decoded`` (binary): the bytes of the ids, looked up in the token-byte table of ``path``.
 
     The table is bounded (see ``load_ranks``) and goes to every task, where it is joined by
-    id, position kept.  Ids in no table give U+FFFD; null lists give no bytes.
+    id, position kept.  Ids in no table give U+FFFD; null lists give no bytes. A column ``decoded`` that is there already
+    is replaced.
     """
     ranks = load_ranks(path)
     tokens = [UNKNOWN] * (max(ranks.values(), default=-1) + 2)
@@ -246,7 +247,6 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         tokens[rank] = token
     sizes = np.array(list(map(len, tokens)), np.int64)
     blob, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
+    coded = coded.drop("decoded")
     at = coded.columns.index(ids_col)
-    columns = [c for c in coded.columns if c != "decoded"]
-    coded, at = coded.select(columns), columns.index(ids_col)
     return coded.mapInArrow(tidy(lambda it: _decode(it, at, blob, starts, sizes)), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
