@@ -28,14 +28,15 @@ def first_n(df: DataFrame, n: int | None, order: Order, by: By = (), rank: str =
     order = [as_column(o) for o in order]
     if n is None and not by:
         raise ValueError("numbering all rows of one account would need one task; give n or by")
-    if n is not None and by:
-        # Dealt by input task, so that what each task keeps of an account is n rows, not n for each group.
+    if n is not None:
+        # Dealt by input task, so that what each task keeps of an account is n rows, not n for each group; the last merge
+        # gets n rows of each share, however many tasks there were.
         df = df.withColumn("_share", F.spark_partition_id() % SHARES)
         nth = F.row_number().over(window_by([*by, "_share"]).orderBy(*order))
         df = df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_share", "_nth")
-    elif n is not None:
-        # At most n rows are left before they are numbered.
-        df = df.orderBy(*order).limit(n)
+        if not by:
+            # At most n rows are left before they are numbered.
+            df = df.orderBy(*order).limit(n)
     numbered = df.withColumn(rank, F.row_number().over(window_by(by).orderBy(*order)))
     return numbered if n is None else numbered.where(F.col(rank) <= n)
 

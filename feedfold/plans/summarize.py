@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 
@@ -49,7 +50,29 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     Bodies of those few are then moved once, straight to the tasks that call the
     models, and written once: as the delta of the store, so the models are not called
     again, also when executors are lost later.
+
+    With a ``tag`` the results are written beside the store and entered in its ledger before the store changes; the
+    same tag again gives the same rows, ``cached`` and ``model_used`` included, and finishes what was left undone.
     """
+    if tag:
+        entry = store.entered(tag)
+        if entry is None:
+            served, folder, ids = _served(requests, store, models, as_of, chosen)
+            results = f"results/{uuid.uuid4().hex}"
+            served.write.parquet(f"{store.path}/{results}")
+            entry = store.enter(tag, {"folder": folder, "ids": ids, "results": results, "schema": served.schema.json()})
+        store.settle(tag, entry)
+        kinds = StructType.fromJson(json.loads(entry["schema"]))
+        return store.spark.read.schema(kinds).parquet(f"{store.path}/{entry['results']}")
+    served, folder, ids = _served(requests, store, models, as_of, chosen)
+    if folder:
+        store.add(folder, ids)
+    return served
+
+
+def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader], as_of: Instant,
+            chosen: str | None) -> tuple[DataFrame, str | None, int]:
+    """The results; the folder of new summaries, which is no part of the store yet (None: there are none), and its ids."""
     by = store.by
     # The version of the store as it is now; what is added below is not part of it.
     stored = store.read()
@@ -69,8 +92,8 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     made.select(*columns).write.partitionBy("failed").parquet(f"{store.path}/{folder}")
     kinds = StructType([f for name in columns for f in made.schema if f.name == name])
     made = store.spark.read.schema(kinds).parquet(f"{store.path}/{folder}")
-    if not made.where("not failed").isEmpty():
-        store.add(f"{folder}/failed=false", highest - lowest + 1, tag)
+    new = None if made.where("not failed").isEmpty() else f"{folder}/failed=false"
+    ids = highest - lowest + 1 if new else 0
 
     # A key is in the store or was made, never both.
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
@@ -96,7 +119,7 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     without_key = made.where(F.col("email_id").isNull()).select(
         *by, "seq", "email_id", "summary", "model_used", F.lit(False).alias("cached"), "error"
     )
-    return served.unionByName(without_key)
+    return served.unionByName(without_key), new, ids
 
 
 def summarize_items(requests: DataFrame, models: Mapping[str, Loader],

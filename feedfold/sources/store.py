@@ -23,6 +23,7 @@ import re
 import time
 import uuid
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,9 +71,13 @@ class SummaryStore:
         return {"number": max(numbers), **json.loads(text)}
 
     def _create(self, number: int, entry: dict) -> bool:
-        """The entry, complete and at once, or False where there is one of this number."""
+        """The entry of the log, or False where there is one of this number."""
+        return self._create_new("log", f"{number:012d}.json", entry)
+
+    def _create_new(self, folder: str, name: str, entry: dict) -> bool:
+        """A file with the entry, complete and at once, or False where there is one of this name."""
         fs, jvm = self._fs(), self.spark._jvm
-        draft, final = self._at("log", f".draft-{uuid.uuid4().hex}"), self._at("log", f"{number:012d}.json")
+        draft, final = self._at(folder, f".draft-{uuid.uuid4().hex}"), self._at(folder, name)
         out = fs.create(draft, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
@@ -107,6 +112,35 @@ class SummaryStore:
             self.compact()
         return True
 
+    # The ledger: what was done under a tag -----------------------------------------
+
+    def entered(self, tag: str, end: str = "json") -> dict | None:
+        """What was entered under the tag, or None."""
+        at = self._at("ledger", f"{quote(tag, safe='')}.{end}")
+        if not self._fs().exists(at):
+            return None
+        stream = self._fs().open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def enter(self, tag: str, entry: dict) -> dict:
+        """The entry that counts for the tag: this one, or that of a writer who was first."""
+        self._create_new("ledger", f"{quote(tag, safe='')}.json", entry)
+        return self.entered(tag)
+
+    def settle(self, tag: str, entry: dict) -> None:
+        """Make the entry's folder (``folder``, ``ids``; none if ``folder`` is null) a delta, once and for all.
+
+        The log remembers the latest tags; of older ones a note says which version had them.
+        """
+        done = self.entered(tag, "done")
+        if done is None or self._latest()["number"] < done["number"]:
+            if entry["folder"]:
+                self.add(entry["folder"], entry["ids"], tag)
+            self._create_new("ledger", f"{quote(tag, safe='')}.done", {"number": self._latest()["number"]})
+
     # Folders ---------------------------------------------------------------------
 
     def _data(self, rows: DataFrame) -> str:
@@ -166,9 +200,11 @@ class SummaryStore:
         return self._commit(change, tag, on)
 
     def _delta(self, new: DataFrame, tag: str | None = None, on: int | None = None) -> bool:
+        return self.add(*self._numbered(new), tag, on)
+
+    def _numbered(self, new: DataFrame) -> tuple[str, int]:
         folder = self._data(ops.latest_per_email(ops.number_new(new, 0, self.by), self.by))
-        highest = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0] or 0
-        return self.add(folder, highest, tag, on)
+        return folder, self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0] or 0
 
     def insert(self, new: DataFrame) -> None:
         """Append; a key that is stored already, or twice in ``new``, is an error."""
@@ -179,9 +215,15 @@ class SummaryStore:
                 return
 
     def upsert(self, new: DataFrame, tag: str | None = None) -> None:
-        """Insert or replace.  A call repeated with the same ``tag`` does nothing."""
-        if not (tag and tag in self._latest()["tags"]):
-            self._delta(new, tag)
+        """Insert or replace.  A call repeated with the same ``tag`` does nothing, however much was written in between."""
+        if not tag:
+            self._delta(new)
+            return
+        entry = self.entered(tag)
+        if entry is None:
+            folder, highest = self._numbered(new)
+            entry = self.enter(tag, {"folder": folder, "ids": highest})
+        self.settle(tag, entry)
 
     def delete(self, ids: DataFrame) -> None:
         """Only the ids are written; rows lose them when they are read."""

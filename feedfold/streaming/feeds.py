@@ -210,8 +210,8 @@ def stream_summarize(requests: DataFrame, store: SummaryStore, models: Mapping[s
                      available_now: bool = False) -> StreamingQuery:
     """Summarise new mails batch by batch.
 
-    A batch that is repeated after a failure finds its summaries in the store and
-    its own version there, so nothing is generated or stored twice.
+    A batch that is repeated after a failure finds its results in the store's ledger: nothing is generated or stored
+    twice, and the rows are those of the first time.
     """
     def serve(rows: DataFrame, batch_id: int) -> None:
         tag = f"{_query_id(rows.sparkSession, checkpoint)}b{batch_id}"

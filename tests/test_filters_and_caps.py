@@ -129,3 +129,19 @@ def test_latest_summaries_breaks_ties_by_id(rows):
     top = ranking.latest_summaries(df, 100).orderBy("rank").collect()
     assert [r.id for r in top] == list(range(149, 49, -1))
     assert "body" not in top[0].asDict()
+
+
+def test_caps_without_accounts_merge_in_two_levels(spark):
+    """The last merge gets the first rows of shares, not of all tasks; the rows are those of a plain sort."""
+    import io
+    from contextlib import redirect_stdout
+
+    from feedfold.operators import ranking
+
+    df = spark.range(0, 20_000, 1, 40).selectExpr("id as seq", "(id * 7919) % 20000 as due_ts")
+    capped = ranking.sort_then_cap(df, 3_000, sort="due_ts")
+    rows = capped.orderBy("rank").collect()
+    assert [r.due_ts for r in rows] == list(range(3_000)) and [r.rank for r in rows] == list(range(1, 3_001))
+    with redirect_stdout(io.StringIO()) as plan:
+        capped.explain("formatted")
+    assert "hashpartitioning(_share" in plan.getvalue()

@@ -198,3 +198,29 @@ def test_many_requests_without_id_and_one_hot_id(spark, rows):
     assert found.where("cached").count() == 3001
     assert found.count() == 9000
     assert found.where(F.col("email_id").isNull()).count() == 3000
+
+
+def test_a_tag_is_never_forgotten(spark, rows, tmp_path, monkeypatch):
+    """Also when more tags than the log remembers came in between."""
+    monkeypatch.setattr("feedfold.sources.store.MOST_TAGS", 2)
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    for i in range(5):
+        store.upsert(new(rows, (8, f"k{i}")), f"tag/{i}")
+    before = sorted(store.read().collect())
+    assert len(before) == 5
+    store.upsert(new(rows, (8, "k0")), "tag/0")
+    assert sorted(store.read().collect()) == before
+
+
+def test_an_entry_that_was_not_settled_is_settled_once(spark, rows, tmp_path, monkeypatch):
+    """A writer is lost after its entry; two others with the same tag finish it, with the rows of the first."""
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    settle = SummaryStore.settle
+    monkeypatch.setattr(SummaryStore, "settle", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.upsert(new(rows, (8, "first")), "t")
+    assert store.read().count() == 0
+    monkeypatch.setattr(SummaryStore, "settle", settle)
+    for _ in range(2):
+        store.upsert(new(rows, (8, "second")), "t")
+    assert [r.email_id for r in store.read().collect()] == ["first"]

@@ -237,3 +237,26 @@ def test_parts_without_rows_are_landed_too(spark, rows, tmp_path):
     for parts, want in (([some.where("false"), some, some.where("n = 2")], [1, 2, 2]), ([some.where("false")] * 3, [])):
         out = landings._through(landings._landed(spark, parts, some.schema), spark)
         assert sorted(r.n for r in out.collect()) == want
+
+
+def test_a_repeated_batch_gives_the_rows_of_the_first_time(spark, rows, tmp_path, monkeypatch):
+    from checks.models import length_model
+    from feedfold.plans.summarize import summarize_emails
+
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    asked = rows("seq bigint, email_id string, subject string, sender string, email_date string, body string",
+                 *[(i, f"m{i % 20}" if i % 7 else None, f"s{i}", "a", "2024-01-01", f"body {i}") for i in range(60)])
+    run = lambda tag=None: sorted(map(str, summarize_emails(asked, store, {"length": length_model}, 1_706_659_200, tag=tag).collect()))
+    # The driver is lost after the entry, before the store has the summaries.
+    settle = SummaryStore.settle
+    monkeypatch.setattr(SummaryStore, "settle", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        run("b1")
+    monkeypatch.setattr(SummaryStore, "settle", settle)
+    monkeypatch.setattr("feedfold.plans.summarize.generate_misses", lambda *a: (_ for _ in ()).throw(RuntimeError("asked again")))
+    first = run("b1")
+    kept = sorted(map(str, store.read().collect()))
+    assert sum("cached=False" in r for r in first) >= 20 and first == run("b1") and sorted(map(str, store.read().collect())) == kept
+    monkeypatch.undo()
+    again = run("b2")
+    assert again != first and sum("cached=True" in r for r in again) > sum("cached=True" in r for r in first)
