@@ -53,14 +53,17 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
 
     With a ``tag`` the results are written beside the store and entered in its ledger before the store changes; the
     same tag again gives the same rows, ``cached`` and ``model_used`` included, and finishes what was left undone.
+    Other requests under that tag (another set of ``seq`` and ``email_id``) are a batch without a tag.
     """
-    if tag:
-        entry = store.entered(tag)
+    asked = _fingerprint(requests, store) if tag else None
+    entry = store.entered(tag) if tag else None
+    if tag and (entry is None or entry["asked"] == asked):
         if entry is None:
             served, folder, ids = _served(requests, store, models, as_of, chosen)
             results = f"results/{uuid.uuid4().hex}"
             served.write.parquet(f"{store.path}/{results}")
-            entry = store.enter(tag, {"folder": folder, "ids": ids, "results": results, "schema": served.schema.json()})
+            entry = store.enter(tag, {"folder": folder, "ids": ids, "results": results, "schema": served.schema.json(),
+                                      "asked": asked})
         store.settle(tag, entry)
         kinds = StructType.fromJson(json.loads(entry["schema"]))
         return store.spark.read.schema(kinds).parquet(f"{store.path}/{entry['results']}")
@@ -70,6 +73,11 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     return served
 
 
+def _fingerprint(requests: DataFrame, store: SummaryStore) -> list[str]:
+    key = F.xxhash64(*(quoted(c) for c in store.by), "seq", "email_id").cast("decimal(38,0)")
+    return [str(x) for x in requests.agg(F.count(F.lit(1)), F.sum(key)).first()]
+
+
 def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader], as_of: Instant,
             chosen: str | None) -> tuple[DataFrame, str | None, int]:
     """The results; the folder of new summaries, which is no part of the store yet (None: there are none), and its ids."""
