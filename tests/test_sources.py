@@ -1,6 +1,8 @@
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedfold.entities import SUMMARY
@@ -80,6 +82,76 @@ def test_array_exports_are_all_or_nothing(spark, tmp_path):
     assert got[1].seq == got[0].seq + 1
 
 
+@pytest.fixture
+def small_parts(spark):
+    """Files are read in parts of very few bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def random_array(rng):
+    """Text of an array with what can mislead a reader that starts in the middle."""
+    words = ["}", "{", "[", "]", '"', "\\", '\\"', "},{", "é", "\U0001F600", "null", ",", "\n", "x" * 40, '":"', "]}"]
+    def text():
+        return "".join(rng.choice(words) for _ in range(rng.randrange(12)))
+    def nested(depth):
+        kind = rng.randrange(4 if depth else 2)
+        if kind == 2:
+            return [nested(depth - 1) for _ in range(rng.randrange(3))]
+        if kind == 3:
+            return {str(i): nested(depth - 1) for i in range(rng.randrange(3))}
+        return text() if kind else rng.choice([1.5, None, True])
+    items = [None if rng.random() < 0.1 else {"title": text(), "id": text(), "extra": nested(3)} for _ in range(rng.randrange(8))]
+    made = json.dumps(items, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+    return rng.choice(["", " ", "\n"]) + made + rng.choice(["", "\n", " \t"])
+
+
+def objects(text):
+    """The ids of the objects; none where the text as a whole is no array of objects and nulls."""
+    try:
+        items = json.loads(text)
+    except ValueError:
+        return []
+    if not isinstance(items, list) or not all(i is None or isinstance(i, dict) for i in items):
+        return []
+    return [i and i.get("id") for i in items]
+
+
+def test_array_in_parts_equals_the_whole(spark, tmp_path, small_parts):
+    rng = random.Random(5)
+    texts = [random_array(rng) for _ in range(60)]
+    for text in texts[:30]:  # one character goes, or comes
+        at = rng.randrange(len(text))
+        texts.append(text[:at] + rng.choice(["", "", "}", "]", "{", '"', ",", "\\"]) + text[at + rng.randrange(2):])
+    for n, text in enumerate(texts):
+        put(tmp_path, f"{n:03}.json", text)
+    got = {}
+    rows = exports.read_calendar_export(spark, str(tmp_path)).orderBy("seq").collect()
+    for r in rows:
+        got.setdefault(int(r.file[-8:-5]), []).append(r.id)
+    assert got == {n: ids for n, ids in enumerate(map(objects, texts)) if ids}
+    assert len({r.seq for r in rows}) == len(rows) and [r.file for r in rows] == sorted(r.file for r in rows)
+    parts = spark.read.text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct()
+    assert parts.groupBy("file_path").count().agg({"count": "max"}).first()[0] > 5
+
+
+def test_huge_objects_and_broken_ends_over_many_parts(spark, tmp_path, small_parts):
+    body = "}{" * 300  # one object over several parts, between small ones
+    good = json.dumps([{"id": "a"}, {"id": "b", "notes": body, "title": {"x": [{}] * 200}}, {"id": "c"}] + [{"id": str(i)} for i in range(50)])
+    put(tmp_path, "a.json", good)
+    put(tmp_path, "b.json", good[:-1])
+    put(tmp_path, "c.json", good + "]")
+    put(tmp_path, "d.json", good + " " * 400)
+    put(tmp_path, "e.json", good[:-1] + "}")
+    put(tmp_path, "f.json", good.replace('"49"', '"4\x019"'))  # the only fault is in the last object
+    got = exports.read_calendar_export(spark, str(tmp_path)).orderBy("seq").collect()
+    ids = ["a", "b", "c", *map(str, range(50))]
+    assert [(r.file[-6], r.id) for r in got] == [(f, i) for f in "ad" for i in ids]
+    assert all(r.notes == body for r in got if r.id == "b")
+
+
 def test_numbers_of_exports_are_numbers(spark, tmp_path):
     put(tmp_path, "n.json", '[{"start_ts": 1706659200.0, "end_ts": 1.7066592E+9}, {"start_ts": "1706659200.0", "end_ts": 1706659200}, '
                             '{"start_ts": -2.9, "end_ts": true}, {"start_ts": null, "end_ts": "7"}]')
