@@ -213,6 +213,20 @@ def _(spark, sf):
     return store.read().select(F.col("account_id").cast("int").alias("account_id"), "email_id", "summary")
 
 
+# All requests look their mails up in a store that was folded and changed afterwards.
+@query("store_look_up", with_ctes("f_requests f_summaries", f"""
+    with {_TWO_SQL} select r.account_id, r.seq, case when s.model_used = 'm1' then 'again' else s.summary end as summary, s.email_id is not null as cached
+    from r2 r left join s2 s on r.email_id = s.email_id and r.account_id = s.account_id"""))
+def _(spark, sf):
+    stored, requests = _accounts(spark, sf)
+    store = SummaryStore(spark, scratch_path(spark, "store"), _TWO)
+    store.write(stored)
+    store.upsert(stored.where("model_used = 'm1'").withColumns({"seq": F.col("id"), "summary": F.lit("again")}))
+    store.fold()
+    found = ops.cache_lookup(requests, store.read_for(requests), ACCOUNT)
+    return found.select(F.col("account_id").cast("int").alias("account_id"), "seq", "summary", "cached")
+
+
 @query("priority_union", """
     with l as (
       select 0 as priority, s_suppkey as seq, 's' || s_nationkey as value from supplier

@@ -19,7 +19,7 @@ from ..operators.generation import Loader, generate_with_fallback, spread_calls
 from ..operators.joins import fresh_key
 from ..operators.summaries import STORED, cache_misses
 from ..session import scratch_path
-from ..sources.store import SummaryStore
+from ..sources.store import BLOOM, SummaryStore
 
 RESULT = ("seq", "email_id", "summary", "model_used", "cached", "error")
 
@@ -82,10 +82,10 @@ def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loade
             chosen: str | None) -> tuple[DataFrame, str | None, int]:
     """The results; the folder of new summaries, which is no part of the store yet (None: there are none), and its ids."""
     by = store.by
-    # The version of the store as it is now; what is added below is not part of it.
-    stored = store.read()
     checked = check_requests(requests, "email_summary")
     valid = checked.where(F.col("error").isNull())
+    # The version of the store as it is now, as far as these mails go; what is added below is not part of it.
+    stored = store.read_for(valid)
 
     misses = cache_misses(valid.select(*by, "seq", "email_id"), stored, by)
     first = misses.where(F.col("email_id").isNotNull()).groupBy(*by, "email_id").agg(F.min("seq").alias("seq"))
@@ -97,7 +97,7 @@ def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loade
         "failed": F.col("error").isNotNull()})
     folder = f"data/{uuid.uuid4().hex}"
     columns = [*by, *STORED, "seq", "error", "failed"]
-    made.select(*columns).write.partitionBy("failed").parquet(f"{store.path}/{folder}")
+    made.select(*columns).write.options(**BLOOM).partitionBy("failed").parquet(f"{store.path}/{folder}")
     kinds = StructType([f for name in columns for f in made.schema if f.name == name])
     made = store.spark.read.schema(kinds).parquet(f"{store.path}/{folder}")
     new = None if made.where("not failed").isEmpty() else f"{folder}/failed=false"

@@ -1,11 +1,16 @@
 import datetime as dt
 import os
+import random
+import re
+import threading
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedfold.entities import SUMMARY
 from feedfold.operators import summaries as ops
+from feedfold.sources import commits
 from feedfold.sources.store import SummaryStore
 
 T = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -224,3 +229,169 @@ def test_an_entry_that_was_not_settled_is_settled_once(spark, rows, tmp_path, mo
     for _ in range(2):
         store.upsert(new(rows, (8, "second")), "t")
     assert [r.email_id for r in store.read().collect()] == ["first"]
+
+
+def buckets(df):
+    return {int(m[1]) for f in df.inputFiles() if (m := re.search(r"bucket=(\d+)/", f))}
+
+
+def test_a_look_up_opens_only_buckets_that_it_can_meet(spark, rows, tmp_path):
+    store = SummaryStore(spark, str(tmp_path / "store"), buckets=32)
+    store.write(stored(rows, *[(i, f"k{i:03d}") for i in range(300)], (300, None)))
+    store.upsert(new(rows, (0, "k007"), (1, "z"), (2, None)))
+    store.delete(rows("id bigint", (9,)))
+    assert len(buckets(store.read())) == 32
+    asked = rows("email_id string", ("k007",), ("k009",), ("k011",), ("nowhere",), (None,))
+    found = store.read_for(asked)
+    assert 1 <= len(buckets(found)) <= 4
+    wanted = {"k007", "k009", "k011", "nowhere"}
+    pick = lambda df: sorted((r.id, r.email_id, r.summary) for r in df.where(F.col("email_id").isin(*wanted)).collect())
+    assert pick(found) == pick(store.read()) == [(11, "k011", "old k011"), (301, "k007", "new k007 0")]
+    # Many keys meet every bucket, none meets none; an empty batch of keys opens nothing.
+    many = spark.range(300).selectExpr("format_string('k%03d', id) as email_id")
+    assert len(buckets(store.read_for(many))) == 32
+    assert sorted(r.id for r in store.read_for(many).collect()) == [i for i in range(300) if i not in (7, 9)] + [301]
+    assert store.read_for(asked.where("false")).collect() == [] and buckets(store.read_for(asked.where("false"))) == set()
+
+
+def test_a_look_up_reads_no_row_group_without_its_key(spark, rows, tmp_path):
+    """The key lies between others, so that only the filters can tell that it is in none of the deltas."""
+    store = SummaryStore(spark, str(tmp_path / "store"))
+    for n in range(3):
+        store.upsert(new(rows, *[(i, f"k{n}{i:04d}x") for i in range(500)]))
+
+    def read(df):
+        df.collect()
+        plan, seen = [df._jdf.queryExecution().executedPlan()], 0
+        while plan:
+            node = plan.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                plan.append(node.executedPlan())
+                continue
+            if node.nodeName().endswith("QueryStage"):
+                plan.append(node.plan())
+                continue
+            if node.nodeName().startswith("Scan parquet"):
+                seen += node.metrics().apply("numOutputRows").value()
+            children = node.children()
+            plan += [children.apply(i) for i in range(children.size())]
+        return seen
+
+    assert read(store.read()) >= 1500
+    assert read(store.read_for(rows("email_id string", ("k10007y",)))) == 0
+    found = store.read_for(rows("email_id string", ("k10007x",)))
+    assert read(found) <= 500 * 2 and [r.email_id for r in found.collect()] == ["k10007x"]  # keyed rows and rows without key
+
+
+def test_accounts_have_their_own_buckets(spark, rows, tmp_path):
+    store = SummaryStore(spark, str(tmp_path / "store"), ACCOUNTS, buckets=8)
+    table = spark.range(60).selectExpr("id div 2 as n", "1 + id % 2 as account_id", "id as seq").selectExpr(
+        "account_id", "seq", "concat('k', n) as email_id", *[f"cast(null as string) as {c}" for c in ("subject", "sender", "email_date", "body")],
+        "concat(account_id, ':', n) as summary", "'m' as model_used", "timestamp'2024-01-01' as created_at")
+    store.insert(table)
+    assert store.compact()
+    # The account's type may be another than the store's.
+    asked = rows("account_id int, email_id string", (1, "k3"), (2, "k4"), (3, "k3"))
+    found = ops.cache_lookup(asked, store.read_for(asked), list(ACCOUNTS))
+    assert sorted((r.account_id, r.email_id, r.summary) for r in found.collect()) == [(1, "k3", "1:3"), (2, "k4", "2:4"), (3, "k3", None)]
+    assert len(buckets(store.read_for(asked))) <= 3
+    with pytest.raises(ValueError, match="not unique: k3"):
+        store.insert(table.where("email_id = 'k3'"))
+
+
+def test_folding_leaves_other_buckets_where_they_are(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("feedfold.sources.store.MOST_FOLDERS", 8)
+    store = SummaryStore(spark, str(tmp_path / "store"), buckets=16)
+    store.write(stored(rows, *[(i, f"k{i}") for i in range(100)]))
+    before = set(store.read().inputFiles())
+    for n in range(8):
+        store.upsert(new(rows, (0, "k5")))
+    live = store._latest()["live"]
+    assert [kind for kind, *_ in live] == ["full", "full"]
+    after = set(store.read().inputFiles())
+    assert len(after & before) == 15 and len(after - before) == 1
+    assert [(i, k) for i, k, _ in content(store.read())] == [(i, f"k{i}") for i in range(100) if i != 5] + [(107, "k5")]
+    kept = content(store.read())
+    assert store.remove_old(hours=-1) > 0 and content(store.read()) == kept
+
+
+def test_random_changes_against_a_dictionary(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("feedfold.sources.store.MOST_FOLDERS", 5)
+    store, dice = SummaryStore(spark, str(tmp_path / "store"), buckets=4), random.Random(3)
+    expected, last = {}, 0
+    for step in range(22):
+        kind = dice.choice(["upsert", "upsert", "upsert", "delete", "compact"])
+        if kind == "upsert":
+            keys = [dice.choice(["a", "b", "c", "d", "e", "f", "", None]) for _ in range(dice.randint(1, 4))]
+            store.upsert(new(rows, *enumerate(keys)))
+            for seq, key in enumerate(keys):
+                expected = {i: row for i, row in expected.items() if key is None or row[0] != key}
+                expected[last + 1 + seq] = (key, f"new {key} {seq}")
+            last += len(keys)
+        elif kind == "delete" and expected:
+            gone = dice.choice(list(expected))
+            store.delete(rows("id bigint", (gone,)))
+            del expected[gone]
+        else:
+            store.compact()
+        if step % 4 == 1:
+            assert sorted((r.id, r.email_id, r.summary) for r in store.read().select("id", "email_id", "summary").collect()) == sorted(
+                (i, *row) for i, row in expected.items()), (step, kind)
+    asked = rows("email_id string", ("a",), ("",))
+    found = {(r.id, r.email_id) for r in store.read_for(asked).where("email_id in ('a', '')").collect()}
+    assert found == {(i, row[0]) for i, row in expected.items() if row[0] in ("a", "")}
+
+
+def test_two_writers_on_a_store_whose_rename_copies(spark, rows, tmp_path):
+    """Objects appear whole or not at all and are created on condition; nothing is renamed."""
+    lock, made = threading.Lock(), []
+
+    def create(name, content):
+        with lock:
+            if os.path.exists(name):
+                return False
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            with open(name, "xb") as out:
+                out.write(content)
+            made.append(name)
+            return True
+
+    stores = [SummaryStore(spark, str(tmp_path / "store"), create=create) for _ in range(2)]
+    frames = [[new(rows, (0, f"{w}{n}"), (1, "both")) for n in range(3)] for w in range(2)]
+    writers = [threading.Thread(target=lambda w=w: [stores[w].upsert(f) for f in frames[w]]) for w in range(2)]
+    for t in writers:
+        t.start()
+    for t in writers:
+        t.join()
+    got = content(stores[0].read())
+    assert sorted(k for _, k, _ in got) == ["00", "01", "02", "10", "11", "12", "both"]
+    assert stores[0].last_id() == 12 and len({i for i, *_ in got}) == 7
+    assert len(made) == len(set(made)) == 6 and not [f for f in os.listdir(tmp_path / "store" / "log") if "draft" in f]
+
+
+def test_files_are_made_exclusively(spark, tmp_path):
+    ways = {"linked": commits._linked, "created": commits._conditional(None)}
+    for name, way in ways.items():
+        path = str(tmp_path / name / "1.json")
+        assert commits._made(spark, way, path, b"one") and not commits._made(spark, way, path, b"two")
+        assert open(path, "rb").read() == b"one"
+        assert [f for f in os.listdir(tmp_path / name) if not f.endswith(".crc")] == ["1.json"]
+    # A file system that does not know the condition refuses; nothing is written then.
+    with pytest.raises(Exception, match="(?i)unknown|mandatory|condition"):
+        commits._made(spark, commits._conditional(commits.CREATED["s3a"]), str(tmp_path / "other.json"), b"one")
+    assert not os.path.exists(tmp_path / "other.json")
+
+
+def test_an_answer_that_was_lost_is_looked_up(spark, tmp_path):
+    def lost(spark, fs, path, content):
+        commits._linked(spark, fs, path, content)
+        fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.none"))  # fails after the file was made
+    path = str(tmp_path / "log" / "1.json")
+    assert commits._made(spark, lost, path, b"mine") and not commits._made(spark, lost, path, b"other")
+
+
+def test_an_unknown_file_system_needs_a_function():
+    spark = mock.MagicMock()
+    spark._jvm.org.apache.hadoop.fs.Path.return_value.getFileSystem.return_value.getUri.return_value.getScheme.return_value = "viewed"
+    with pytest.raises(ValueError, match="viewed"):
+        commits.creator(spark, "viewed://x")
