@@ -54,8 +54,9 @@ _NEW = f"""
     n0 as (select seq, id as email_id, subject, "from" as sender, date_text as email_date, body, 'new ' || seq as summary
            from f_emails where date_ts > {AS_OF} - 240 * 3600),
     n1 as (select * from n0 union all select * replace (seq + 1000000 as seq, summary || ' again' as summary) from n0 where subject is not null),
-    n2 as (select * from n1 where email_id is null or (email_id, seq) in (select (email_id, max(seq)) from n1 group by email_id)),
-    fresh as (select (select max(id) from f_summaries) + 1 + seq - (select min(seq) from n1) as id, email_id, subject, sender, email_date,
+    nth as (select *, row_number() over (order by seq) as nth from n1),
+    n2 as (select * from nth where email_id is null or (email_id, seq) in (select (email_id, max(seq)) from n1 group by email_id)),
+    fresh as (select (select max(id) from f_summaries) + nth as id, email_id, subject, sender, email_date,
               body, summary, 'm2' as model_used, {AS_OF} as created_ts from n2)"""
 
 
@@ -118,7 +119,7 @@ def _(spark, sf):
                where id is null or id not in (select email_id from f_summaries))
     select {_STORED} from f_summaries
     union all
-    select (select max(id) from f_summaries) + 1 + seq - (select min(seq) from n), email_id, subject, sender, email_date, body,
+    select (select max(id) from f_summaries) + row_number() over (order by seq), email_id, subject, sender, email_date, body,
       'new', 'm2', {AS_OF} from n"""))
 def _(spark, sf):
     store = a.summaries(spark, sf)
@@ -158,7 +159,7 @@ def _(spark, sf):
 
 
 @query("clear_summaries", with_ctes("f_summaries", """
-    select (select max(id) from f_summaries) + 1 + id - (select min(id) from f_summaries where model_used = 'm1') as id, email_id,
+    select (select max(id) from f_summaries) + row_number() over (order by id) as id, email_id,
       subject, sender, email_date, body, summary, model_used, created_ts from f_summaries where model_used = 'm1'"""))
 def _(spark, sf):
     # Filled, cleared, and filled again: nothing is left of the first rows but that their ids are used up.
@@ -301,6 +302,14 @@ def _(spark, sf):
     return summarize.summarize_emails(a.email_requests(spark, sf), store, {"length": length_model}, AS_OF)
 
 
+@query("summarize_job_in_chunks", with_ctes("f_requests f_summaries", _SUMMARIZED))
+def _(spark, sf):
+    store = SummaryStore(spark, scratch_path(spark, "store"))
+    store.write(a.summaries(spark, sf))
+    return summarize.summarize_emails(
+        a.email_requests(spark, sf), store, {"length": length_model}, AS_OF, tag="requests", chunk_rows=summarize.CHUNK_ROWS)
+
+
 @query("summarize_job_by_account", with_ctes("f_requests f_summaries", f"""
     with {_TWO_SQL}, p as (select r.account_id, r.seq, r.email_id, r.body, s.summary as stored, s.email_id is not null as hit,
         length({EMAIL_PROMPT.replace('body', 'r.body')}) as n

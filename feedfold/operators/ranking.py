@@ -59,6 +59,36 @@ def ranked(df: DataFrame, sort: str, seq: str, by: By = (), rank: str = "rank",
     return placed.withColumn(rank, number).select(*[quoted(c) for c in df.columns], rank)
 
 
+def arrival_numbers(df: DataFrame, seq: str = "seq", number: str = "number") -> DataFrame:
+    """All rows numbered from 1 in the order of ``seq`` (a unique bigint), however far apart its values are.
+
+    Rows are numbered inside spans of 2**16 values.  Where a span begins is a prefix sum of counts, of spans inside spans
+    of 2**32 values, of these inside spans of 2**48, and of those: no window sees more than 2**16 rows, as there
+    are no more values at any level.  Rows without ``seq`` get no number.
+    """
+    value = quoted(seq).cast("bigint")
+    counts = df.where(value.isNotNull()).groupBy(F.shiftright(value, 16).alias("_span0")).agg(F.count(F.lit(1)).alias("_n"))
+    levels = [counts]
+    for level in (1, 2):
+        wider = levels[-1].groupBy(F.shiftright(f"_span{level - 1}", 16).alias(f"_span{level}"))
+        levels.append(wider.agg(F.sum("_n").alias("_n")))
+    starts = None
+    for level in (2, 1, 0):
+        span, wider = f"_span{level}", F.shiftright(f"_span{level}", 16) if level < 2 else F.lit(0)
+        ahead = Window.partitionBy(wider).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+        before = levels[level].select(span, wider.alias("_in"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+        if starts is None:
+            starts = before.select(span, F.col("_ahead").alias("_before"))
+        else:
+            starts = before.join(starts, F.col("_in") == F.col(f"_span{level + 1}")).select(
+                span, (F.col("_ahead") + F.col("_before")).alias("_before"))
+    starts = starts.withColumnRenamed("_span0", "_starts")
+    placed = df.withColumn("_span", F.shiftright(value, 16))
+    placed = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_span").orderBy(quoted(seq))))
+    placed = placed.join(starts, F.col("_span") == F.col("_starts"), "left")
+    return placed.select(*[quoted(c) for c in df.columns], (F.col("_before") + F.col("_nth")).alias(number))
+
+
 def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq") -> DataFrame:
     """The n rows that came first."""
     return first_n(df, n, [seq], by)

@@ -16,23 +16,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..columns import By, by_columns, quoted
 from ..functions.text import strip
 from .joins import fresh_key
-from .ranking import keep_first
+from .ranking import arrival_numbers, keep_first
 
 STORED = ("id", "email_id", "subject", "sender", "email_date", "body", "summary",
           "model_used", "created_at")
 
 
 def number_new(new: DataFrame, last_id: int | Column, by: By = ()) -> DataFrame:
-    """Give new rows ids after ``last_id`` in arrival order.
+    """Give new rows ids after ``last_id`` in arrival order, without gaps whatever gaps ``seq`` has.
 
-    ``seq`` is unique, so ``last_id + 1 + seq - min(seq)`` is too: ids rise with
-    arrival without numbering all rows in one task.  Gaps in ``seq`` stay gaps,
-    as they do when a replaced row has used up an id.
+    A row that is replaced at once has used up its id all the same.
     """
-    first = new.agg(F.min("seq")).scalar()
     last_id = last_id if isinstance(last_id, Column) else F.lit(last_id)
-    number = last_id.cast("bigint") + 1 + F.col("seq") - first
-    return new.withColumn("id", number).select(*by_columns(by), *STORED)
+    numbered = arrival_numbers(new, "seq", "id")
+    return numbered.withColumn("id", last_id.cast("bigint") + F.col("id")).select(*by_columns(by), *STORED)
 
 
 def highest_id(store: DataFrame) -> Column:

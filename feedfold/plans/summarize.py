@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -17,9 +18,11 @@ from ..functions.text import strip_code_blocks
 from ..operators.filters import check_requests
 from ..operators.generation import Loader, generate_with_fallback, spread_calls
 from ..operators.joins import fresh_key
+from ..operators.ranking import arrival_numbers
 from ..operators.summaries import STORED, cache_misses
 from ..session import scratch_path
 from ..sources.store import BLOOM, SummaryStore
+from .chunks import CHUNK_ROWS, in_chunks
 
 RESULT = ("seq", "email_id", "summary", "model_used", "cached", "error")
 
@@ -39,7 +42,7 @@ def generate_misses(misses: DataFrame, models: Mapping[str, Loader],
 
 
 def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader],
-                     as_of: Instant, chosen: str | None = None, tag: str | None = None) -> DataFrame:
+                     as_of: Instant, chosen: str | None = None, tag: str | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Serve requests (the store's account columns, ``seq, email_id, subject, sender, email_date, body``).
 
     Stored summaries are returned as they are.  Each missing mail is summarised
@@ -54,12 +57,17 @@ def summarize_emails(requests: DataFrame, store: SummaryStore, models: Mapping[s
     With a ``tag`` the results are written beside the store and entered in its ledger before the store changes; the
     same tag again gives the same rows, ``cached`` and ``model_used`` included, and finishes what was left undone.
     Other requests under that tag (another set of ``seq`` and ``email_id``) are a batch without a tag.
+
+    With a ``tag`` and ``chunk_rows`` the models are called in chunks of about so many mails (``plans.chunks``, in the store's
+    folder ``jobs``).  A run that was lost, repeated with its tag, asks for the mails of unfinished chunks only.
     """
+    if chunk_rows and not tag:
+        raise ValueError("chunks are found again by their tag")
     asked = _fingerprint(requests, store) if tag else None
     entry = store.entered(tag) if tag else None
     if tag and (entry is None or entry["asked"] == asked):
         if entry is None:
-            served, folder, ids = _served(requests, store, models, as_of, chosen)
+            served, folder, ids = _served(requests, store, models, as_of, chosen, chunk_rows and _job(store, tag, asked), chunk_rows)
             results = f"results/{uuid.uuid4().hex}"
             served.write.parquet(f"{store.path}/{results}")
             entry = store.enter(tag, {"folder": folder, "ids": ids, "results": results, "schema": served.schema.json(),
@@ -78,8 +86,12 @@ def _fingerprint(requests: DataFrame, store: SummaryStore) -> list[str]:
     return [str(x) for x in requests.agg(F.count(F.lit(1)), F.sum(key)).first()]
 
 
+def _job(store: SummaryStore, tag: str, asked: list[str]) -> str:
+    return f"{store.path}/jobs/{quote(tag, safe='')}-{'-'.join(asked)}"
+
+
 def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loader], as_of: Instant,
-            chosen: str | None) -> tuple[DataFrame, str | None, int]:
+            chosen: str | None, job: str | None = None, chunk_rows: int | None = None) -> tuple[DataFrame, str | None, int]:
     """The results; the folder of new summaries, which is no part of the store yet (None: there are none), and its ids."""
     by = store.by
     checked = check_requests(requests, "email_summary")
@@ -89,11 +101,19 @@ def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loade
 
     misses = cache_misses(valid.select(*by, "seq", "email_id"), stored, by)
     first = misses.where(F.col("email_id").isNotNull()).groupBy(*by, "email_id").agg(F.min("seq").alias("seq"))
-    asked = written(first.select("seq").unionByName(misses.where(F.col("email_id").isNull()).select("seq")), "asked")
-    size, lowest, highest = asked.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
-    bodies = spread_calls(valid, "seq", rows=size).join(asked, "seq", "left_semi")
-    made = generate_misses(bodies, models, chosen).withColumns({
-        "id": F.col("seq") - F.lit(lowest) + 1, "created_at": instant(as_of),
+    asked = first.select("seq").unionByName(misses.where(F.col("email_id").isNull()).select("seq"))
+    asked = written(arrival_numbers(asked, "seq", "_nth"), "asked")
+    size = asked.count()
+    bodies = spread_calls(valid.join(asked, "seq"), "seq", rows=size)  # joined first, so that only their bodies are dealt
+    if job:
+        # What is missing may have changed since a lost run, if others write to the store; then it is another job.
+        mark = asked.agg(F.sum(F.xxhash64("seq").cast("decimal(38,0)"))).first()[0]
+        answers = in_chunks(bodies, ["seq"], f"{job}/{size}-{mark or 0}", lambda rows: generate_misses(spread_calls(rows, "seq"), models, chosen),
+                            chunk_rows, writer=job)
+    else:
+        answers = generate_misses(bodies, models, chosen)
+    made = answers.withColumns({
+        "id": F.col("_nth"), "created_at": instant(as_of),
         "failed": F.col("error").isNotNull()})
     folder = f"data/{uuid.uuid4().hex}"
     columns = [*by, *STORED, "seq", "error", "failed"]
@@ -101,7 +121,7 @@ def _served(requests: DataFrame, store: SummaryStore, models: Mapping[str, Loade
     kinds = StructType([f for name in columns for f in made.schema if f.name == name])
     made = store.spark.read.schema(kinds).parquet(f"{store.path}/{folder}")
     new = None if made.where("not failed").isEmpty() else f"{folder}/failed=false"
-    ids = highest - lowest + 1 if new else 0
+    ids = size if new else 0
 
     # A key is in the store or was made, never both.
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")

@@ -41,6 +41,21 @@ def creator(spark: SparkSession, path: str) -> Create:
     return lambda name, content: _made(spark, make, name, content)
 
 
+def read(spark: SparkSession, name: str) -> bytes | None:
+    """What is in the file; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return _content(spark, fs, path) if fs.exists(path) else None
+
+
+def names(spark: SparkSession, folder: str) -> dict[str, float]:
+    """Names in a folder (none if it does not exist) with the seconds of their last change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return {s.getPath().getName(): s.getModificationTime() / 1000 for s in found}
+
+
 def _made(spark: SparkSession, make: Callable, name: str, content: bytes) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -55,9 +55,21 @@ def _earlier(amount: str, window: WindowSpec) -> Column:
 
 
 def _first_numbers(parts: DataFrame) -> DataFrame:
-    """Where the numbers of a file's places begin: files by name, a row for each, after the places of those before."""
+    """Where the numbers of a file's places begin: files by name, a row for each, after the places of those before.
+
+    Files are put in ranges of names by Spark and landed, so that ranges stay as they are; they are summed up inside
+    ranges, and of each range (no more than shuffle partitions) the driver gets one number.
+    """
     files = parts.groupBy(F.col("file").alias("_file")).agg(F.sum("_places").alias("_in_file"))
-    return files.select("_file", "_in_file", _earlier("_in_file", Window.orderBy("_file")).alias("_number"))
+    files = _landed(files.repartitionByRange("_file").withColumn("_range", F.spark_partition_id()), "export-files")
+    before, starts = 0, []
+    for r in files.groupBy("_range").agg(F.sum("_in_file").alias("n")).orderBy("_range").collect():
+        starts.append((r["_range"], before))
+        before += r.n
+    starts = files.sparkSession.createDataFrame(starts, "_of int, _first_of bigint")
+    inside = _earlier("_in_file", Window.partitionBy("_range").orderBy("_file"))
+    files = files.withColumn("_number", inside).join(starts, F.col("_range") == F.col("_of"))
+    return files.select("_file", "_in_file", (F.col("_number") + F.col("_first_of")).alias("_number"))
 
 
 def read_mail_export(spark: SparkSession, path: str, check_tail: bool = True) -> DataFrame:

@@ -145,3 +145,15 @@ def test_caps_without_accounts_merge_in_two_levels(spark):
     with redirect_stdout(io.StringIO()) as plan:
         capped.explain("formatted")
     assert "hashpartitioning(_share" in plan.getvalue()
+
+
+def test_arrival_numbers_are_dense(spark, rows):
+    """Values at the ends of the range, at the edges of spans, dense runs and a row without a value."""
+    edges = [-2**63, -2**48 - 1, -2**48, -2**32, -65537, -65536, -1, 0, 1, 65535, 65536, 2**32 - 1, 2**32, 2**48 - 1, 2**48, 2**62, 2**63 - 1]
+    values = sorted({*edges, *range(200_000, 200_400), *range(2**40 - 50, 2**40 + 50), *range(-70_000, -60_000, 97)})
+    df = rows("seq bigint, _n string", *[(v, "x") for v in reversed(values)], (None, "none"))
+    got = ranking.arrival_numbers(df)
+    assert got.columns == ["seq", "_n", "number"]
+    assert sorted((r.seq, r.number) for r in got.where("seq is not null").collect()) == list(zip(values, range(1, len(values) + 1)))
+    assert [r.number for r in got.where("seq is null").collect()] == [None]
+    assert ranking.arrival_numbers(df.where("false")).count() == 0
