@@ -64,7 +64,7 @@ def arrival_numbers(df: DataFrame, seq: str = "seq", number: str = "number") ->
 
     Rows are numbered inside spans of 2**16 values.  Where a span begins is a prefix sum of counts, of spans inside spans
     of 2**32 values, of these inside spans of 2**48, and of those: no window sees more than 2**16 rows, as there
-    are no more values at any level.  Rows without ``seq`` get no number.
+    are no more values at any level.  Rows without ``seq`` get no number; a column named ``number`` is replaced.
     """
     value = quoted(seq).cast("bigint")
     counts = df.where(value.isNotNull()).groupBy(F.shiftright(value, 16).alias("_span0")).agg(F.count(F.lit(1)).alias("_n"))
@@ -86,7 +86,7 @@ def arrival_numbers(df: DataFrame, seq: str = "seq", number: str = "number") ->
     placed = df.withColumn("_span", F.shiftright(value, 16))
     placed = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_span").orderBy(quoted(seq))))
     placed = placed.join(starts, F.col("_span") == F.col("_starts"), "left")
-    return placed.select(*[quoted(c) for c in df.columns], (F.col("_before") + F.col("_nth")).alias(number))
+    return placed.select(*[quoted(c) for c in df.columns if c != number], (F.col("_before") + F.col("_nth")).alias(number))
 
 
 def cap_by_arrival(df: DataFrame, n: int, by: By = (), seq: str = "seq") -> DataFrame:

@@ -157,3 +157,5 @@ def test_arrival_numbers_are_dense(spark, rows):
     assert sorted((r.seq, r.number) for r in got.where("seq is not null").collect()) == list(zip(values, range(1, len(values) + 1)))
     assert [r.number for r in got.where("seq is null").collect()] == [None]
     assert ranking.arrival_numbers(df.where("false")).count() == 0
+    replaced = ranking.arrival_numbers(rows("id bigint, seq bigint", (50, 9), (60, 4)), "seq", "id")
+    assert replaced.columns == ["seq", "id"] and sorted(map(tuple, replaced.collect())) == [(4, 1), (9, 2)]
