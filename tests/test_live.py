@@ -56,3 +56,21 @@ def test_every_second_over_several_batches(spark, tmp_path, hours, shares, by):
         got = live.threads_at(table, F.timestamp_seconds(F.lit(as_of)), hours, by).collect()
         rows = sorted(((r.account_id if by else None, r.thread_id, r.title, r.message_count, r.last_message, r.last_ts, r.first_seq) for r in got), key=str)
         assert rows == brute(known, as_of, hours, bool(by)), as_of - START
+
+
+def test_state_follows_cells_and_not_threads(spark, tmp_path):
+    """A key of the state for each share of a thread costs calls for each; 3,000 threads of one message are 64 keys of a few rows."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    os.makedirs(source)
+    start = START // 3600 * 3600
+    messages = [(0, i, start + i, f"t{i}", "x", f"text {i}", "") for i in range(3_000)] + [(0, 9_000, start + 20_000, "end", "x", "", "")]
+    for part in (messages[:3_000], messages[3_000:]):
+        df = spark.createDataFrame(part, ROW.rpartition(",")[0]).withColumn("ts", F.timestamp_seconds("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    with live.state_store(spark):
+        query = feeds.append_to_table(live.stream_live_threads(feeds.refresh_stream(spark, source, ROW, 1)), out, state, available_now=True)
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 1_000
+    table = spark.read.parquet(out)
+    got = live.threads_at(table, F.timestamp_seconds(F.lit(start + 1_999))).agg(F.count("*"), F.sum("message_count"), F.max("first_seq")).first()
+    assert tuple(got) == (2_000, 2_000, 1_999)
