@@ -8,10 +8,12 @@ its abort leaves an empty folder, also where tasks are still running: they see t
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import RecordBatch, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -22,6 +24,8 @@ from ..operators.joins import fresh_key
 
 DRAFTS, DONE, OPEN = "_drafts", "_SUCCESS", "open"
 ROW = "folder string, name string, text string"
+READ_FILES = 2_000  # that one task reads, where there are many
+BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
 
 
 @dataclass
@@ -161,17 +165,88 @@ def write_email_reports(rows: DataFrame, path: str, by: By = (), key: str = "seq
     write_text_reports(lines, path, by, key, ["section", "turn"])
 
 
+def _listed(files: fs.FileSystem, root: str, folder: str) -> Iterator[tuple[str, bool]]:
+    """What a folder under ``root`` holds, and whether it is a folder; local ones are never held whole."""
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(f"{root}/{folder}") as entries:
+            found = ((x.name, x.is_dir()) for x in entries)
+            yield from ((f"{folder}/{name}" if folder else name, inner) for name, inner in found if not _hidden(name, inner))
+        return
+    for x in files.get_file_info(fs.FileSelector(f"{root}/{folder}" if folder else root)):
+        inner = x.type == fs.FileType.Directory
+        if not _hidden(x.base_name, inner):
+            yield f"{folder}/{x.base_name}" if folder else x.base_name, inner
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    return name.startswith(".") or name.startswith("_") and not (folder and "=" in name)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size=lambda row: 0) -> Iterator[RecordBatch]:
+    """Rows as batches of no more than ``BATCH_ROWS`` and, but for one row by itself, ``BATCH_BYTES``."""
+    held, weight = [], 0
+    for row in rows:
+        if held and (len(held) == BATCH_ROWS or weight + size(row) > BATCH_BYTES):
+            yield RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, weight = [], 0
+        held.append(row)
+        weight += size(row)
+    if held:
+        yield RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def read_text_reports(spark: SparkSession, path: str, by: By = ()) -> DataFrame:
-    """``by (as text), name, text`` of the files that ``write_text_reports`` made; a folder without ``_SUCCESS`` is refused."""
+    """``by (as text), name, text`` of the files that ``write_text_reports`` made; a folder without ``_SUCCESS`` is refused.
+
+    Spark's own readers list files on the driver and open few of them in a task.  Here tasks list folders (``path`` itself is one task's),
+    and the files, whose number ``_SUCCESS`` holds, are dealt to tasks by their names.
+    """
     files, root = fs.FileSystem.from_uri(path)
     if files.get_file_info(f"{root}/{DONE}").type != fs.FileType.File:
         raise FileNotFoundError(f"{path} has no {DONE}")
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*").text(path, wholetext=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    # A path is escaped once more in its address.
-    part = lambda i: F.url_decode(F.replace(F.element_at(parts, F.lit(-i)), F.lit("+"), F.lit("%2B")))
+    with files.open_input_stream(f"{root}/{DONE}") as done:
+        number = int(done.read() or 0)
+    names = pa.schema([("file", pa.string()), ("inner", pa.bool_())])
+    texts = pa.schema([("file", pa.string()), ("text", pa.binary())])
+
+    def top(_: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+        yield from _batches(_listed(files, root, ""), names)
+
+    def below(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+
+        def walk(name: str, inner: bool) -> Iterator[tuple[str, bool]]:
+            if not inner:
+                yield name, False
+                return
+            for found in _listed(files, root, name):
+                yield from walk(*found)
+
+        for batch in batches:
+            yield from _batches((found for name, inner in zip(*(c.to_pylist() for c in batch.columns)) for found in walk(name, inner)), names)
+
+    def read(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+
+        def text(name: str) -> bytes:
+            with files.open_input_file(f"{root}/{name}") as file:
+                return file.read()
+
+        for batch in batches:
+            yield from _batches(((name, text(name)) for name in batch.column("file").to_pylist()), texts, lambda row: len(row[1]))
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-number // READ_FILES))
+    listed = spark.range(0, 1, 1, 1).mapInArrow(top, "file string, inner boolean")
+    if by:
+        listed = listed.repartition(tasks, "file")
+    listed = listed.mapInArrow(below, "file string, inner boolean").select("file")
+    found = listed.repartition(tasks, "file").mapInArrow(read, "file string, text binary")
+    parts = F.split(F.col("file"), "/")
+    part = lambda i: F.element_at(parts, F.lit(-i))
     values = []
     for i, c in enumerate(by):
         value = F.substring_index(part(len(by) - i + 1), "=", -1)
         values.append(F.when(value != "__HIVE_DEFAULT_PARTITION__", F.url_decode(value)).alias(c))
-    return read.select(*values, part(1).alias("name"), F.col("value").alias("text"))
+    # The bytes as they are.
+    return found.select(*values, part(1).alias("name"), F.col("text").cast("string").alias("text"))

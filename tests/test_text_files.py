@@ -104,3 +104,21 @@ def test_attempts_that_are_lost_or_repeated(tmp_path):
     with pytest.raises(RuntimeError, match="has ended"):  # a task that is still running then
         writer.write(iter(whole))
     assert files(path) == []
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Spark's text reader packs 32 small files into a task, and lists all on the driver."""
+    path = str(tmp_path / "out")
+    rows = spark.range(1_000).selectExpr("concat('k', id % 2) as account", "id as seq", "concat('r', id, '.txt') as file_name", "if(id % 7 = 0, '', repeat(id, 3)) as text")
+    text_files.write_text_reports(rows, path, ["account"])
+    read = text_files.read_text_reports(spark, path, ["account"])
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    want = {(f"k{i % 2}", f"r{i}.txt"): "" if i % 7 == 0 else str(i) * 3 for i in range(1_000)}
+    assert {(r.account, r.name): r.text for r in read.collect()} == want
+
+
+def test_batches_of_files():
+    schema = pa.schema([("file", pa.string()), ("text", pa.binary())])
+    data = [("a", b"x" * 15_999_999), ("b", b"y"), ("c", b"z"), ("d", b"x" * 20_000_000), *[("e", b"")] * 1_500]
+    got = [b.num_rows for b in text_files._batches(iter(data), schema, lambda row: len(row[1]))]
+    assert got == [2, 1, 1, 1_000, 500]
