@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from types import ModuleType
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,7 +28,8 @@ Model = Callable[[list[str], list[int]], Sequence[Any]]
 Loader = Callable[[], Model]
 Answer = tuple[str | None, str | None]  # text, cause of a failure
 
-CALLS = 500  # that one task makes, where there are many
+CALLS = 500  # that one task makes, where there are many; prompts of one call of a model
+CALL_BYTES = 4_000_000  # of them
 
 _KEEP = 2  # loaded models of a worker
 
@@ -103,23 +105,41 @@ def _answer(name: str, load: Loader, prompts: list[str], budgets: list[int]) ->
     return [_answer(name, load, [p], [b])[0] for p, b in zip(prompts, budgets)]
 
 
+def _shares(sizes: Sequence[int]) -> Iterator[slice]:
+    """Consecutive prompts for one call of a model: no more than ``CALLS``, and ``CALL_BYTES`` but for one by itself."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == CALLS or held + size > CALL_BYTES):
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def _caller(models: Mapping[str, Loader]):
-    """A pandas UDF (model name, prompt, budget) -> raw text and cause of a failure; no name, no call."""
+    """An Arrow UDF (model name, prompt, budget) -> raw text and cause of a failure; no name, no call.
+
+    Of a batch, as many rows as Spark puts in one, only the prompts of one call are Python values at a time.
+    """
     known = _named(models)
 
-    def call(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for names, prompts, budgets in batches:
             texts, causes = ([None] * len(prompts) for _ in "tc")
             for name, (key, load) in known.items():
-                rows = ((names == name) & prompts.notna()).to_numpy().nonzero()[0]
-                if len(rows):
-                    answers = _answer(key, load, prompts.iloc[rows].tolist(), budgets.iloc[rows].tolist())
-                    for row, (text, cause) in zip(rows, answers):
+                asked = pc.and_(pc.fill_null(pc.equal(names, name), False), prompts.is_valid())
+                rows = pc.indices_nonzero(asked)
+                sizes = pc.binary_length(prompts).take(rows).to_pylist()
+                for share in _shares(sizes):
+                    some = rows[share]
+                    answers = _answer(key, load, prompts.take(some).to_pylist(), budgets.take(some).to_pylist())
+                    for row, (text, cause) in zip(some.to_pylist(), answers):
                         texts[row], causes[row] = text, cause
-            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "cause": pd.Series(causes, dtype=object)})
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(causes, pa.string())], ["text", "cause"])
 
     # Not deterministic: the optimizer must neither repeat nor move the calls.
-    return F.pandas_udf(call, "text string, cause string").asNondeterministic()
+    return F.arrow_udf(call, "text string, cause string").asNondeterministic()
 
 
 def _budget(prompt: Column, max_tokens: int | None) -> Column:

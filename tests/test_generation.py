@@ -203,3 +203,17 @@ def test_email_answers(rows):
         return lambda prompts, budgets: [f"Answer: {b} tokens. Yes. Yes." for b in budgets]
     got = {r.question: (r.answer, r.error) for r in answers.answer_email_questions(df, labelled).collect()}
     assert got == {"q": ("160 tokens. Yes.", None), "": (None, "Question and email body are required")}
+
+
+def test_prompts_are_values_for_one_call_at_a_time(spark):
+    """A batch of Spark's, 10,000 rows of any length, was one list of prompts."""
+    def counts():
+        return lambda prompts, budgets: [f"{len(prompts)} {sum(map(len, prompts))} {type(budgets[0]).__name__}" for _ in prompts]
+
+    df = spark.range(0, 1_300, 1, 1).selectExpr("if(id % 13 = 0, null, repeat('x', if(id < 10, 1500000, 3))) as prompt")
+    made = generation.generate_with_fallback(df, {"m": counts}).where("prompt is not null").collect()
+    got = [tuple(r.answer.split()) for r in made]
+    assert len(got) == 1_200 and {kind for _, _, kind in got} == {"int"}
+    assert max(int(n) for n, _, _ in got) == generation.CALLS and max(int(size) for _, size, _ in got) <= generation.CALL_BYTES
+    assert [s.stop - s.start for s in generation._shares([3, 9_000_000, 2_000_000, 2_000_000, 1, *[0] * 600])] == [1, 1, 2, 500, 101]
+    assert list(generation._shares([])) == []
