@@ -230,8 +230,10 @@ def _read_array(spark: SparkSession, path: str, fields: Sequence[str], numbers:
             f"_is_{name}": F.coalesce(~F.schema_of_variant(value).isin("STRING", "VOID", "BOOLEAN"), F.lit(False)),
             name: F.try_variant_get(value, "$", "string")})
     out = _landed(out, "export-objects")
-    bad = out.where(~F.col("_good")).select("file").distinct()
-    return out.where("_good").drop("_good").join(bad, "file", "left_anti")
+    bad = out.where(~F.col("_good")).select("file")
+    if bad.isEmpty():  # told by the landed files' statistics; the join would move all objects
+        return out.drop("_good")
+    return out.where("_good").drop("_good").join(bad.distinct(), "file", "left_anti")
 
 
 def _seconds(name: str, otherwise: Column) -> Column:

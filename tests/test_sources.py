@@ -293,3 +293,13 @@ def test_frames(spark, rows, tmp_path):
     answers = rows("k int, answer string", (1, ""), (2, None), (3, "hi"))
     got = [json.loads(r.frame)["type"] for r in frames.answer_frames(answers, ["k"]).orderBy("k", "frame_no").collect()]
     assert got == ["done", "done", "chunk", "done"]
+
+
+def test_objects_are_joined_with_bad_files_only_if_there_are_any(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "due_ts": 5}, {"id": "2"}]')
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    good = exports.read_reminder_export(spark, str(tmp_path))
+    assert "Join" not in plan(good) and sorted((r.id, r.due_ts) for r in good.collect()) == [("1", 5), ("2", 0)]
+    (tmp_path / "b.json").write_text('[{"id": "3"}, {"id": 4]')
+    some = exports.read_reminder_export(spark, str(tmp_path))
+    assert "Join" in plan(some) and sorted(r.id for r in some.collect()) == ["1", "2"]
